@@ -47,3 +47,18 @@ def has_seams(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> bool:
     if top[1] is None:
         return False
     return top[0] // chunk_rows != top[1] // chunk_rows
+
+
+def with_previous(
+    df: DataFrame, columns: list[str], chunk_rows: int = CHUNK_ROWS, seams: bool | None = None
+) -> DataFrame:
+    """Add ``previous``, a struct of the columns in the row before (null in the first row)."""
+    if seams is None:
+        seams = has_seams(df, chunk_rows)
+    state = F.struct(*columns)
+    rows = with_chunk(df, chunk_rows).withColumn("previous", F.lag(state).over(in_chunk()))
+    if seams:
+        last = rows.groupBy(*KEYS).agg(F.max_by(state, "number").alias("last"))
+        last = last.select(*KEYS, F.lag("last").over(over_chunks()).alias("seam"))
+        rows = rows.join(last, KEYS, "left").withColumn("previous", F.coalesce("previous", "seam"))
+    return rows.select(*df.columns, "previous")

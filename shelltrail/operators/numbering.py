@@ -66,7 +66,7 @@ def number_commands(parsed: DataFrame, block_rows: int = CHUNK_ROWS) -> DataFram
 
 
 def number_in_order(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """Number rows from 1 per ``key`` in the order of any columns, and stage the result.
+    """Number rows from 1 per ``key`` in the order of any columns.
 
     ``order`` must be unique within ``key``. A range partitioning cuts long keys
     into pieces of even size. Its cut points come from a sample, so the pieces are
@@ -77,7 +77,7 @@ def number_in_order(rows: DataFrame, key: str, order: list[str], name: str) -> D
         .sortWithinPartitions(key, *order)
         .withColumn("piece", F.spark_partition_id())
         .withColumn("seq", F.monotonically_increasing_id()),
-        f"{name}-pieces",
+        name,
     )
     counts = pieces.groupBy(key, "piece").agg(
         F.count("*").alias("rows"), F.min("seq").alias("first_seq")
@@ -86,7 +86,7 @@ def number_in_order(rows: DataFrame, key: str, order: list[str], name: str) -> D
     numbered = pieces.join(offsets, [key, "piece"]).withColumn(
         "number", (F.col("rows_before") + F.col("seq") - F.col("first_seq") + 1).cast("bigint")
     )
-    return staged(numbered.drop("piece", "seq", "first_seq", "rows_before"), name)
+    return numbered.drop("piece", "seq", "first_seq", "rows_before")
 
 
 def check_range(first: int, last: int) -> None:

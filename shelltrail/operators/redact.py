@@ -18,6 +18,8 @@ from shelltrail.functions.rules import RULES, Rule, java_pattern, java_replaceme
 # Fixed value: what a text becomes that must not be shown at all.
 PLACEHOLDER = "[REDACTED - contains sensitive data]"
 
+RULES_PER_PROJECTION = 16
+
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once."""
@@ -63,10 +65,14 @@ def redact(text: Column | str, extra: Sequence[Rule] = ()) -> Column:
         return lambda x: F.when(_may_match(x, rule), _rewritten(x, rule)).otherwise(x)
 
     chain = F.array(text)
-    for rule in (*RULES, *extra):
+    for rule in RULES:
         chain = F.transform(chain, step(rule))
+    result = F.get(chain, F.lit(0))
+    for rule in extra:
+        # refers to its input once, so it needs no lambda, whose nesting is limited
+        result = _bind(result, step(rule)) if rule.drop else _rewritten(result, rule)
     placeholder = F.when(text.isNotNull(), F.lit(PLACEHOLDER))
-    return F.coalesce(F.get(chain, F.lit(0)), placeholder)
+    return F.coalesce(result, placeholder)
 
 
 def mark(
@@ -106,17 +112,20 @@ def mark(
 
         return (lambda s: dropped(s)) if rule.drop else (lambda s: replaced(s))
 
-    chain = F.array(
-        F.struct(
-            F.col(column).alias("text"),
-            F.array().cast("array<int>").alias("fired"),
-            F.lit(None).cast("int").alias("dropped"),
-        )
-    )
-    for number, rule in enumerate((*RULES, *extra), start=1):
-        chain = F.transform(chain, step(number, rule))
     others = [c for c in df.columns if c != column]
-    done = df.select(*others, F.col(column).alias("original"), F.get(chain, F.lit(0)).alias("_r"))
+    start = F.struct(
+        F.col(column).alias("text"),
+        F.array().cast("array<int>").alias("fired"),
+        F.lit(None).cast("int").alias("dropped"),
+    )
+    done = df.select(*others, F.col(column).alias("original"), start.alias("_r"))
+    rules = list(enumerate((*RULES, *extra), start=1))
+    # the analyzer resolves one nested lambda per round and allows 100 rounds
+    for begin in range(0, len(rules), RULES_PER_PROJECTION):
+        chain = F.array("_r")
+        for number, rule in rules[begin : begin + RULES_PER_PROJECTION]:
+            chain = F.transform(chain, step(number, rule))
+        done = done.withColumn("_r", F.get(chain, F.lit(0)))
     return done.select(
         *others,
         F.col("_r.text").alias(column),

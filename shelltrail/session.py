@@ -21,13 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def stage(df: DataFrame, name: str) -> str:
+    """Write ``df`` as a table in the shared folder and return its path."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
+    """``df``, written once in the shared folder and read back.
 
     Cuts the lineage at a place that outlives executors, and lets several later
     passes share the work above it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stage(df, name))
