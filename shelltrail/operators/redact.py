@@ -3,12 +3,14 @@
 A rule refers to its input several times (test, replacement, comparison). Each
 rule is therefore a ``transform`` over a one-element array, whose lambda variable
 names the text of the rule before; a plain nesting of expressions would double
-with every rule, and 62 stacked projections plan slower and run no faster.
+with every rule, and 62 stacked projections run no faster. The expression is
+written as SQL text, which is parsed in one go; putting it together from column
+objects takes thousands of calls into the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,61 +20,70 @@ from shelltrail.functions.rules import RULES, Rule, java_pattern, java_replaceme
 # Fixed value: what a text becomes that must not be shown at all.
 PLACEHOLDER = "[REDACTED - contains sensitive data]"
 
-RULES_PER_PROJECTION = 16
+# The analyzer resolves one nested lambda per round and allows 100 rounds.
+RULES_PER_PROJECTION = 8
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+def _literal(text: str) -> str:
+    """SQL literal of any text: raw strings side by side, which need no escapes."""
+    return " ".join(f"r'{part}'" for part in text.split("'")).replace("' r'", "' r\"'\" r'")
 
 
-def _may_match(text: Column, rule: Rule) -> Column:
+def _may_match(x: str, rule: Rule) -> str:
     """Cheap test that is true wherever the rule matches."""
-    if not rule.needs:
-        return F.lit(True)
-    sought = F.lower(text) if rule.any_case else text
-    test = None
-    for part in rule.needs:
-        found = F.contains(sought, F.lit(part))
-        test = found if test is None else test | found
-    return test
-
-
-def _rewritten(text: Column, rule: Rule) -> Column:
-    pattern = F.lit(java_pattern(rule.pattern))
-    replacement = F.lit(java_replacement(rule.replacement))
+    sought = f"lower({x})" if rule.any_case else x
+    tests = [f"contains({sought}, {_literal(part)})" for part in rule.needs]
+    return f"({' or '.join(tests) or 'true'})"
+
+
+def _rewritten(x: str, rule: Rule) -> str:
+    pattern = _literal(java_pattern(rule.pattern))
+    replacement = _literal(java_replacement(rule.replacement))
     if not rule.ends_with:
-        return F.regexp_replace(text, pattern, replacement)
+        return f"regexp_replace({x}, {pattern}, {replacement})"
     # No match reaches past the last such character. Leaving the rest out spares
     # a backtracking engine one scan to the end of the text per possible start.
-    rest = F.substring_index(text, rule.ends_with, -1)
-    head = F.left(text, F.length(text) - F.length(rest))
-    return F.concat(F.regexp_replace(head, pattern, replacement), rest)
+    rest = f"substring_index({x}, {_literal(rule.ends_with)}, -1)"
+    head = f"left({x}, length({x}) - length({rest}))"
+    return f"concat(regexp_replace({head}, {pattern}, {replacement}), {rest})"
 
 
-def _matches(text: Column, rule: Rule) -> Column:
-    return F.rlike(text, F.lit(java_pattern(rule.pattern)))
+def _matches(x: str, rule: Rule) -> str:
+    return f"rlike({x}, {_literal(java_pattern(rule.pattern))})"
 
 
-def redact(text: Column | str, extra: Sequence[Rule] = ()) -> Column:
-    """Text with every secret replaced; a fixed placeholder where a rule drops the row."""
-    text = F.col(text) if isinstance(text, str) else text
+def _text_step(rule: Rule) -> str:
+    test = _may_match("x", rule)
+    if rule.drop:
+        # null passes unchanged through all later rules
+        return f"if({test} and {_matches('x', rule)}, null, x)"
+    return f"if({test}, {_rewritten('x', rule)}, x)"
 
-    def step(rule: Rule) -> Callable[[Column], Column]:
-        if rule.drop:
-            # null passes unchanged through all later rules
-            return lambda x: F.when(~(_may_match(x, rule) & _matches(x, rule)), x)
-        return lambda x: F.when(_may_match(x, rule), _rewritten(x, rule)).otherwise(x)
 
-    chain = F.array(text)
+def redact(column: str, extra: Sequence[Rule] = ()) -> Column:
+    """Text with every secret replaced; a fixed placeholder where a rule drops the row."""
+    name = "`" + column.replace("`", "``") + "`"
+    text = f"array({name})"
     for rule in RULES:
-        chain = F.transform(chain, step(rule))
-    result = F.get(chain, F.lit(0))
+        text = f"transform({text}, x -> {_text_step(rule)})"
+    text = f"get({text}, 0)"
     for rule in extra:
-        # refers to its input once, so it needs no lambda, whose nesting is limited
-        result = _bind(result, step(rule)) if rule.drop else _rewritten(result, rule)
-    placeholder = F.when(text.isNotNull(), F.lit(PLACEHOLDER))
-    return F.coalesce(result, placeholder)
+        # refers to its input once where possible, since nesting of lambdas is limited
+        if rule.drop:
+            text = f"get(transform(array({text}), x -> {_text_step(rule)}), 0)"
+        else:
+            text = _rewritten(text, rule)
+    return F.expr(f"coalesce({text}, if({name} is not null, {_literal(PLACEHOLDER)}, null))")
+
+
+def _noting_step(number: int, rule: Rule) -> str:
+    test = f"s.dropped is null and {_may_match('s.text', rule)}"
+    if rule.drop:
+        gone = f"struct(s.text as text, s.fired as fired, {number} as dropped)"
+        return f"if({test} and {_matches('s.text', rule)}, {gone}, s)"
+    fired = f"if(t <> s.text, array_append(s.fired, {number}), s.fired)"
+    new = f"struct(t as text, {fired} as fired, s.dropped as dropped)"
+    return f"if({test}, get(transform(array({_rewritten('s.text', rule)}), t -> {new}), 0), s)"
 
 
 def mark(
@@ -89,29 +100,6 @@ def mark(
     this follows.
     """
     del allowlist
-
-    def step(number: int, rule: Rule) -> Callable[[Column], Column]:
-        def dropped(s: Column) -> Column:
-            gone = F.struct(
-                s["text"].alias("text"), s["fired"].alias("fired"), F.lit(number).alias("dropped")
-            )
-            return F.when(s["dropped"].isNull() & _may_match(s["text"], rule) & _matches(s["text"], rule), gone).otherwise(s)
-
-        def replaced(s: Column) -> Column:
-            new = _bind(
-                _rewritten(s["text"], rule),
-                lambda t: F.struct(
-                    t.alias("text"),
-                    F.when(t != s["text"], F.array_append(s["fired"], F.lit(number)))
-                    .otherwise(s["fired"])
-                    .alias("fired"),
-                    s["dropped"].alias("dropped"),
-                ),
-            )
-            return F.when(s["dropped"].isNull() & _may_match(s["text"], rule), new).otherwise(s)
-
-        return (lambda s: dropped(s)) if rule.drop else (lambda s: replaced(s))
-
     others = [c for c in df.columns if c != column]
     start = F.struct(
         F.col(column).alias("text"),
@@ -120,12 +108,11 @@ def mark(
     )
     done = df.select(*others, F.col(column).alias("original"), start.alias("_r"))
     rules = list(enumerate((*RULES, *extra), start=1))
-    # the analyzer resolves one nested lambda per round and allows 100 rounds
     for begin in range(0, len(rules), RULES_PER_PROJECTION):
-        chain = F.array("_r")
+        chain = "array(_r)"
         for number, rule in rules[begin : begin + RULES_PER_PROJECTION]:
-            chain = F.transform(chain, step(number, rule))
-        done = done.withColumn("_r", F.get(chain, F.lit(0)))
+            chain = f"transform({chain}, s -> {_noting_step(number, rule)})"
+        done = done.withColumn("_r", F.expr(f"get({chain}, 0)"))
     return done.select(
         *others,
         F.col("_r.text").alias(column),
