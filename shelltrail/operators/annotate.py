@@ -260,7 +260,6 @@ def dedup_with_fallback(
     responses: DataFrame,
     time_gap_s: int = TIME_GAP_S,
     chunk_rows: int = CHUNK_ROWS,
-    seams: bool | None = None,
 ) -> DataFrame:
     """Response groups where a response arrived, the rules of :func:`dedup` elsewhere."""
     parsed = parse_dedup_responses(responses).where(F.col("status") == "ok")
@@ -269,6 +268,6 @@ def dedup_with_fallback(
         by_history(commands, answered, "left_semi", chunk_rows), parsed
     )
     by_rule = dedup(
-        by_history(commands, answered, "left_anti", chunk_rows), time_gap_s, chunk_rows, seams
+        by_history(commands, answered, "left_anti", chunk_rows), time_gap_s, chunk_rows
     )
     return by_model.unionByName(by_rule)
