@@ -33,7 +33,10 @@ def _may_match(x: str, rule: Rule) -> str:
     """Cheap test that is true wherever the rule matches."""
     sought = f"lower({x})" if rule.any_case else x
     tests = [f"contains({sought}, {_literal(part)})" for part in rule.needs]
-    return f"({' or '.join(tests) or 'true'})"
+    test = f"({' or '.join(tests) or 'true'})"
+    if rule.only_if:
+        test += f" and rlike({x}, {_literal(java_pattern(rule.only_if))})"
+    return test
 
 
 def _rewritten(x: str, rule: Rule) -> str:

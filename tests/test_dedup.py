@@ -1,0 +1,153 @@
+import random
+
+import pytest
+
+from shelltrail.functions.text import WHITE_SPACE, edit_distance
+from shelltrail.operators.dedup import dedup
+from shelltrail.schema import COMMANDS
+
+
+def kept(df):
+    return [r["command"] for r in df.orderBy("number").collect()]
+
+
+@pytest.mark.parametrize(
+    "items, expected",
+    [
+        (["ls -l /var", "ls -l /var", "ls -l /var", "hostname"], ["ls -l /var", "hostname"]),
+        ([("make it", 0), ("make it", 40), ("make it", 85)], ["make it"] * 3),
+        ([("make it", 0), ("make it", 2), ("make it", 4)], ["make it"]),
+        ([("make it", 0), ("make it", 30), ("make it", 31)], ["make it"] * 2),
+        (["svn stauts", "svn status"], ["svn status"]),
+        (["cd /a/very/long/way", "cd /b", "cd /usr/share/doc", "hostname"], ["cd /usr/share/doc", "hostname"]),
+        (
+            ["export EDITOR=vi", "export EDITOR=/usr/bin/emacs", "export PAGER=less"],
+            ["export EDITOR=/usr/bin/emacs", "export PAGER=less"],
+        ),
+        (["svn up", "svn commit -m x", "hostname", "make all"], ["svn up", "svn commit -m x", "hostname", "make all"]),
+        (["hostname", "", "   ", "\t ", "make all"], ["hostname", "make all"]),
+        # short commands within two edits of each other count as corrections
+        (["ls", "cd"], ["cd"]),
+        # a short command before a blank one is lost unless it is the first
+        (["hostname", "ls", "", "make all"], ["hostname", "make all"]),
+        (["ls", "", "make all"], ["ls", "make all"]),
+        # a command corrected by the next is skipped, and the next is compared again
+        (["hostname", "svn stauts", "svn status", "hostname"], ["hostname", "svn status", "hostname"]),
+    ],
+)
+def test_rules(commands, items, expected):
+    assert kept(dedup(commands(*items))) == expected
+
+
+def test_no_commands(spark):
+    assert dedup(spark.createDataFrame([], COMMANDS)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "a, b, expected",
+    [("", "", 0), ("x", "", 1), ("", "x", 1), ("sunday", "saturday", 3), ("ab", "ba", 2), ("café", "cafe", 2)],
+)
+def test_distance_counts_bytes(spark, a, b, expected):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(edit_distance("a", "b")).first()[0] == expected
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def _is_fix(a, b):
+    a, b = a.encode(), b.encode()
+    size = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= 5 and 0 < _distance(a, b) <= min(max(size // 10, 2), 5)
+
+
+def _supersedes(a, b):
+    if a.startswith("cd ") and b.startswith("cd "):
+        return True
+    names = [c[7:].split("=")[0].strip(WHITE_SPACE) for c in (a, b) if c.startswith("export ")]
+    return len(names) == 2 and names[0] == names[1] != ""
+
+
+def sequential(rows, gap):
+    """One command after the other, as the definition has it."""
+    out = []
+    texts = [r[4].strip(WHITE_SPACE) for r in rows] + [None]
+    for i, row in enumerate(rows):
+        text = texts[i]
+        if not text:
+            continue
+        if not out:
+            out.append(i)
+            continue
+        last = rows[out[-1]]
+        if texts[out[-1]] == text:
+            if last[3] and row[3] and row[2] - last[2] > gap:
+                out.append(i)
+        elif _is_fix(texts[out[-1]], text) or _supersedes(texts[out[-1]], text):
+            out[-1] = i
+        elif texts[i + 1] is None or not _is_fix(text, texts[i + 1]):
+            out.append(i)
+    return [rows[i] for i in out]
+
+
+POOLS = [
+    ["ls", "cd", "a", "", "echo 1"],
+    ["git status", "git stauts", "git statsu", "ls", "", "  ", "cd /a", "cd /b"],
+    ["x", "x", "x", " x"],
+    ["echo 1", "echo 2", "echo 3", "echo 1234", "ls", "", "git push origin main"],
+    ["export A=1", "export A=2222222222222222", "export B=1", "lsa", "ls", "", "abcdefgh"],
+    ["make", "make", "make", "ls -la"],
+]
+
+
+def random_histories(seed, count):
+    rnd = random.Random(seed)
+    rows, expected = [], set()
+    for h in range(count):
+        pool = rnd.choice(POOLS) + (rnd.choice(POOLS) if rnd.random() < 0.3 else [])
+        number, at, own = rnd.choice([1, 5, 33]), 1000, []
+        for _ in range(rnd.choice([1, 3, 10, 40])):
+            at += rnd.choice([0, 5, 10, 20, 31, 40, -15, 100])
+            own.append((f"h{h}", number, at, rnd.random() > 0.1, rnd.choice(pool)))
+            number += rnd.choice([1, 1, 1, 3])
+        rows += own
+        expected |= set(sequential(own, 30))
+    return rows, expected
+
+
+@pytest.mark.parametrize("chunk_rows", [5, 16, 1 << 18])
+def test_equals_sequential_fold(spark, chunk_rows):
+    rows, expected = random_histories(chunk_rows, 120)
+    df = spark.createDataFrame(rows, COMMANDS).repartition(5)
+    got = [tuple(r) for r in dedup(df, 30, chunk_rows).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == expected
+
+
+@pytest.mark.parametrize(
+    "texts, step",
+    [
+        (["make"], 20),  # copies of one command, closer than the gap
+        (["make"], 31),
+        (["echo {}"], 5),  # each command a correction of the one before
+        (["ls", "", "cd", ""], 5),  # short commands before blank ones
+        (["svn up", "make all", "hostname"], 5),
+    ],
+)
+def test_one_long_history_over_many_chunks(spark, texts, step):
+    rows = [
+        ("long", i + 1, 1000 + i * step, True, texts[i % len(texts)].format(i % 10))
+        for i in range(900)
+    ]
+    rows += [(f"short{i}", 1, 5, True, "make") for i in range(20)]
+    expected = set(sequential(rows[:900], 30)) | set(rows[900:])
+    got = dedup(spark.createDataFrame(rows, COMMANDS), 30, chunk_rows=64).collect()
+    assert len(got) == len(expected)
+    assert {tuple(r) for r in got} == expected
