@@ -84,7 +84,11 @@ def response_json(body: Column | str, keys: Sequence[str]) -> Column:
     text = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
     for key in keys:
         text = F.regexp_replace(text, rf'(?<!\\)"(?i:{key})"(\s*:)', f'"{key}"$1')
-    return F.try_parse_json(F.nullif(text, F.lit("")))
+    # the parser stops behind the first value; as items of an array all of the text counts
+    items = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"
+    )
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
 def _type(value: Column, path: str = "$") -> Column:
