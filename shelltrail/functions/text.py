@@ -71,16 +71,13 @@ def is_superseded(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(moves, F.lit(False)) | same_variable
 
 
-def first_fields(c: Column | str) -> Column:
-    """The first two white-space separated fields and the rest, as an array."""
-    return F.split(trim_space(c), f"[{WHITE_SPACE}]+", 3)
-
-
 def leading_tool(c: Column | str, wrappers: tuple[str, ...]) -> Column:
-    """First field, or the second one when the first is a wrapper and a second exists."""
-    fields = first_fields(c)
-    first, second = F.get(fields, F.lit(0)), F.get(fields, F.lit(1))
-    return F.when(first.isin(*wrappers) & second.isNotNull(), second).otherwise(first)
+    """First white-space separated field, or the second one behind a wrapper if there is one."""
+    plain = F.btrim(F.translate(_col(c), WHITE_SPACE, " " * len(WHITE_SPACE)))
+    first = F.substring_index(plain, " ", 1)
+    rest = F.ltrim(plain.substr(F.length(first) + 1, F.length(plain)))
+    second = F.substring_index(rest, " ", 1)
+    return F.when(first.isin(*wrappers) & (second != ""), second).otherwise(first)
 
 
 def step_tool(c: Column | str) -> Column:

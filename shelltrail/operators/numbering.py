@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from shelltrail.operators.chunks import CHUNK_ROWS
 from shelltrail.session import staged
 
+# Rows that one task sorts when rows are put in order.
+PIECE_ROWS = 1 << 21
+
 MAX_LONG = 9223372036854775807
 
 # Fixed value: format of a history line.
@@ -72,8 +75,10 @@ def number_in_order(rows: DataFrame, key: str, order: list[str], name: str) -> D
     into pieces of even size. Its cut points come from a sample, so the pieces are
     written once before anything is derived from them.
     """
+    count = rows.count() // PIECE_ROWS + 1
+    count = max(count, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = staged(
-        rows.repartitionByRange(key, *order)
+        rows.repartitionByRange(count, key, *order)
         .sortWithinPartitions(key, *order)
         .withColumn("piece", F.spark_partition_id())
         .withColumn("seq", F.monotonically_increasing_id()),

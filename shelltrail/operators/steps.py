@@ -119,20 +119,32 @@ def step_commands(
 def summarise(stepped: DataFrame, workflows: Sequence[Workflow] = ()) -> DataFrame:
     """One row per step: title, intent, size and number range.
 
-    Commands are counted per tool before steps are formed. All tools of a step are
-    related, so that leaves a handful of rows per step however long it is. The
-    main tool is the most frequent one, the earlier one on a tie.
+    Commands are counted per tool and intent before steps are formed. All tools of
+    a step are related and it has at most one intent, so that leaves a handful of
+    rows per step however long it is. The main tool is the most frequent one, the
+    earlier one on a tie.
     """
     workflows = tuple(workflows)
-    per_tool = stepped.groupBy("history_id", "step_no", "tool").agg(
+    step = ["history_id", "step_no"]
+    counted = stepped.groupBy(*step, "tool", "intent").agg(
         F.count("*").alias("n"),
         F.min("number").alias("first_number"),
         F.max("number").alias("last_number"),
-        F.max_by("intent", "number").alias("intent"),
+    )
+    # one exchange serves both groupings below
+    per_tool = (
+        counted.repartition(*step)
+        .groupBy(*step, "tool")
+        .agg(
+            F.max("intent").alias("intent"),
+            F.sum("n").alias("n"),
+            F.min("first_number").alias("first_number"),
+            F.max("last_number").alias("last_number"),
+        )
     )
     used = F.when(F.col("tool") != "", F.struct("n", -F.col("first_number")))
-    steps = per_tool.groupBy("history_id", "step_no").agg(
-        F.max_by("intent", "last_number").alias("intent"),
+    steps = per_tool.groupBy(*step).agg(
+        F.max("intent").alias("intent"),
         F.max_by("tool", used).alias("main_tool"),
         F.sum("n").cast("bigint").alias("commands"),
         F.min("first_number").alias("first_number"),

@@ -95,8 +95,8 @@ def _number_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands of all users; time is squeezed so that gaps fall near the thresholds."""
     events = numbered_events(spark, sf_dir)
-    t = "cast((floor(number / 3.0) + event_id % 2) % 24 as int)"
-    epoch = "1704067200 + cast(floor((epoch_s - 1704067200) / 1200.0) as bigint)"
+    t = "cast((floor(number / 3D) + event_id % 2) % 24 as int)"
+    epoch = "1704067200 + cast(floor((epoch_s - 1704067200) / 1200D) as bigint)"
     return events.withColumn("t", F.expr(t)).select(
         "history_id",
         "number",

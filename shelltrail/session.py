@@ -35,3 +35,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     passes share the work above it.
     """
     return df.sparkSession.read.schema(df.schema).parquet(stage(df, name))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a scan, shuffled over all cores if it has fewer partitions than those.
+
+    For work that costs far more than moving its rows. A scan of any size has
+    enough partitions and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
