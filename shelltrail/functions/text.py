@@ -73,11 +73,16 @@ def is_superseded(a: Column | str, b: Column | str) -> Column:
 
 def leading_tool(c: Column | str, wrappers: tuple[str, ...]) -> Column:
     """First white-space separated field, or the second one behind a wrapper if there is one."""
+
+    def choose(plain: Column) -> Column:
+        first = F.substring_index(plain, " ", 1)
+        rest = F.ltrim(plain.substr(F.length(first) + 1, F.length(plain)))
+        second = F.substring_index(rest, " ", 1)
+        return F.when(first.isin(*wrappers) & (second != ""), second).otherwise(first)
+
+    # the lambda keeps the expression small, though it refers to the text often
     plain = F.btrim(F.translate(_col(c), WHITE_SPACE, " " * len(WHITE_SPACE)))
-    first = F.substring_index(plain, " ", 1)
-    rest = F.ltrim(plain.substr(F.length(first) + 1, F.length(plain)))
-    second = F.substring_index(rest, " ", 1)
-    return F.when(first.isin(*wrappers) & (second != ""), second).otherwise(first)
+    return F.get(F.transform(F.array(plain), choose), F.lit(0))
 
 
 def step_tool(c: Column | str) -> Column:
