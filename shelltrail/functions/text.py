@@ -21,8 +21,13 @@ def _col(c: Column | str) -> Column:
 
 
 def trim_space(c: Column | str) -> Column:
-    """Trim every Unicode space, not only the space character."""
-    return F.btrim(_col(c), F.lit(WHITE_SPACE))
+    """Trim every Unicode space, not only the space character.
+
+    Trimming a set of characters is slow, so text without any at its ends skips it.
+    """
+    c = _col(c)
+    padded = F.left(c, F.lit(1)).isin(*WHITE_SPACE) | F.right(c, F.lit(1)).isin(*WHITE_SPACE)
+    return F.when(padded, F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
 
 
 def one_char_per_byte(c: Column) -> Column:
@@ -58,7 +63,7 @@ def is_typo(a: Column | str, b: Column | str) -> Column:
 def export_variable(c: Column | str) -> Column:
     """Variable name of an ``export NAME=value`` command (trimmed), else null."""
     c = _col(c)
-    name = trim_space(F.substring_index(c.substr(F.lit(8), F.length(c)), "=", 1))
+    name = F.btrim(F.substring_index(c.substr(F.lit(8), F.length(c)), "=", 1), F.lit(WHITE_SPACE))
     return F.when(c.startswith("export "), name)
 
 

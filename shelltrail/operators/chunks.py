@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 18
-KEYS = ["history_id", "chunk"]
+# The chunk comes first, so that rows sorted for a window are also sorted by chunk.
+KEYS = ["chunk", "history_id"]
 
 
 def with_chunk(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
