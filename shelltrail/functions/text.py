@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +22,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` written and computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def trim_space(c: Column | str) -> Column:
     """Trim every Unicode space, not only the space character.
 
     Trimming a set of characters is slow, so text without any at its ends skips it.
     """
-    c = _col(c)
-    padded = F.left(c, F.lit(1)).isin(*WHITE_SPACE) | F.right(c, F.lit(1)).isin(*WHITE_SPACE)
-    return F.when(padded, F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
+
+    def trim(x: Column) -> Column:
+        padded = F.left(x, F.lit(1)).isin(*WHITE_SPACE) | F.right(x, F.lit(1)).isin(*WHITE_SPACE)
+        return F.when(padded, F.btrim(x, F.lit(WHITE_SPACE))).otherwise(x)
+
+    return bind(_col(c), trim)
 
 
 def one_char_per_byte(c: Column) -> Column:
@@ -85,9 +95,8 @@ def leading_tool(c: Column | str, wrappers: tuple[str, ...]) -> Column:
         second = F.substring_index(rest, " ", 1)
         return F.when(first.isin(*wrappers) & (second != ""), second).otherwise(first)
 
-    # the lambda keeps the expression small, though it refers to the text often
     plain = F.btrim(F.translate(_col(c), WHITE_SPACE, " " * len(WHITE_SPACE)))
-    return F.get(F.transform(F.array(plain), choose), F.lit(0))
+    return bind(plain, choose)
 
 
 def step_tool(c: Column | str) -> Column:
