@@ -21,10 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def stage(df: DataFrame, name: str) -> str:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> str:
     """Write ``df`` as a table in the shared folder and return its path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return path
 
 
