@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelltrail.llm import license_scan, sharding
+from shelltrail.llm import bpe, license_scan, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": sharding.query,
+        "op3_byte_bpe": bpe.query,
+        "op8_token_files": token_files.query,
         "op10_license_scan": license_scan.query,
     }
 
