@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelltrail.llm import bpe, license_scan, sharding, token_files
+from shelltrail.llm import bpe, license_scan, quality, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sharding": sharding.query,
         "op3_byte_bpe": bpe.query,
+        "op4_quality": quality.query,
         "op8_token_files": token_files.query,
+        "op9_toxicity": toxicity.query,
         "op10_license_scan": license_scan.query,
     }
 
