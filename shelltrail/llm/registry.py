@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelltrail.llm import bpe, license_scan, quality, sharding, token_files, topk, toxicity
+from shelltrail.llm import bpe, license_scan, neardup, quality, sharding, token_files, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_byte_bpe": bpe.query,
         "op4_quality": quality.query,
         "op5_topk": topk.query,
+        "op6_neardup": neardup.query,
         "op8_token_files": token_files.query,
         "op9_toxicity": toxicity.query,
         "op10_license_scan": license_scan.query,
