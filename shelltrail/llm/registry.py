@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelltrail.llm import bpe, license_scan, neardup, quality, sharding, token_files, topk, toxicity
+from shelltrail.llm import (
+    bpe,
+    decontaminate,
+    license_scan,
+    neardup,
+    quality,
+    sharding,
+    token_files,
+    topk,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op4_quality": quality.query,
         "op5_topk": topk.query,
         "op6_neardup": neardup.query,
+        "op7_decontamination": decontaminate.query,
         "op8_token_files": token_files.query,
         "op9_toxicity": toxicity.query,
         "op10_license_scan": license_scan.query,
