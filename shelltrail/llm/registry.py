@@ -10,6 +10,7 @@ from shelltrail.llm import (
     bpe,
     decontaminate,
     license_scan,
+    lm_scoring,
     neardup,
     quality,
     sharding,
@@ -24,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": sharding.query,
+        "op2_lm_scoring": lm_scoring.query,
         "op3_byte_bpe": bpe.query,
         "op4_quality": quality.query,
         "op5_topk": topk.query,
@@ -36,4 +38,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": topk.ORACLE}
+    return {"op2_lm_scoring": lm_scoring.ORACLE, "op5_topk": topk.ORACLE}
