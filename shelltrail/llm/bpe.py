@@ -1,12 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens. Blocks of neighbouring documents are dictionary-coded: a
-row for each distinct pre-token of a block, with its number there, and a row for each
-document with the numbers in the order of its positions. The word rows are shuffled by
-word; all rows of a word then lie together, the word is encoded once, and its ids join
-every row. Shuffled back by block, the ids take the places of the numbers. So a word moves
-once for each block that has it and not once for each place, and no word can be hotter
-than the number of blocks; a document's positions stay packed.
+Texts are cut into pre-tokens. Blocks of neighbouring documents are dictionary-coded: each
+distinct pre-token of a block gets a number, and each document becomes the numbers in the
+order of its positions. The distinct words are shuffled by a hash of the word; all
+occurrences of a word in the corpus then meet in one partition, where it is encoded once
+and its ids join every block's entry. Shuffled back by block, the ids take the places of
+the numbers. So a word moves once for each block that has it and not once for each place,
+and no word is hotter than the number of blocks. Rows are packed: one row holds the words
+of a block that fall into the same hash bucket, or the positions of one document.
 
 Decoding joins ids with the token-byte table, whose size is that of the vocabulary and is
 checked; it is sent to every task.
@@ -15,6 +16,7 @@ checked; it is sent to every task.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +36,7 @@ from shelltrail.llm.common import table, texts
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Text of a block, in characters.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 24
 # Word parts that a worker remembers; it starts afresh when it knows more.
 KNOWN_PARTS = 1 << 20
 # Largest vocabulary whose byte table is sent to the tasks.
@@ -115,29 +117,70 @@ class Block:
         self.chars += len(text)
 
 
-SPLIT_SCHEMA = "block bigint, number int, word binary, doc_id {id}, code binary"
-
-
-def pre_tokens(rows: DataFrame, pattern: str, block_chars: int) -> DataFrame:
-    """Rows of distinct pre-tokens (block, number, word) and of documents (block, doc_id, code)."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2**32, compressed; bytes of equal weight lie together."""
+    parts = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        parts += [len(a).to_bytes(8, "little"), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    body, arrays, at = zstandard.ZstdDecompressor().decompress(packed), [], 0
+    while at < len(body):
+        n = int.from_bytes(body[at : at + 8], "little")
+        planes = np.frombuffer(body, np.uint8, 4 * n, at + 8).reshape(4, n)
+        arrays.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+        at += 8 + 4 * n
+    return arrays
+
+
+def word_rows(words: list[str], codes: list[np.ndarray], buckets: int):
+    """(bucket, packed words) rows of a block, and its codes with frequent words numbered low."""
+    n = len(words)
+    every = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+    by_count = np.argsort(-np.bincount(every, minlength=n), kind="stable")
+    number = np.empty(n, np.uint32)
+    number[by_count] = np.arange(n, dtype=np.uint32)
+    raw = [words[i].encode() for i in by_count.tolist()]
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, n)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    rows = []
+    for some in np.split(order, cuts) if n else ():
+        body = [raw[i] for i in some.tolist()]
+        sizes = np.fromiter(map(len, body), np.int64, len(body))
+        rows.append((int(bucket[some[0]]), pack(np.diff(some, prepend=0), sizes), zstandard.compress(b"".join(body))))
+    return rows, [number[c] for c in codes]
+
+
+SPLIT_SCHEMA = "block bigint, bucket int, numbers binary, words binary, doc_id {id}, code binary"
+
+
+def pre_tokens(rows: DataFrame, pattern: str, block_chars: int, buckets: int) -> DataFrame:
+    """Rows of words (block, bucket, numbers, words) and of documents (block, doc_id, code)."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, first, made = splitter(pattern), TaskContext.get().partitionId() << 32, 0
-        pack = zstandard.ZstdCompressor(level=3).compress
 
         def flush(block: Block, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            words, docs = [w.encode() for w in block.numbers], block.docs
-            n, m = len(words), len(docs)
+            codes = [np.frombuffer(c, "<u4") for _, c in block.docs]
+            words, codes = word_rows(list(block.numbers), codes, buckets)
+            n, m = len(words), len(codes)
+            # document rows only pass through and are spread evenly
+            spread = [(first + made + i) % buckets for i in range(m)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(n + m, first + made)),
-                    pa.array([*range(n), *[None] * m], pa.int32()),
-                    pa.array([*words, *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *[d for d, _ in docs]], id_type),
-                    pa.array([*[None] * n, *[pack(c) for _, c in docs]], pa.binary()),
+                    pa.array([*(b for b, _, _ in words), *spread], pa.int32()),
+                    pa.array([*(x for _, x, _ in words), *[None] * m], pa.binary()),
+                    pa.array([*(w for _, _, w in words), *[None] * m], pa.binary()),
+                    pa.array([*[None] * n, *(d for d, _ in block.docs)], id_type),
+                    pa.array([*[None] * n, *map(pack, codes)], pa.binary()),
                 ],
-                names=["block", "number", "word", "doc_id", "code"],
+                names=["block", "bucket", "numbers", "words", "doc_id", "code"],
             )
 
         block, id_type = Block(split), None
@@ -155,55 +198,57 @@ def pre_tokens(rows: DataFrame, pattern: str, block_chars: int) -> DataFrame:
 
 
 def with_ids(split: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Word rows get ``ids``: each distinct word of the corpus is encoded in one place, once."""
-    # document rows only pass through and are spread by their block
-    key = F.coalesce("word", F.col("block").cast("string").cast("binary"))
-    by_word = split.repartition(key).sortWithinPartitions("word")
+    """Word rows get ``numbers`` with ids: all occurrences of a word are in one partition."""
     kind = dict(split.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks, pattern)._encode_single_piece
-        word, ids = None, None
+        encode, known = encoding(ranks, pattern)._encode_single_piece, {}
         for batch in batches:
-            found = []
-            for w in batch.column("word").to_pylist():
-                if w is not None and w != word:
-                    word, ids = w, np.array(encode(w), "<u4").tobytes()
-                found.append(None if w is None else ids)
+            out = []
+            for numbers, words in zip(
+                batch.column("numbers").to_pylist(), batch.column("words").to_pylist(), strict=True
+            ):
+                if numbers is None:
+                    out.append(None)
+                    continue
+                steps, sizes = unpack(numbers)
+                text, ends = zstandard.decompress(words), np.cumsum(sizes).tolist()
+                if len(known) > KNOWN_PARTS:
+                    known.clear()
+                found = []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    word = text[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(encode(word), "<u4").tobytes()
+                    found.append(ids)
+                counts = np.fromiter((len(i) // 4 for i in found), np.int64, len(found))
+                out.append(pack(steps, counts, np.frombuffer(b"".join(found), "<u4")))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("block"),
-                    batch.column("number"),
-                    pa.array(found, pa.binary()),
-                    batch.column("doc_id"),
-                    batch.column("code"),
-                ],
-                names=["block", "number", "ids", "doc_id", "code"],
+                [batch.column("block"), pa.array(out, pa.binary()), batch.column("doc_id"), batch.column("code")],
+                names=["block", "found", "doc_id", "code"],
             )
 
-    return by_word.mapInArrow(
-        run, f"block bigint, number int, ids binary, doc_id {kind}, code binary"
-    )
+    schema = f"block bigint, found binary, doc_id {kind}, code binary"
+    return split.repartition("bucket").mapInArrow(run, schema)
 
 
-def assemble(found: pa.Table) -> pa.Table:
+def assemble(rows: pa.Table) -> pa.Table:
     """Documents of a block with the ids in the places of the word numbers."""
-    is_doc = pc.is_valid(found.column("code"))
-    words, docs = found.filter(pc.invert(is_doc)), found.filter(is_doc)
-    size = words.num_rows
-    number = words.column("number").to_numpy()
-    ids = words.column("ids").to_pylist()
-    if sorted(number.tolist()) != list(range(size)):
-        raise RuntimeError("a block lost words")
+    docs = rows.filter(pc.is_valid(rows.column("code")))
+    found = [unpack(x) for x in rows.column("found").to_pylist() if x is not None]
+    none = np.empty(0, np.int64)
+    number = np.concatenate([none, *(np.cumsum(f[0].astype(np.int64)) for f in found)])
+    length = np.concatenate([none, *(f[1].astype(np.int64) for f in found)])
+    flat = np.concatenate([np.empty(0, "<u4"), *(f[2] for f in found)]).astype("<u4")
     order = np.argsort(number)
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    length = np.fromiter((len(i) // 4 for i in ids), np.int64, size)
+    if not np.array_equal(number[order], np.arange(len(number))):
+        raise RuntimeError("a block lost words or has them twice")
     start = (np.cumsum(length) - length)[order]
     length = length[order]
-    unpack = zstandard.ZstdDecompressor().decompress
     out = []
     for code in docs.column("code").to_pylist():
-        numbers = np.frombuffer(unpack(code), "<u4")
+        numbers = unpack(code)[0]
         sizes = length[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -227,7 +272,9 @@ def encode(
     empty result.
     """
     rows = texts(df, id_col, text_col)
-    found = with_ids(pre_tokens(rows, pattern, block_chars), ranks, pattern)
+    # as many buckets as tasks of a shuffle can want, a few each
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = with_ids(pre_tokens(rows, pattern, block_chars, buckets), ranks, pattern)
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary"
     return found.groupBy("block").applyInArrow(assemble, schema)
 
