@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from shelltrail.session import stage
 
@@ -13,8 +17,12 @@ from shelltrail.session import stage
 BATCH_ROWS = 1024
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +31,27 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
 
+def with_column(
+    df: DataFrame, name: str, kind: DataType, text_col: str, make: Callable[[], Callable[[pa.Array], pa.Array]]
+) -> DataFrame:
+    """``df`` with one more column, computed from the batches of a text column.
+
+    All rows and columns stay; a column that has the name already is replaced. ``make`` is
+    called once in each task and gives the function from texts (null as empty) to values.
+    """
+    rest = df.drop(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = make()
+        for batch in batches:
+            text = pc.fill_null(batch.column(text_col), "")
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, values(text)], names=[*batch.schema.names, name]
+            )
+
+    return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(name, kind)]))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a compressed table in the shared folder, and read back."""
     return df.sparkSession.read.schema(df.schema).parquet(stage(df, name, "zstd"))

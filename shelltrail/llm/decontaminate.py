@@ -21,10 +21,12 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from shelltrail.llm.common import table, texts
+from shelltrail.llm.common import table, texts, with_column
 from shelltrail.llm.license_scan import WORD_FORM
 from shelltrail.llm.words import mix
 
@@ -235,12 +237,7 @@ def find_leaks(
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id bigint, score double, first_word bigint, last_word bigint"
     found = []
-    for part in parts_of(benchmark, item_id_col, item_text_col, part_chars):
-        items = Items(part)
-        if not items.ids:
-            continue
-        seed = items.seeds(frequencies(rows, items))
-        sent = df.sparkSession.sparkContext.broadcast((items, seed))
+    for sent in searches(rows, benchmark, item_id_col, item_text_col, part_chars):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, seed = sent.value
@@ -265,5 +262,45 @@ def find_leaks(
     return reduce(DataFrame.unionByName, found)
 
 
+def searches(
+    rows: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, part_chars: int
+) -> list[Broadcast]:
+    """The items of each part with their seeds, sent to the tasks."""
+    sent = []
+    for part in parts_of(benchmark, id_col, text_col, part_chars):
+        items = Items(part)
+        if items.ids:
+            seed = items.seeds(frequencies(rows, items))
+            sent.append(rows.sparkSession.sparkContext.broadcast((items, seed)))
+    return sent
+
+
+def without_leaks(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    threshold: float = THRESHOLD,
+    part_chars: int = PART_CHARS,
+) -> DataFrame:
+    """The rows of ``df`` that hold no leak, with all their columns; see ``find_leaks``."""
+    rows = df.select(F.coalesce(text_col, F.lit("")).alias("text"))
+    mark = "leaks" + "_" * max(map(len, df.columns))
+    for sent in searches(rows, benchmark, item_id_col, item_text_col, part_chars):
+
+        def make(sent=sent):
+            items, seed = sent.value
+
+            def leaks(text: pa.Array) -> pa.Array:
+                out = leaks_in(items, seed, *items.numbers(text.to_pylist()), threshold)
+                return pa.array(np.bincount([t for t, *_ in out], minlength=len(text)), pa.int64())
+
+            return leaks
+
+        df = with_column(df, mark, LongType(), text_col, make).where(F.col(mark) == 0).drop(mark)
+    return df
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

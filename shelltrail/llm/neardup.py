@@ -298,5 +298,19 @@ def near_duplicates(
     )
 
 
+def without_near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``df`` of which one stands for each group of near duplicates, all columns.
+
+    The row with the smallest id of each component stays; of rows that agree in id and text
+    one stays. Rows with a null id cannot be told apart and all stay.
+    """
+    found = near_duplicates(df, id_col, text_col, words, percent).where("kept and doc_id is not null")
+    keep = found.select(F.col("doc_id").alias(id_col)).distinct()
+    one = df.join(keep, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return one.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from shelltrail.llm import crf
-from shelltrail.llm.common import learned_fold, table, texts, utf8
+from shelltrail.llm.common import learned_fold, table, texts, utf8, with_column
 from shelltrail.llm.learning import fit_sigmoid, labelled_sample
 
 FOLDS, HELD_OUT = 3, 1
@@ -161,6 +162,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(*labelled_sample(texts(docs), labels, "quality", FOLDS, HELD_OUT))
 
 
+def scores_of(model: Model, text: pa.Array) -> tuple[np.ndarray, list]:
+    """Score of each text, and the numbers of its bad lines."""
+    n = len(text)
+    if model.constant is not None or n == 0:
+        return np.full(n, model.constant or 0.0), [[] for _ in range(n)]
+    p, weight, counts = model.lines(*utf8(text))
+    bad = [np.flatnonzero(x >= 0.5) for x in np.split(p, np.cumsum(counts)[:-1])]
+    return model.score(model.badness(p, weight, counts)), bad
+
+
+def with_score(df: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``df`` with the score of the text; see ``score``."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        return lambda text: pa.array(scores_of(sent.value, text)[0], pa.float64())
+
+    return with_column(df, name, DoubleType(), text_col, make)
+
+
 def score(
     df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -176,13 +197,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            n = batch.num_rows
-            if model.constant is not None:
-                scores, bad = np.full(n, model.constant), [[] for _ in range(n)]
-            else:
-                p, weight, counts = model.lines(*utf8(batch.column("text")))
-                scores = model.score(model.badness(p, weight, counts))
-                bad = [np.flatnonzero(x >= 0.5) for x in np.split(p, np.cumsum(counts)[:-1])] if n else []
+            scores, bad = scores_of(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

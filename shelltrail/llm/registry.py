@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from shelltrail.llm import (
@@ -34,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op8_token_files": token_files.query,
         "op9_toxicity": toxicity.query,
         "op10_license_scan": license_scan.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from shelltrail.llm import crf
-from shelltrail.llm.common import learned_fold, table, texts
+from shelltrail.llm.common import learned_fold, table, texts, with_column
 from shelltrail.llm.learning import labelled_sample, without_copies
 
 FOLDS, HELD_OUT = 4, 2
@@ -149,6 +150,26 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
     return spans
 
 
+def scores_of(model: Model, tagger: Tagger, items: list[str]) -> tuple[list[float], list[np.ndarray]]:
+    """Score of each text, and the marginals of its words."""
+    if model.constant is not None:
+        return [model.constant] * len(items), [np.empty(0)] * len(items)
+    marginals = tagger.tag(items)
+    return [float(p.max()) if len(p) else 0.0 for p in marginals], marginals
+
+
+def with_score(df: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``df`` with the score of the text; see ``tag``."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = sent.value
+        tagger = Tagger(model)
+        return lambda text: pa.array(scores_of(model, tagger, text.to_pylist())[0], pa.float64())
+
+    return with_column(df, name, DoubleType(), text_col, make)
+
+
 def tag(
     df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -166,12 +187,8 @@ def tag(
         tagger = Tagger(model)
         for batch in batches:
             items = batch.column("text").to_pylist()
-            if model.constant is not None:
-                scores, spans = [model.constant] * len(items), [[] for _ in items]
-            else:
-                marginals = tagger.tag(items)
-                scores = [float(p.max()) if len(p) else 0.0 for p in marginals]
-                spans = [spans_of(t, p) for t, p in zip(items, marginals, strict=True)]
+            scores, marginals = scores_of(model, tagger, items)
+            spans = [spans_of(t, p) for t, p in zip(items, marginals, strict=True)]
             span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))],
