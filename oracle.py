@@ -426,7 +426,7 @@ def _annotated(at: str) -> str:
         [
             LOG,
             RESPONSES,
-            """selected as (select * from command_log where number between 1 and 50),
+            """selected as (select * from command_log),
 hist as (select history_id, count(*) as extracted from selected group by all)""",
             route("selected", 1),
             redacted("routed", "history_id, number, epoch_s, has_time", "command", "marked"),
@@ -448,18 +448,48 @@ hist as (select history_id, count(*) as extracted from selected group by all)"""
   join counts using (history_id)
   left join (select * from explained where status = 'ok') e on e.history_id = h.history_id)""",
             step_text("st", "enhanced", "md", timed=True),
-            document("Annotated", "commands #1 to #50", at, "md", "doc", "sections"),
+            document("Annotated", f"commands #1 to #{LAST_NUMBER}", at, "md", "doc", "sections"),
         ]
     )
     return with_(body, "select * from doc", recursive=True)
 
 
+def prompt(text: str, part_rows: int) -> str:
+    return f"""
+select history_id, (number - first) // {part_rows} as part_no,
+  string_agg(concat(idx, ': ', t, chr(10)), '' order by number) as prompt
+from (select history_id, number, {text} as t, min(number) over (partition by history_id) as first,
+  row_number() over (partition by history_id order by number) - 1 as idx from marked)
+group by all"""
+
+
+# above every number of a history
+LAST_NUMBER = 1_000_000_000
+
+
+def guide_document(first: int, last: int, at: str) -> str:
+    parts = [
+        guide(first, last),
+        overview("hist", "steps", "ov"),
+        needs("st", "need"),
+        """sections as (select * from hist join ov using (history_id)
+  left join need_list using (history_id) join counts using (history_id))""",
+        step_text("st", "steps", "md"),
+        document("Runbook", f"commands #{first} to #{last}", at, "md", "doc", "sections"),
+    ]
+    return with_(",".join(parts), "select * from doc", True)
+
+
 def queries(generated_at: str, custom_rules, custom_workflows) -> dict[str, str]:
     mark = redacted("command_log", "history_id, number, epoch_s, has_time", "command", "marked")
     mark_text = f"coalesce(case when dead is not null then {q(PLACEHOLDER)} end, c)"
     audited = f"{LOG}, {mark}, {audit('marked', 'records')}"
     steps = f"{LOG}, {stepped('command_log', 'st')}, {summary('st', 'steps')}"
-    g = guide(5, 60)
+    g = guide(1, LAST_NUMBER)
+    own_rules = redacted(
+        "command_log", "history_id, number", "command", "marked", (*RULES, *custom_rules)
+    )
+    deduped = with_(f"{LOG}, {dedup('command_log', 'out')}", "select * from out", True)
 
     def column(table: str, key: str, text: str) -> str:
         return with_(
@@ -469,6 +499,12 @@ def queries(generated_at: str, custom_rules, custom_workflows) -> dict[str, str]
     return {
         "parse_history_lines": with_(LINES, "select * from parsed"),
         "number_commands": with_(LINES, "select * from numbered"),
+        "number_commands_chunks": with_(LINES, "select * from numbered"),
+        "positions_chunks": with_(
+            LOG,
+            """select *, row_number() over (partition by history_id order by number) - 1 as idx
+from command_log""",
+        ),
         "range_filter": with_(LINES, "select * from numbered where number between 10 and 40"),
         "empty_range_status": with_(
             LOG,
@@ -496,7 +532,8 @@ from command_log where starts_with({trim('command')}, 'export ')""",
         "collapse_pairs": with_(
             PAIRS, f"select history_id, number, a, b from pairs where {superseded('a', 'b')}"
         ),
-        "dedup_commands": with_(f"{LOG}, {dedup('command_log', 'out')}", "select * from out", True),
+        "dedup_commands": deduped,
+        "dedup_chunks": deduped,
         "dedup_gap_param": with_(
             f"{LOG}, {dedup('command_log', 'out', gap=5)}", "select * from out", True
         ),
@@ -519,12 +556,12 @@ from command_log where starts_with({trim('command')}, 'export ')""",
 from marked where dead is null""",
         ),
         "custom_rules": with_(
-            f"{LOG}, "
-            + redacted(
-                "command_log", "history_id, number", "command", "marked", (*RULES, *custom_rules)
-            ),
+            f"{LOG}, {own_rules}",
             "select history_id, number, c as command from marked where dead is null",
         ),
+        "custom_rules_column": with_(
+            f"{LOG}, {own_rules}", f"select history_id, number, {mark_text} as command from marked"
+        ),
         "tools": with_(
             LOG,
             f"""select history_id, number, {tool("command", STEP_WRAPPERS)} as tool,
@@ -541,6 +578,7 @@ from marked where dead is null""",
         "step_boundaries": with_(steps, "select history_id, number, step_no from st where starts"),
         "step_commands": with_(steps, "select * exclude (starts, has_time) from st"),
         "steps": with_(steps, "select * from steps"),
+        "steps_chunks": with_(steps, "select * from steps"),
         "step_titles": with_(
             steps,
             """select title, count(*) as steps, cast(sum(commands) as bigint) as commands
@@ -562,21 +600,9 @@ from steps group by title""",
             f"{steps}, {step_text('st', 'steps', 'md', timed=True)}",
             "select history_id, step_no, cast(0 as bigint) as part_no, markdown from md",
         ),
-        "guide_documents": with_(
-            ",".join(
-                [
-                    g,
-                    overview("hist", "steps", "ov"),
-                    needs("st", "need"),
-                    """sections as (select * from hist join ov using (history_id)
-  left join need_list using (history_id) join counts using (history_id))""",
-                    step_text("st", "steps", "md"),
-                    document("Runbook", "commands #5 to #60", generated_at, "md", "doc", "sections"),
-                ]
-            ),
-            "select * from doc",
-            True,
-        ),
+        "guide_documents": guide_document(1, LAST_NUMBER, generated_at),
+        "guide_chunks": guide_document(1, LAST_NUMBER, generated_at),
+        "guide_range": guide_document(5, 60, generated_at),
         "stage_metrics": with_(
             g,
             """select h.history_id, extracted, coalesce(k.n, 0) as kept, redactions,
@@ -586,22 +612,16 @@ left join (select history_id, count(*) as n from deduped group by all) k using (
 left join (select history_id, count(*) as n from steps group by all) s using (history_id)""",
             True,
         ),
-        "prompt_dedup": with_(
-            f"{LOG}, {mark}",
-            f"""select history_id, cast(0 as bigint) as part_no,
-  string_agg(concat(idx, ': ', t, chr(10)), '' order by number) as prompt
-from (select history_id, number, {mark_text} as t,
-  row_number() over (partition by history_id order by number) - 1 as idx from marked)
-group by history_id""",
-        ),
+        "prompt_dedup": with_(f"{LOG}, {mark}", prompt(mark_text, 1 << 18)),
+        "prompt_dedup_parts": with_(f"{LOG}, {mark}", prompt(mark_text, 16)),
         "prompt_explain": with_(
-            steps,
-            """select history_id, cast(0 as bigint) as part_no, string_agg(concat('## Group ', step_no,
+            f"{steps}, {redacted('st', 'history_id, number, step_no', 'command', 'marked')}",
+            f"""select history_id, cast(0 as bigint) as part_no, string_agg(concat('## Group ', step_no,
   case when title <> '' then concat(': ', title) else '' end, chr(10), body, chr(10)), ''
   order by step_no) as prompt
 from steps join (select history_id, step_no,
-  string_agg(concat('  $ ', command, chr(10)), '' order by number) as body
-  from st group by all) using (history_id, step_no)
+  string_agg(concat('  $ ', {mark_text}, chr(10)), '' order by number) as body
+  from marked group by all) using (history_id, step_no)
 group by history_id""",
         ),
         "prompt_whole_history": with_(

@@ -14,7 +14,9 @@ class Rule:
     ``needs`` speeds a rule up: text that holds none of these strings cannot
     match. With ``any_case`` they are looked for in lower-cased text.
     ``only_if`` is a pattern found in all matching text that is cheaper to look
-    for. ``ends_with`` names a character every match ends with.
+    for. ``ends_with`` names a character every match ends with. ``starts`` are
+    patterns that consume text from each place on where a match may begin, so that
+    a rule with an open-ended repeat is not tried from every one of them.
     """
 
     name: str
@@ -25,6 +27,7 @@ class Rule:
     any_case: bool = False
     only_if: str = ""
     ends_with: str = ""
+    starts: tuple[str, ...] = ()
 
 
 # The built-in rules, in the order in which they apply.
@@ -88,7 +91,7 @@ RULES: tuple[Rule, ...] = (
     Rule("mongodb-connection-string", r"mongodb(?:\+srv)?://[^:]+:([^@]+)@", "mongodb://[user]:<REDACTED>@", needs=("mongodb",), ends_with="@"),
     Rule("generic-secret-assignment", r"""(?i)((?:secret|password|passwd|pwd|token|api_key|apikey|auth)[_-]?\w{0,20}\s{0,3}[=:]\s{0,3}['"]?)([^'"'\s]{8,})(['"]?)""", "${1}<REDACTED>${3}", needs=("ecret", "word", "wd", "token", "api_key", "apikey", "auth"), any_case=True),
     Rule("inline-secret-var", r"""(\b(?:PASSWORD|SECRET|TOKEN|API_KEY)\s*=\s*['"]?)([^'"'\s]+)(['"]?\s)""", "${1}<REDACTED>${3}", needs=("PASSWORD", "SECRET", "TOKEN", "API_KEY")),
-    Rule("curl-password-data", r"""(-d\s+['"]?[^'"]*(?:password|passwd|secret|token)['"]*\s*[=:]\s*['"]?)([^'"&\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("-d",), only_if=r"""(?:password|passwd|secret|token)['"]*\s*[=:]"""),
+    Rule("curl-password-data", r"""(-d\s+['"]?[^'"]*(?:password|passwd|secret|token)['"]*\s*[=:]\s*['"]?)([^'"&\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("-d",), only_if=r"""(?:password|passwd|secret|token)['"]*\s*[=:]""", starts=(r"""-d\s[^'"]*+""", r"""(?<!\x{E000})-d\s+(?=['"])""")),
     Rule("docker-secret-env", r"(-e\s+[A-Z_]*(?:PASSWORD|SECRET|TOKEN|API_KEY)[A-Z_]*=)([^\s]+)", "${1}<REDACTED>", needs=("PASSWORD", "SECRET", "TOKEN", "API_KEY")),
     Rule("kubectl-secret", r"(--from-literal=[A-Za-z_-]*(?:password|secret|token|key)[A-Za-z_-]*=)([^\s]+)", "${1}<REDACTED>", needs=("--from-literal=",)),
 )

@@ -33,11 +33,23 @@ def dedup_prompt(
     pieces = positions(commands).select(
         "history_id", "number", F.lit(COMMAND).alias("seq"), line.alias("text")
     )
-    return joined(pieces, ["history_id"], "prompt", part_rows)
+    return joined(pieces, _firsts(commands, "number"), ["history_id"], "prompt", part_rows)
 
 
-def explain_prompt(stepped: DataFrame, steps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """A heading per step and its commands below, joined per history and part."""
+def _firsts(rows: DataFrame, number: str) -> DataFrame:
+    return rows.groupBy("history_id").agg(F.min(number).alias("first_number"))
+
+
+def explain_prompt(
+    stepped: DataFrame,
+    steps: DataFrame,
+    extra: Sequence[Rule] = (),
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
+    """A heading per step and its commands below, joined per history and part.
+
+    Commands are redacted here; rows that are redacted already stay as they are.
+    """
     title = F.when(F.col("title") != "", F.concat(F.lit(": "), "title")).otherwise("")
     frame = steps.select(
         "history_id",
@@ -62,21 +74,21 @@ def explain_prompt(stepped: DataFrame, steps: DataFrame, part_rows: int = PART_R
         "history_id",
         "number",
         F.lit(COMMAND).alias("seq"),
-        F.concat(F.lit("  $ "), "command", F.lit("\n")).alias("text"),
+        F.concat(F.lit("  $ "), redact("command", extra), F.lit("\n")).alias("text"),
     )
-    return joined(frame.unionByName(lines), ["history_id"], "prompt", part_rows)
+    pieces = frame.unionByName(lines)
+    return joined(pieces, _firsts(steps, "first_number"), ["history_id"], "prompt", part_rows)
 
 
 def whole_history_prompt(
     commands: DataFrame, extra: Sequence[Rule] = (), part_rows: int = PART_ROWS
 ) -> DataFrame:
     """All commands of a history as one group without a title."""
-    clean = commands.withColumn("command", redact("command", extra))
     groups = commands.groupBy("history_id").agg(
         F.min("number").alias("first_number"), F.max("number").alias("last_number")
     )
     groups = groups.withColumns({"step_no": F.lit(1).cast("bigint"), "title": F.lit("")})
-    return explain_prompt(clean, groups, part_rows)
+    return explain_prompt(commands, groups, extra, part_rows)
 
 
 def response_json(body: Column | str, keys: Sequence[str]) -> Column:

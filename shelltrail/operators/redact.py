@@ -39,9 +39,32 @@ def _may_match(x: str, rule: Rule) -> str:
     return test
 
 
+# Stands before the places where a rule may begin; text that holds it already takes the slow way.
+START = chr(0xE000)
+
+
+def _from_starts(x: str, rule: Rule) -> str:
+    """The rule, tried only at the places that its ``starts`` mark.
+
+    A match that begins elsewhere would also begin at the marked place before it. The
+    second round is for marks that stood inside of a match of the first.
+    """
+    mark = _literal(START)
+    pattern = _literal(START + java_pattern(rule.pattern))
+    replacement = _literal(java_replacement(rule.replacement))
+    for _ in range(2):
+        for start in rule.starts:
+            x = f"regexp_replace({x}, {_literal(java_pattern(start))}, {_literal(START + '$0')})"
+        x = f"replace(regexp_replace({x}, {pattern}, {replacement}), {mark}, '')"
+    return x
+
+
 def _rewritten(x: str, rule: Rule) -> str:
     pattern = _literal(java_pattern(rule.pattern))
     replacement = _literal(java_replacement(rule.replacement))
+    if rule.starts:
+        plain = f"regexp_replace({x}, {pattern}, {replacement})"
+        return f"if(contains({x}, {_literal(START)}), {plain}, {_from_starts(x, rule)})"
     if not rule.ends_with:
         return f"regexp_replace({x}, {pattern}, {replacement})"
     # No match reaches past the last such character. Leaving the rest out spares
@@ -70,12 +93,10 @@ def redact(column: str, extra: Sequence[Rule] = ()) -> Column:
     for rule in RULES:
         text = f"transform({text}, x -> {_text_step(rule)})"
     text = f"get({text}, 0)"
-    for rule in extra:
-        # refers to its input once where possible, since nesting of lambdas is limited
-        if rule.drop:
-            text = f"get(transform(array({text}), x -> {_text_step(rule)}), 0)"
-        else:
-            text = _rewritten(text, rule)
+    if extra:
+        # nesting of lambdas is limited: any number of rules is one lambda over their numbers
+        steps = " ".join(f"when {i} then {_text_step(rule)}" for i, rule in enumerate(extra))
+        text = f"aggregate(sequence(0, {len(extra) - 1}), {text}, (x, i) -> case i {steps} end)"
     return F.expr(f"coalesce({text}, if({name} is not null, {_literal(PLACEHOLDER)}, null))")
 
 
@@ -130,11 +151,6 @@ def surviving(marked: DataFrame) -> DataFrame:
     return marked.where(F.col("dropped").isNull()).drop("original", "fired", "dropped")
 
 
-def removed(marked: DataFrame) -> DataFrame:
-    """Rows that a rule removed."""
-    return marked.where(F.col("dropped").isNotNull())
-
-
 def audit(marked: DataFrame, extra: Sequence[Rule] = (), strict: bool = False) -> DataFrame:
     """One record per row and rule that changed it; ``strict`` keeps the original text.
 

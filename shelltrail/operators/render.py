@@ -2,8 +2,9 @@
 
 A history may be too long for one string. Text is therefore laid out as pieces
 (heading, command, closing), each with its place in the history, and joined into
-parts of at most ``PART_ROWS`` numbers. The parts of a history in the order of
-``part_no`` are its document; an ordinary history has exactly one.
+parts of ``part_rows`` numbers, counted from the first piece. The parts of a history
+in the order of ``part_no`` are its document; a history that spans fewer numbers has
+exactly one, wherever its numbers begin.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from shelltrail.functions.catalogue import intent_phrase, prerequisite_of
 from shelltrail.functions.text import required_tool
 
-PART_ROWS = 4096
+# Numbers of a part: some 25 MB of text with commands of a hundred characters.
+PART_ROWS = 1 << 18
 
 # Wording of a guide.
 NO_COMMANDS = "This runbook contains no commands."
@@ -34,12 +36,18 @@ def clock(epoch_s: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", hour, minute, F.pmod(day, F.lit(60)))
 
 
-def joined(pieces: DataFrame, keys: list[str], name: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Concatenate the pieces of each key and part in order."""
-    part = F.expr(f"number div {part_rows}L").alias("part_no")
+def joined(
+    pieces: DataFrame, firsts: DataFrame, keys: list[str], name: str, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Concatenate the pieces of each key and part in order.
+
+    ``firsts`` has the smallest number of each key as ``first_number``.
+    """
+    part = F.expr(f"(number - first_number) div {part_rows}L").alias("part_no")
     ordered = F.sort_array(F.collect_list(F.struct("number", "seq", "text")))
     return (
-        pieces.select(*keys, part, "number", "seq", "text")
+        pieces.join(firsts.select(*keys, "first_number"), keys)
+        .select(*keys, part, "number", "seq", "text")
         .groupBy(*keys, "part_no")
         .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(name))
     )
@@ -87,7 +95,7 @@ def step_markdown(
 ) -> DataFrame:
     """Markdown per step, in one part unless the step is very long."""
     pieces = step_pieces(stepped, steps, timestamps)
-    return joined(pieces, ["history_id", "step_no"], "markdown", part_rows)
+    return joined(pieces, steps, ["history_id", "step_no"], "markdown", part_rows)
 
 
 def overview(histories: DataFrame, steps: DataFrame) -> DataFrame:
@@ -190,6 +198,9 @@ def documents(
         "history_id",
         F.inline(F.array(_piece(first, HEADER, header), _piece(last, NOTES, notes))),
     )
+    # a guide without steps has both pieces at number 0
+    firsts = heads.select("history_id").join(ends, "history_id", "left")
+    firsts = firsts.select("history_id", first.alias("first_number"))
     body = step_pieces(stepped, steps, timestamps)
     body = body.select(
         "history_id",
@@ -197,4 +208,4 @@ def documents(
         "seq",
         F.when(F.col("seq") == CLOSING, F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"),
     )
-    return joined(frame.unionByName(body), ["history_id"], "markdown", part_rows)
+    return joined(frame.unionByName(body), firsts, ["history_id"], "markdown", part_rows)

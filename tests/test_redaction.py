@@ -187,6 +187,47 @@ def test_chain_equals_re2(spark):
             assert (g[0], list(g[1]), g[2]) == (w[0], list(w[1]), None), text
 
 
+def big(*parts, size=1_000_000):
+    """About a megabyte: the parts, the one that is a tuple repeated to fill it."""
+    rest = sum(len(p) for p in parts if isinstance(p, str))
+    return "".join(p if isinstance(p, str) else p[0] * ((size - rest) // len(p[0])) for p in parts)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        big("password= x ", ("-d a ",)),
+        big(("-d a ",), "-d password= xy"),
+        big(("-d a ",), "' -d token:x "),
+        big(("-d a ",), "-d password=&"),
+        big(("-d 'a' ",), "-d 'password=xy'"),
+        big("://a:", (":b ",)),
+        big(("mongodb://x",)),
+        big("password", (" ",)),
+        big("Authorization: Bearer ", ("abc ",)),
+    ],
+)
+def test_a_megabyte_takes_seconds(spark, text):
+    import time
+
+    start = time.perf_counter()
+    df = spark.createDataFrame([(text,)], "command string")
+    got = df.select(r.redact("command").alias("t")).first()["t"]
+    assert time.perf_counter() - start < 20
+    assert got is not None
+
+
+def test_any_number_of_extra_rules(spark):
+    rules = [r.Rule(f"gone{i}", f"^gone{i}x", "", drop=True) for i in range(100)]
+    rules += [r.Rule(f"new{i}", f"old{i}x", f"new{i}") for i in range(100)]
+    texts = ["gone7x", "gone99x", "old3x and old42x", "plain", None, "gone100x"]
+    df = spark.createDataFrame([("h", i, t) for i, t in enumerate(texts)], "history_id string, number int, command string")
+    column = [x["c"] for x in df.orderBy("number").select(r.redact("command", rules).alias("c")).collect()]
+    assert column == [r.PLACEHOLDER, r.PLACEHOLDER, "new3 and new42", "plain", None, "gone100x"]
+    marked = r.mark(df, rules).orderBy("number").collect()
+    assert [r.PLACEHOLDER if x["dropped"] else x["command"] for x in marked] == column
+
+
 def test_long_text_is_linear(spark):
     words = " ".join(["see http://host/path -d token auth word"] * 20_000)
     row = run(spark, [words]).first()
