@@ -1,14 +1,15 @@
 """Tables around a language model: prompts out, responses in.
 
 The call itself is not part of this package. Prompts are tables to be sent by
-whatever serves the model, responses are a table with one row per history and
-kind. Prompt text is redacted before it leaves; a command that would be removed
+whatever serves the model, responses are a table with one row per history, kind and
+part of the prompt; the parts of an answer are put together in their order. Prompt text is redacted before it leaves; a command that would be removed
 keeps its line as a placeholder, so that indices stay those of the commands.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +104,42 @@ def response_json(body: Column | str, keys: Sequence[str]) -> Column:
     return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
+@contextlib.contextmanager
+def _last_key_wins(rows: DataFrame) -> Iterator[None]:
+    """Of repeated keys of a JSON object the last one counts, in plans made inside the block."""
+    conf, key = rows.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
+def _parsed(responses: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
+    part = F.col("part_no") if "part_no" in responses.columns else F.lit(0)
+    rows = responses.where(F.col("kind") == kind)
+    with _last_key_wins(responses):
+        return rows.select(
+            "history_id", "status", part.cast("bigint").alias("part_no"), response_json("body", keys).alias("v")
+        )
+
+
+def _together(parts: DataFrame, **merged: Column) -> DataFrame:
+    """One row per history from the rows of its parts; all of them must have arrived."""
+    names = [c for c in parts.columns if c != "history_id"]
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", *[n for n in names if n != "part_no"])))
+    return (
+        parts.groupBy("history_id")
+        .agg(ordered.alias("p"))
+        .select(
+            "history_id",
+            F.when(F.exists("p", lambda x: ~x["status"].eqNullSafe("ok")), "failed").otherwise("ok").alias("status"),
+            *[column.alias(name) for name, column in merged.items()],
+        )
+    )
+
+
 def _type(value: Column, path: str = "$") -> Column:
     """Type of a member: ``VOID`` when missing or null."""
     return F.coalesce(
@@ -143,17 +180,18 @@ def parse_dedup_responses(responses: DataFrame) -> DataFrame:
     valid = _type(value, "$.groups").rlike("^(ARRAY<|VOID)") & F.forall(items, well_typed)
     groups = F.transform(items, group)
     none = "array<struct<representative:bigint,indices:array<bigint>,reason:string>>"
-    return (
-        responses.where(F.col("kind") == "dedup")
-        .select("history_id", "status", response_json("body", DEDUP_KEYS).alias("v"))
+    parts = (
+        _parsed(responses, "dedup", DEDUP_KEYS)
         .select(
             "history_id",
+            "part_no",
             "status",
             F.when(value.isNotNull() & valid, groups)
             .otherwise(F.array().cast(none))
             .alias("groups"),
         )
     )
+    return _together(parts, groups=F.flatten(F.transform("p", lambda x: x["groups"])))
 
 
 def parse_explain_responses(responses: DataFrame) -> DataFrame:
@@ -187,12 +225,12 @@ def parse_explain_responses(responses: DataFrame) -> DataFrame:
         _items(value, "$.prerequisites", "string"), lambda p: F.coalesce(p, F.lit(""))
     )
     none = "array<struct<title:string,description:string,why:string,notes:string>>"
-    return (
-        responses.where(F.col("kind") == "explain")
-        .select("history_id", "status", response_json("body", EXPLAIN_KEYS).alias("v"))
+    parts = (
+        _parsed(responses, "explain", EXPLAIN_KEYS)
         .withColumn("valid", valid)
         .select(
             "history_id",
+            "part_no",
             "status",
             F.when(
                 F.col("valid"),
@@ -208,6 +246,13 @@ def parse_explain_responses(responses: DataFrame) -> DataFrame:
             .alias("steps"),
         )
     )
+    said = F.filter(F.transform("p", lambda x: x["overview"]), lambda x: x != "")
+    return _together(
+        parts,
+        overview=F.coalesce(F.get(said, F.lit(0)), F.lit("")),
+        prerequisites=F.array_distinct(F.flatten(F.transform("p", lambda x: x["prerequisites"]))),
+        steps=F.flatten(F.transform("p", lambda x: x["steps"])),
+    )
 
 
 def apply_dedup_groups(commands: DataFrame, parsed: DataFrame) -> DataFrame:

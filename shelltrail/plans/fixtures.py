@@ -75,7 +75,7 @@ def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _staged:
         numbered = _number_events(spark, sf_dir)
-        _staged[key] = stage(numbered, "events"), numbered.schema
+        _staged[key] = stage(numbered, "events", keep=True), numbered.schema
     path, schema = _staged[key]
     return spark.read.schema(schema).parquet(path)
 

@@ -1,29 +1,55 @@
-"""Session helpers: where intermediate tables go."""
+"""Session helpers: where intermediate tables go, and who deletes them."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+# staged tables by application, and those of the scopes that are open
+_tables: dict[str, list[str]] = {}
+_scopes: list[list[str]] = []
+
+
+class NoSharedFolder(RuntimeError):
+    """Executors on several machines need a folder that all of them reach."""
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; an own one only where none is set."""
+    """The folder the cluster names for checkpoints; an own one only in local mode.
+
+    ``spark.checkpoint.dir`` comes first, then the folder given to
+    ``SparkContext.setCheckpointDir``.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors reach")
+    app = context.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="shelltrail-")
     return _own_folder[app]
 
 
-def stage(df: DataFrame, name: str, compression: str = "snappy") -> str:
-    """Write ``df`` as a table in the shared folder and return its path."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stage(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> str:
+    """Write ``df`` as a table in the shared folder and return its path.
+
+    The table belongs to the innermost ``owned`` block around the call; without one, or
+    with ``keep``, it is deleted when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    owner = _tables.setdefault(spark.sparkContext.applicationId, [])
+    (_scopes[-1] if _scopes and not keep else owner).append(path)
     df.write.option("compression", compression).parquet(path)
     return path
 
@@ -37,6 +63,46 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stage(df, name))
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables, in whatever file system they are."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    paths.clear()
+
+
+@contextlib.contextmanager
+def owned(paths: list[str]) -> Iterator[None]:
+    """What is staged inside the block is noted in ``paths``, whose owner deletes it."""
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what was staged inside the block at its end: use the results before that."""
+    paths: list[str] = []
+    try:
+        with owned(paths):
+            yield
+    finally:
+        delete(spark, paths)
+
+
+@atexit.register
+def _delete_rest() -> None:
+    spark = SparkSession.getActiveSession()
+    # a stopped session leaves its tables to the cleaning of the shared folder
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            delete(spark, _tables.get(spark.sparkContext.applicationId, []))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Rows of a scan, shuffled over all cores if it has fewer partitions than those.
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,12 @@ def read_commands(
     """Numbered commands of text files, one history per file.
 
     ``history_id`` may name the history from ``_metadata``; default is the file
-    path. Lines end at a line feed only. A file is read in splits; a command's
-    number is the number of commands in earlier splits of its file plus its place
-    in its own, which is known from the running row id, so nothing is sorted. The
-    parsed rows are staged first, because ids must not change between the counting
-    and the numbering pass.
+    path. Files with the same name follow one another in the order of their paths.
+    Lines end at a line feed only. A file is read in splits; a command's number is
+    the number of commands in earlier splits of its history plus its place in its
+    own, which is known from the running row id, so nothing is sorted. The parsed
+    rows are staged first, because ids must not change between the counting and the
+    numbering pass.
     """
     try:
         lines = spark.read.option("lineSep", "\n").text(path)
@@ -53,15 +55,22 @@ def read_commands(
         if e.getCondition() == "PATH_NOT_FOUND":
             raise HistoryNotFound(str(path)) from e
         raise UnreadableHistory(str(path)) from e
-    parsed = staged(
-        parse_lines(lines).withColumn("seq", F.monotonically_increasing_id()), "parsed-lines"
-    )
-    splits = parsed.groupBy("file", "split").agg(
+    try:
+        parsed = staged(
+            parse_lines(lines).withColumn("seq", F.monotonically_increasing_id()), "parsed-lines"
+        )
+    except (PySparkException, Py4JJavaError) as e:
+        if "FAILED_READ_FILE" in str(e):
+            raise UnreadableHistory(str(path)) from e
+        raise
+    place = ["history_id", "file", "split"]
+    splits = parsed.groupBy(*place).agg(
         F.count("*").alias("rows"), F.min("seq").alias("first_seq")
     )
-    offsets = with_offsets(splits, ["file"], "split").drop("rows")
+    splits = splits.withColumn("at", F.struct("file", "split"))
+    offsets = with_offsets(splits, ["history_id"], "at").drop("rows", "at")
     number = F.col("rows_before") + F.col("seq") - F.col("first_seq") + 1
-    return parsed.join(offsets, ["file", "split"]).select(
+    return parsed.join(offsets, place).select(
         "history_id", number.cast("bigint").alias("number"), "epoch_s", "has_time", "command"
     )
 

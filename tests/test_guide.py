@@ -131,6 +131,7 @@ def responses(spark, *bodies, kind="dedup"):
         ('{"groups":[[1]]}', []),
         ('{"groups":"none"}', []),
         ('{"groups":[{"indices":[0]}]} and {"x":1}', []),
+        ('{"groups":[],"groups":[{"indices":[0,1],"indices":[2]}]}', [(0, [2], "")]),
         ('{"groups":[{"indices":[0]}', []),
         ("no braces", []),
         ("} reversed {", []),
@@ -160,6 +161,49 @@ def test_explain_responses(spark, body, expected):
     assert (row["overview"], row["prerequisites"], said) == expected
 
 
+def test_parts_of_an_answer_are_put_together(spark):
+    def rows(kind, *bodies, status="ok"):
+        parts = [("h", kind, status, b, i) for i, b in reversed(list(enumerate(bodies)))]
+        return spark.createDataFrame(parts, RESPONSES + ", part_no bigint")
+
+    body = '{"overview":"%s","prerequisites":["a","%s"],"steps":[{"title":"%s"}]}'
+    df = rows("explain", body % ("", "b", "one"), body % ("all", "c", "two"), "no json")
+    said = annotate.parse_explain_responses(df).collect()
+    assert len(said) == 1
+    assert (said[0]["overview"], said[0]["prerequisites"]) == ("all", ["a", "b", "c"])
+    assert [s["title"] for s in said[0]["steps"]] == ["one", "two"]
+    steps_table = spark.createDataFrame(
+        [("h", 1, "t1", "", "", 1, 1, 1), ("h", 2, "t2", "", "", 1, 2, 2), ("h", 3, "t3", "", "", 1, 3, 3)],
+        "history_id string, step_no bigint, title string, description string, intent string,"
+        " commands bigint, first_number bigint, last_number bigint",
+    )
+    out = annotate.apply_explanations(steps_table, annotate.parse_explain_responses(df)).collect()
+    assert sorted((r["step_no"], r["title"]) for r in out) == [(1, "one"), (2, "two"), (3, "t3")]
+    groups = annotate.parse_dedup_responses(rows("dedup", '{"groups":[{"indices":[1]}]}', '{"groups":[{"indices":[2]}]}'))
+    assert [g["indices"] for g in groups.first()["groups"]] == [[1], [2]]
+    failed = rows("dedup", "{}").unionByName(rows("dedup", "{}", status="failed"))
+    assert [r["status"] for r in annotate.parse_dedup_responses(failed).collect()] == ["failed"]
+
+
+@pytest.mark.parametrize("first", [1, 4090, 262140])
+def test_one_part_wherever_the_numbers_lie(spark, commands, first):
+    df = commands(*(f"db{i} --token abc{i}" for i in range(11)), first=first)
+    stepped = steps.step_commands(df)
+    summary = steps.summarise(stepped)
+    tables = [
+        Guide(df, first, first + 10).documents(AT),
+        render.step_markdown(stepped, summary),
+        annotate.dedup_prompt(df),
+        annotate.whole_history_prompt(df),
+        annotate.explain_prompt(stepped, summary),
+    ]
+    rows = [t.collect() for t in tables]
+    assert [len(r) for r in rows[:1] + rows[2:]] == [1, 1, 1, 1]
+    assert len(rows[1]) == summary.count()
+    assert all(r["part_no"] == 0 for found in rows for r in found)
+    assert not any("abc" in str(r) for found in rows[2:] for r in found)
+
+
 def test_groups_remove_all_but_the_representative(spark, commands):
     body = '{"groups":[{"representative":2,"indices":[0,1,2]},{"representative":4,"indices":[2,4,-1,99]}]}'
     df = commands(*"abcdef", first=11, history="h0")

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from shelltrail.operators import numbering
 from shelltrail.operators.pairs import neighbours
 from shelltrail.schema import COMMANDS, HISTORY_LINES
+from shelltrail import session
+from shelltrail.plans.guide import Guide
 from shelltrail.session import shared_folder
 from shelltrail.sources import history
 
@@ -113,6 +115,51 @@ def test_shared_folder_is_the_one_of_the_cluster(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
 
+def test_folder_rules(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    Context.folder = "/given/to/the/context"
+    assert shared_folder(Session()) == "/given/to/the/context"
+    Context.folder = None
+    with pytest.raises(session.NoSharedFolder):
+        shared_folder(Session())
+
+
+def test_staged_tables_have_an_owner(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    rows = [("h", i, i, True, f"git add {i}") for i in range(1, 20)]
+    with Guide(spark.createDataFrame(rows, COMMANDS), 1, 19, chunk_rows=4) as guide:
+        assert guide.metrics().first()["extracted"] == 19
+        assert len(list(tmp_path.iterdir())) > 2
+    assert list(tmp_path.iterdir()) == []
+    with session.staging(spark):
+        kept = session.stage(spark.range(3), "kept", keep=True)
+        session.staged(spark.range(3), "gone")
+    assert [str(p) for p in tmp_path.iterdir()] == [kept]
+
+
+def test_files_of_one_history_are_numbered_together(spark, tmp_path):
+    for name in ("b", "a"):
+        write(tmp_path, name, b"".join(b": %d:0;%s%d\n" % (i, name.encode(), i) for i in range(3)))
+    df = history.read_commands(spark, str(tmp_path), F.lit("all"))
+    got = [r["command"] for r in df.orderBy("number").collect()]
+    assert got == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    assert [r["number"] for r in df.orderBy("number").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_unreadable_history(spark, tmp_path):
+    path = write(tmp_path, "broken.gz", b"no gzip at all")
+    with pytest.raises(history.UnreadableHistory):
+        history.read_commands(spark, path)
+
+
 def test_written_guides_keep_their_order(spark, tmp_path):
     parts = [("a b", i, f"line {i}\nmore {i}\n") for i in range(20)] + [("c", 0, "x\n")]
     df = spark.createDataFrame(parts, "history_id string, part_no bigint, markdown string").repartition(7)
