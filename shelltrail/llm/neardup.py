@@ -8,9 +8,9 @@ sets; documents linked in chains form one component.
 Copies with equal shingle sets are one representative from the start. In a bucket not all
 pairs are looked at: members are first compared with one pivot, the smallest id. Only where
 the members of a bucket are still in different components, pairs across components are
-formed, in blocks of bounded size and only if their whole signatures could belong to
-similar sets. Pairs inside a component cannot change the result and are left out, so a
-group of thousands of copies costs one comparison for each member.
+compared, in blocks of bounded size, and only the links that join components leave the
+task. Pairs inside a component cannot change the result and are left out, so a group of
+thousands of copies costs one comparison for each member.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ FUNCTIONS = 80
 # Values in a band: 160 values make 32 bands, and a pair of similarity 0.8 is missed with
 # probability (1 - 0.8**5)**32 = 3e-6.
 BAND = 5
-# Members of a bucket that are compared with each other at a time.
-BLOCK = 256
+# Shingles of the members of a bucket that are compared with each other at a time.
+BLOCK_SHINGLES = 1 << 20
+# From this number of members on, signatures spare comparisons in a bucket.
+SMALL_BUCKET = 8
 # The share of equal values lies this much below the similarity with probability below 1e-6.
 MARGIN = 0.16
 SEED = 11
@@ -113,7 +115,7 @@ def digests(rows: DataFrame, words: int) -> DataFrame:
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
-    """(key, rep, n) for every band of every representative."""
+    """(key, band, rep, n) for every band of every representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,13 +126,15 @@ def band_rows(reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key.ravel()),
+                    pa.array(np.tile(np.arange(key.shape[1], dtype=np.int32), len(key))),
                     pa.array(np.repeat(batch.column("rep").to_numpy(), key.shape[1])),
                     pa.array(np.repeat(batch.column("n").to_numpy(), key.shape[1])),
                 ],
-                names=["key", "rep", "n"],
+                names=["key", "band", "rep", "n"],
             )
 
-    return reps.select("rep", "n", "signature").mapInArrow(run, "key bigint, rep bigint, n bigint")
+    schema = "key bigint, band int, rep bigint, n bigint"
+    return reps.select("rep", "n", "signature").mapInArrow(run, schema)
 
 
 def close_sizes(a: str, b: str, percent: int):
@@ -164,50 +168,107 @@ def confirmed(pairs: DataFrame, wanted: DataFrame, words: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def across(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a bucket in different components that may be similar.
+class Forest:
+    """Which components have become one, and the links that made them so."""
 
-    ``members`` has key, rep, n, comp. Large buckets are cut into blocks; every two blocks
-    meet once.
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while c in self.parent:
+            c = self.parent[c]
+        return c
+
+    def unite(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def links_across(reps, comps, left, sets, percent: int, band: int) -> list[tuple[int, int]]:
+    """Links that connect components of a bucket, as few as do.
+
+    Members of the most frequent component are not compared with each other. In larger
+    buckets a pair is looked at only in the first band that it shares, and only if its
+    whole signatures could belong to similar sets.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    cut = members.join(sizes, "key").withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
+    n = len(reps)
+    sizes = np.array([len(s) for s in sets])
+    flat, ends = np.concatenate(sets), np.cumsum(sizes)
+    many = n > SMALL_BUCKET
+    if many:
+        signatures = np.stack([signature(s) for s in sets])
+        keys = bands(signatures)
+    names, counts = np.unique(comps, return_counts=True)
+    minor = np.flatnonzero(comps != names[counts.argmax()])
+    forest, found = Forest(), []
+    rank = np.full(n, -1)
+    rank[minor] = np.arange(len(minor))
+    root = comps.copy()
+    least = (percent / 100 - MARGIN) * 2 * FUNCTIONS
+    for i in minor.tolist():
+        at = np.flatnonzero(
+            (root != root[i])
+            & (rank < rank[i])
+            & ((left != left[i]) | (left == 2))
+            & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        )
+        if many and len(at):
+            at = at[(keys[at] == keys[i]).argmax(1) == band]
+            at = at[(signatures[at] == signatures[i]).sum(1) >= least]
+        if not len(at):
+            continue
+        # shingles of all candidates, looked up in the set of i
+        length = sizes[at]
+        stop = np.cumsum(length)
+        own = np.repeat(ends[at] - stop, length) + np.arange(stop[-1])
+        place = np.minimum(np.searchsorted(sets[i], flat[own]), sizes[i] - 1)
+        common = np.add.reduceat((sets[i][place] == flat[own]).astype(np.int64), stop - length)
+        for j in at[100 * common >= percent * (length + sizes[i] - common)].tolist():
+            if forest.unite(int(comps[i]), int(comps[j])):
+                found.append((int(max(reps[i], reps[j])), int(min(reps[i], reps[j]))))
+        if found:
+            root = np.array([forest.root(c) for c in names.tolist()])[np.searchsorted(names, comps)]
+    return found
+
+
+def across(members: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of a bucket in different components.
+
+    ``members`` has key, band, rep, n, comp. A bucket is cut into blocks of a bounded number
+    of shingles; every two blocks meet once, with the texts of their members.
+    """
+    sizes = members.groupBy("key").agg(F.sum("n").alias("size"))
+    cut = members.join(sizes, "key").withColumn(
+        "blocks", F.expr(f"cast(ceil(size / {BLOCK_SHINGLES}) as int)")
+    )
     cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int"))
     meet = (
-        cut.join(signatures.select("rep", "signature"), "rep")
+        cut.join(wanted, "rep")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            (F.col("block") <= F.col("other")).alias("left"), "rep", "n", "comp", "signature",
+            "key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            side.alias("side"), "rep", "comp", "text",
         )
     )
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meet = meet.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    least = (percent / 100 - MARGIN) * 2 * FUNCTIONS
-
-    def pairs_of(rows: list[dict], same: bool) -> tuple[np.ndarray, np.ndarray]:
-        rep = np.array([r["rep"] for r in rows])
-        n = np.array([r["n"] for r in rows])
-        comp = np.array([r["comp"] for r in rows])
-        sig = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint32).reshape(len(rows), -1)
-        left = np.arange(len(rows)) if same else np.flatnonzero([r["left"] for r in rows])
-        right = np.arange(len(rows)) if same else np.flatnonzero([not r["left"] for r in rows])
-        a, b = [], []
-        for i in left.tolist():
-            ok = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
-            if same:
-                ok &= right > i
-            at = right[ok]
-            at = at[(sig[at] == sig[i]).sum(1) >= least]
-            a.append(np.full(len(at), rep[i]))
-            b.append(rep[at])
-        a, b = np.concatenate(a or [rep[:0]]), np.concatenate(b or [rep[:0]])
-        return np.maximum(a, b), np.minimum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                a, b = pairs_of(held, current[1] == current[2])
+            comps = np.array([r["comp"] for r in held], np.int64)
+            if len(held) < 2 or (comps == comps[0]).all():
+                return
+            sets = shingle_sets([r["text"] for r in held], hashes, words)
+            reps = np.array([r["rep"] for r in held], np.int64)
+            side = np.array([r["side"] for r in held])
+            found = links_across(reps, comps, side, sets, percent, held[0]["band"])
+            if found:
+                a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         current, held = None, []
@@ -278,12 +339,11 @@ def near_duplicates(
     links = staged(confirmed(first, wanted, words, percent), "links")
     parts = components(links)
     # buckets that still hold several components
-    named = shared.select("key", "rep", "n").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    named = staged(named.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")), "named")
+    named = shared.select("key", "band", "rep", "n").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+    named = staged(named.select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp")), "named")
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     split = split.where("lo < hi").select("key")
-    more = across(named.join(split, "key"), reps, percent).join(first, ["a", "b"], "left_anti")
-    more = staged(confirmed(more, wanted, words, percent), "links")
+    more = staged(across(named.join(split, "key"), wanted, words, percent), "links")
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     return (

@@ -87,9 +87,13 @@ def test_chains_and_one_large_group(spark):
     assert result(frame(spark, rows).repartition(6), 4) == brute(rows, 4)
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 7)
-    rows = corpus(5, 150)
+@pytest.mark.parametrize("shingles", [300, 1 << 20])
+def test_blocks_of_a_large_bucket(spark, monkeypatch, shingles):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(200)}" for _ in range(150))
+    # most pairs lie below the threshold, some chains go through
+    rows = corpus(5, 100) + [(1000 + i, edited(base, rng, 6)) for i in range(150)]
     assert result(frame(spark, rows), 4) == brute(rows, 4)
 
 
