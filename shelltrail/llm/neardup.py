@@ -374,3 +374,38 @@ def without_near_duplicates(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+ORACLE = """
+with recursive w as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') as ws
+    from documents
+),
+s as (
+    select distinct doc_id, unnest(case
+        when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3])
+        when len(ws) > 0 then [ws] else [] end) as shingle
+    from w
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+    select a.doc_id as x, b.doc_id as y, count(*) as common
+    from s as a join s as b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+),
+e as (
+    select x, y from p join n as a on a.doc_id = x join n as b on b.doc_id = y
+    where 100 * common >= 80 * (a.n + b.n - common)
+),
+both_ways as (select x, y from e union all select y, x from e),
+reach as (
+    select doc_id, doc_id as c from documents
+    union
+    select y, c from reach join both_ways on x = doc_id where c < y
+)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(c) as component_id,
+    min(c) = d.doc_id as kept
+from documents as d join reach using (doc_id) left join n using (doc_id)
+group by d.doc_id
+"""

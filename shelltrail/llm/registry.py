@@ -40,4 +40,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_scoring": lm_scoring.ORACLE, "op5_topk": topk.ORACLE}
+    return {
+        "op2_lm_scoring": lm_scoring.ORACLE,
+        "op5_topk": topk.ORACLE,
+        "op6_neardup": neardup.ORACLE,
+    }

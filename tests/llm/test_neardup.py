@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -138,3 +139,6 @@ def test_query_against_all_pairs_of_a_table(spark):
     want = brute(rows, 4)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    assert sorted(map(tuple, out)) == sorted(con.sql(neardup.ORACLE).fetchall())
