@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.functions.rules import RULES, Rule, java_pattern, java_replacement
+from shelltrail.functions.rules import RULES, Rule, java_pattern, java_replacement, rule_pattern
 
 # Fixed value: what a text becomes that must not be shown at all.
 PLACEHOLDER = "[REDACTED - contains sensitive data]"
@@ -50,7 +50,7 @@ def _from_starts(x: str, rule: Rule) -> str:
     second round is for marks that stood inside of a match of the first.
     """
     mark = _literal(START)
-    pattern = _literal(START + java_pattern(rule.pattern))
+    pattern = _literal(START + rule_pattern(rule))
     replacement = _literal(java_replacement(rule.replacement))
     for _ in range(2):
         for start in rule.starts:
@@ -60,7 +60,7 @@ def _from_starts(x: str, rule: Rule) -> str:
 
 
 def _rewritten(x: str, rule: Rule) -> str:
-    pattern = _literal(java_pattern(rule.pattern))
+    pattern = _literal(rule_pattern(rule))
     replacement = _literal(java_replacement(rule.replacement))
     if rule.starts:
         plain = f"regexp_replace({x}, {pattern}, {replacement})"
@@ -75,7 +75,7 @@ def _rewritten(x: str, rule: Rule) -> str:
 
 
 def _matches(x: str, rule: Rule) -> str:
-    return f"rlike({x}, {_literal(java_pattern(rule.pattern))})"
+    return f"rlike({x}, {_literal(rule_pattern(rule))})"
 
 
 def _text_step(rule: Rule) -> str:

@@ -205,6 +205,10 @@ def big(*parts, size=1_000_000):
         big(("mongodb://x",)),
         big("password", (" ",)),
         big("Authorization: Bearer ", ("abc ",)),
+        big("export ", ("PASSWORD",)),
+        big("export ", ("PASSWORD",), "=x"),
+        big("-e ", ("TOKEN",)),
+        big("--from-literal=", ("token-",)),
     ],
 )
 def test_a_megabyte_takes_seconds(spark, text):
