@@ -7,7 +7,7 @@ occurrences of a word in the corpus then meet in one partition, where it is enco
 and its ids join every block's entry. Shuffled back by block, the ids take the places of
 the numbers. So a word moves once for each block that has it and not once for each place,
 and no word is hotter than the number of blocks. Rows are packed: one row holds the words
-of a block that fall into the same hash bucket, or the positions of one document.
+of a block of a block that fall into the same hash bucket, or the positions of its documents.
 
 Decoding joins ids with the token-byte table, whose size is that of the vocabulary and is
 checked; it is sent to every task.
@@ -36,9 +36,9 @@ from shelltrail.llm.common import table, texts
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Text of a block, in characters.
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 # Word parts that a worker remembers; it starts afresh when it knows more.
-KNOWN_PARTS = 1 << 20
+KNOWN_PARTS = 1 << 17
 # Largest vocabulary whose byte table is sent to the tasks.
 MOST_TOKENS = 1 << 21
 
@@ -85,11 +85,6 @@ class Splitter:
         return text.replace(" ", "\0 ").split("\0") if self.by_parts and "\0" not in text else None
 
 
-@lru_cache(2)
-def splitter(pattern: str) -> Splitter:
-    return Splitter(pattern)
-
-
 class Block:
     """Dictionary code of the pre-tokens of neighbouring documents."""
 
@@ -136,6 +131,29 @@ def unpack(packed: bytes) -> list[np.ndarray]:
     return arrays
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Word numbers, those of the 256 most frequent words apart: each kind packs by itself."""
+    high, low = codes >> np.uint32(8), (codes & np.uint32(255)).astype(np.uint8)
+    rare = high > 0
+    parts = [np.packbits(rare), low[~rare], low[rare]]
+    parts += [((high[rare] >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8) for k in range(3)]
+    body = b"".join(zstandard.compress(x.tobytes(), 3) for x in parts)
+    return len(codes).to_bytes(8, "little") + body
+
+
+def unpack_codes(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    with zstandard.ZstdDecompressor().stream_reader(packed[8:], read_across_frames=True) as frames:
+        body = np.frombuffer(frames.read(), np.uint8)
+    rare = np.unpackbits(body[: -(-n // 8)], count=n).astype(bool)
+    at, few = -(-n // 8), int(rare.sum())
+    codes = np.zeros(n, np.uint32)
+    codes[~rare] = body[at : at + n - few]
+    planes = body[at + n - few :].reshape(4, few).astype(np.uint32)
+    codes[rare] = planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16) | planes[3] << np.uint32(24)
+    return codes
+
+
 def word_rows(words: list[str], codes: list[np.ndarray], buckets: int):
     """(bucket, packed words) rows of a block, and its codes with frequent words numbered low."""
     n = len(words)
@@ -155,32 +173,38 @@ def word_rows(words: list[str], codes: list[np.ndarray], buckets: int):
     return rows, [number[c] for c in codes]
 
 
-SPLIT_SCHEMA = "block bigint, bucket int, numbers binary, words binary, doc_id {id}, code binary"
+SPLIT_SCHEMA = (
+    "block bigint, bucket int, numbers binary, words binary, ids array<{id}>, sizes binary, codes binary"
+)
 
 
 def pre_tokens(rows: DataFrame, pattern: str, block_chars: int, buckets: int) -> DataFrame:
-    """Rows of words (block, bucket, numbers, words) and of documents (block, doc_id, code)."""
+    """Rows of words (block, bucket, numbers, words), and one of the documents of a block."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, first, made = splitter(pattern), TaskContext.get().partitionId() << 32, 0
+        split, first, made = Splitter(pattern), TaskContext.get().partitionId() << 32, 0
 
         def flush(block: Block, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             codes = [np.frombuffer(c, "<u4") for _, c in block.docs]
             words, codes = word_rows(list(block.numbers), codes, buckets)
-            n, m = len(words), len(codes)
-            # document rows only pass through and are spread evenly
-            spread = [(first + made + i) % buckets for i in range(m)]
+            n, sizes = len(words), np.array([len(c) for c in codes])
+            # the document row only passes through
+            doc_ids = pa.array([d for d, _ in block.docs], id_type)
+            ids = pa.ListArray.from_arrays(
+                pa.array([*[None] * n, 0, len(doc_ids)], pa.int32()), doc_ids
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n + m, first + made)),
-                    pa.array([*(b for b, _, _ in words), *spread], pa.int32()),
-                    pa.array([*(x for _, x, _ in words), *[None] * m], pa.binary()),
-                    pa.array([*(w for _, _, w in words), *[None] * m], pa.binary()),
-                    pa.array([*[None] * n, *(d for d, _ in block.docs)], id_type),
-                    pa.array([*[None] * n, *map(pack, codes)], pa.binary()),
+                    pa.array(np.full(n + 1, first + made)),
+                    pa.array([*(b for b, _, _ in words), made % buckets], pa.int32()),
+                    pa.array([*(x for _, x, _ in words), None], pa.binary()),
+                    pa.array([*(w for _, _, w in words), None], pa.binary()),
+                    ids,
+                    pa.array([*[None] * n, pack(sizes)], pa.binary()),
+                    pa.array([*[None] * n, pack_codes(np.concatenate(codes))], pa.binary()),
                 ],
-                names=["block", "bucket", "numbers", "words", "doc_id", "code"],
+                names=["block", "bucket", "numbers", "words", "ids", "sizes", "codes"],
             )
 
         block, id_type = Block(split), None
@@ -199,7 +223,7 @@ def pre_tokens(rows: DataFrame, pattern: str, block_chars: int, buckets: int) ->
 
 def with_ids(split: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Word rows get ``numbers`` with ids: all occurrences of a word are in one partition."""
-    kind = dict(split.dtypes)["doc_id"]
+    kind = dict(split.dtypes)["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = encoding(ranks, pattern)._encode_single_piece, {}
@@ -225,17 +249,17 @@ def with_ids(split: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 counts = np.fromiter((len(i) // 4 for i in found), np.int64, len(found))
                 out.append(pack(steps, counts, np.frombuffer(b"".join(found), "<u4")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), pa.array(out, pa.binary()), batch.column("doc_id"), batch.column("code")],
-                names=["block", "found", "doc_id", "code"],
+                [batch.column("block"), pa.array(out, pa.binary()), *map(batch.column, ("ids", "sizes", "codes"))],
+                names=["block", "found", "ids", "sizes", "codes"],
             )
 
-    schema = f"block bigint, found binary, doc_id {kind}, code binary"
+    schema = f"block bigint, found binary, ids {kind}, sizes binary, codes binary"
     return split.repartition("bucket").mapInArrow(run, schema)
 
 
 def assemble(rows: pa.Table) -> pa.Table:
     """Documents of a block with the ids in the places of the word numbers."""
-    docs = rows.filter(pc.is_valid(rows.column("code")))
+    docs = rows.filter(pc.is_valid(rows.column("codes")))
     found = [unpack(x) for x in rows.column("found").to_pylist() if x is not None]
     none = np.empty(0, np.int64)
     number = np.concatenate([none, *(np.cumsum(f[0].astype(np.int64)) for f in found)])
@@ -246,15 +270,17 @@ def assemble(rows: pa.Table) -> pa.Table:
         raise RuntimeError("a block lost words or has them twice")
     start = (np.cumsum(length) - length)[order]
     length = length[order]
+    codes = unpack_codes(docs.column("codes")[0].as_py())
+    places = unpack(docs.column("sizes")[0].as_py())[0].astype(np.int64)
     out = []
-    for code in docs.column("code").to_pylist():
-        numbers = unpack(code)[0]
+    for numbers in np.split(codes, np.cumsum(places)[:-1]):
         sizes = length[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(start[numbers] - (ends - sizes), sizes) + np.arange(total)
         out.append(flat[at].tobytes())
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary())})
+    doc_ids = docs.column("ids").combine_chunks().flatten()
+    return pa.table({"doc_id": doc_ids, "ids": pa.array(out, pa.binary())})
 
 
 def encode(
@@ -272,8 +298,8 @@ def encode(
     empty result.
     """
     rows = texts(df, id_col, text_col)
-    # as many buckets as tasks of a shuffle can want, a few each
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many buckets as tasks of a shuffle can want, some each
+    buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = with_ids(pre_tokens(rows, pattern, block_chars, buckets), ranks, pattern)
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary"
     return found.groupBy("block").applyInArrow(assemble, schema)
