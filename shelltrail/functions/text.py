@@ -46,6 +46,11 @@ def one_char_per_byte(c: Column) -> Column:
     return F.when(plain, c).otherwise(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"))
 
 
+def longer_after(before: Column, now: Column, seconds: int) -> Column:
+    """Whether more than ``seconds`` lie between two times, also if a long cannot hold them."""
+    return F.coalesce(F.try_subtract(now, before) > seconds, now > before)
+
+
 def edit_distance(a: Column | str, b: Column | str) -> Column:
     """Edit distance in bytes."""
     return F.levenshtein(one_char_per_byte(_col(a)), one_char_per_byte(_col(b)))

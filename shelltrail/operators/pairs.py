@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelltrail.functions.text import edit_distance, is_superseded, is_typo, trim_space
+from shelltrail.functions.text import (
+    edit_distance,
+    is_superseded,
+    is_typo,
+    longer_after,
+    trim_space,
+)
 from shelltrail.operators.chunks import CHUNK_ROWS, with_previous
 from shelltrail.operators.dedup import TIME_GAP_S
 
@@ -28,7 +34,7 @@ def consecutive_duplicates(pairs: DataFrame, time_gap_s: int = TIME_GAP_S) -> Da
     late = (
         F.col("before.has_time")
         & F.col("now.has_time")
-        & (F.col("now.epoch_s") - F.col("before.epoch_s") > time_gap_s)
+        & longer_after(F.col("before.epoch_s"), F.col("now.epoch_s"), time_gap_s)
     )
     return pairs.where(F.col("a") == F.col("b")).select(
         "history_id", "number", F.coalesce(late, F.lit(False)).alias("intentional")

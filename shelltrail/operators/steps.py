@@ -19,7 +19,7 @@ from shelltrail.functions.catalogue import (
     tool_title,
     workflow_title,
 )
-from shelltrail.functions.text import step_tool
+from shelltrail.functions.text import longer_after, step_tool
 from shelltrail.operators.chunks import (
     CHUNK_ROWS,
     KEYS,
@@ -44,9 +44,8 @@ def with_tool_and_intent(commands: DataFrame, workflows: Sequence[Workflow] = ()
 
 def _cut(before: Column, now: Column, threshold_s: int) -> Column:
     """Whether a step starts here; ``before`` and ``now`` are structs of ``_STATE``."""
-    pause = (
-        before["has_time"] & now["has_time"] & (now["epoch_s"] - before["epoch_s"] > threshold_s)
-    )
+    later = longer_after(before["epoch_s"], now["epoch_s"], threshold_s)
+    pause = before["has_time"] & now["has_time"] & later
     ended = (before["intent"] != "") & (before["intent"] != now["intent"])
     return (before["related"] != now["related"]) | pause | ended
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelltrail.functions.catalogue import TOOL_FAMILIES, Workflow, intent_of
 from shelltrail.functions.text import required_tool, step_tool
 from shelltrail.operators import steps
+from shelltrail.operators.pairs import consecutive_duplicates, neighbours
 from shelltrail.schema import COMMANDS
 
 
@@ -100,3 +101,13 @@ def test_equals_sequential_fold(spark, chunk_rows):
     df = spark.createDataFrame(rows, schema).repartition(4)
     got = steps.cut_steps(df, 60, chunk_rows).select("history_id", "number", "step_no")
     assert {tuple(r) for r in got.collect()} == expected
+
+
+def test_times_that_a_long_cannot_subtract(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [("h", 1, low, True, "ls"), ("h", 2, high, True, "ls"), ("h", 3, low, True, "ls"), ("h", 4, low, True, "ls")]
+    df = spark.createDataFrame(rows, COMMANDS)
+    starts = [r["starts"] for r in steps.step_commands(df).orderBy("number").collect()]
+    assert starts == [True, True, False, False]
+    late = consecutive_duplicates(neighbours(df)).orderBy("number").collect()
+    assert [r["intentional"] for r in late] == [True, False, False]
