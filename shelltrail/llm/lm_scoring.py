@@ -25,16 +25,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelltrail.llm.bpe import pack, unpack
-from shelltrail.llm.common import staged, table, texts
+from shelltrail.llm.common import table, texts
 from shelltrail.llm.words import WordHashes, grams
 
 ORDER = 3
 ALPHA = 0.4
+# Fixed value: a word.
+WORD = r"[^\x20\x09-\x0D]+"
 # A word that no other document has counts as this share of a place.
 UNSEEN = 0.5
 # Text of a block and of a partition of the count tables, in characters.
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 23
 PARTITION_CHARS = 1 << 24
+# N-grams are told apart by this many bits of their hash: two of a corpus of 10**12
+# different ones are taken for one with probability 10**12 / 2**56.
+HASH_BITS = 56
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -59,7 +64,8 @@ class Block:
 
     def order(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n-gram that begins at every place, and whether it lies in one document."""
-        return grams(self.flat, self.counts, n)
+        key, inside = grams(self.flat, self.counts, n)
+        return key >> np.uint64(64 - HASH_BITS), inside
 
 
 def pack_block(flat: np.ndarray, counts: np.ndarray) -> bytes:
@@ -86,7 +92,7 @@ def unpack_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def make_blocks(rows: DataFrame, block_chars: int) -> DataFrame:
-    """block, ids (doc_id of each document), payload, words."""
+    """block, ids (doc_id of each document), payload."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +107,8 @@ def make_blocks(rows: DataFrame, block_chars: int) -> DataFrame:
                     pa.array([block], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids),
                     pa.array([pack_block(flat, count)], pa.binary()),
-                    pa.array([len(flat)], pa.int64()),
                 ],
-                names=["block", "ids", "payload", "words"],
+                names=["block", "ids", "payload"],
             )
 
         for batch in batches:
@@ -126,7 +131,7 @@ def make_blocks(rows: DataFrame, block_chars: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, payload binary, words bigint")
+    return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, payload binary")
 
 
 def asked(blocks: DataFrame, order: int, partitions: int) -> DataFrame:
@@ -155,12 +160,12 @@ def asked(blocks: DataFrame, order: int, partitions: int) -> DataFrame:
                         )
 
     schema = "part int, block bigint, n int, hashes binary, counts binary"
-    return blocks.select("block", "payload").mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema)
 
 
 def edges(partitions: int) -> np.ndarray:
     """First hash of each partition."""
-    return (np.arange(partitions, dtype=np.uint64) * np.uint64(2**64 // partitions)).astype(np.uint64)
+    return (np.arange(partitions, dtype=np.uint64) * np.uint64(2**HASH_BITS // partitions)).astype(np.uint64)
 
 
 def corpus_counts(rows: pa.Table) -> pa.Table:
@@ -196,6 +201,8 @@ def document_scores(
         found, number = np.unique(key[inside], return_inverse=True)
         # occurrences in the document itself
         own, back, many = np.unique(doc[inside] * np.int64(len(found) + 1) + number, return_inverse=True, return_counts=True)
+        if len(found) != len(totals[n]):
+            raise RuntimeError("counts do not belong to this block")
         value = np.zeros(len(flat))
         value[inside] = totals[n][number] - many[back]
         seen[n] = value
@@ -233,16 +240,16 @@ def score(
     places; a corpus of one document counts at least one word. A null or empty text has no
     words and the sum 0. Null and repeated ids and repeated rows are scored one by one, and
     copies of a document in other rows do count for it. An empty table gives an empty result;
-    other columns are not carried. N-grams are compared by 64-bit hashes.
+    other columns are not carried. N-grams are compared by HASH_BITS bits of their hashes.
     """
     rows = texts(df, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    blocks = staged(make_blocks(rows, block_chars), "lm-blocks")
-    words = blocks.agg(F.sum("words")).first()[0] or 0
+    words = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     # words are at least two characters with their blank
-    partitions = max(
-        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * words // partition_chars)
-    )
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(tasks, -(-2 * words // partition_chars))
+    # both uses of the blocks read the same shuffle
+    blocks = make_blocks(rows, block_chars).repartition(tasks, "block")
     counted = (
         asked(blocks, order, partitions)
         .groupBy("part", "n")
@@ -266,8 +273,7 @@ def score(
             }
         )
 
-    left = blocks.select("block", "ids", "payload").groupBy("block")
-    return left.cogroup(counted.groupBy("block")).applyInArrow(
+    return blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(
         finish, f"doc_id {kind}, n_words bigint, log_score double"
     )
 

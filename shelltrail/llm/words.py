@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 # Words whose hash a worker remembers; it starts afresh when it knows more.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 _lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
