@@ -2,8 +2,9 @@
 
 The call itself is not part of this package. Prompts are tables to be sent by
 whatever serves the model, responses are a table with one row per history, kind and
-part of the prompt; the parts of an answer are put together in their order. Prompt text is redacted before it leaves; a command that would be removed
-keeps its line as a placeholder, so that indices stay those of the commands.
+part of the prompt; the parts of an answer are put together in their order. Prompt
+text is redacted before it leaves; a command that would be removed keeps its line as
+a placeholder, so that indices stay those of the commands.
 """
 
 from __future__ import annotations
