@@ -14,7 +14,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from shelltrail.session import stage
 
 # Rows that travel to a Python worker at once: bounds a worker's memory also for long texts.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -32,7 +32,9 @@ MOST_CLEAN = 0.02
 # Toxic words that chance may be expected to give.
 CHANCE_WORDS = 0.5
 # Words that a worker remembers.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 17
+# Characters of the texts whose chains are worked on at a time.
+PART_CHARS = 1 << 20
 
 words_of = re.compile(r"[^\W\d_]+").findall
 find_words = re.compile(r"[^\W\d_]+").finditer
@@ -81,16 +83,20 @@ def fit(items: list[str], y: np.ndarray) -> Model:
     # first the documents labelled 1, so that a clean near copy does not hide a toxic one
     order = np.argsort(-y, kind="stable")
     keep = order[without_copies([items[i] for i in order], words_of)]
-    tokens = [words_of(items[i]) for i in keep]
-    y = y[keep]
     types: dict[str, int] = {}
-    lines = [np.array([types.setdefault(w.lower(), len(types)) for w in t], np.int64) for t in tokens]
-    lines, y = zip(*((a, v) for a, v in zip(lines, y.tolist(), strict=True) if len(a)), strict=True)
+    lines, kept = [], []
+    for i in keep.tolist():
+        found = [types.setdefault(w.lower(), len(types)) for w in words_of(items[i])]
+        if found:
+            lines.append(np.array(found, np.int64))
+            kept.append(int(y[i]))
+    if len(set(kept)) < 2:
+        return Model(constant=float(y.mean()))
     ids = np.concatenate(lines)
     sizes = np.array([len(a) for a in lines])
     first = np.zeros(len(ids), bool)
     first[np.cumsum(sizes) - sizes] = True
-    bad = np.repeat(np.array(y), sizes) == 1
+    bad = np.repeat(np.array(kept), sizes) == 1
     n = len(types)
     state = (toxic_words(n, ids, bad)[ids] & bad).astype(np.int64)
 
@@ -119,6 +125,17 @@ class Tagger:
         self.model, self.known = model, {}
 
     def tag(self, items: list[str]) -> list[np.ndarray]:
+        """Marginals of the words of each text, some texts at a time."""
+        out, part, chars = [], [], 0
+        for text in items:
+            part.append(text)
+            chars += len(text)
+            if chars > PART_CHARS:
+                out += self._tag(part)
+                part, chars = [], 0
+        return out + self._tag(part) if part else out
+
+    def _tag(self, items: list[str]) -> list[np.ndarray]:
         words = [words_of(t) for t in items]
         known = self.known
         if len(known) > KNOWN_WORDS:
