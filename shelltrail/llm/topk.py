@@ -70,7 +70,6 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if most < 2**53 else q @ x.T
 
 
-
 def blocks_of(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Vectors packed by cell: cell, ids, vectors, n, and the radius and norm of the block."""
     dim = pivots.shape[1]
