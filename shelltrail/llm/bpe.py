@@ -4,10 +4,10 @@ Texts are cut into pre-tokens. Blocks of neighbouring documents are dictionary-c
 distinct pre-token of a block gets a number, and each document becomes the numbers in the
 order of its positions. The distinct words are shuffled by a hash of the word; all
 occurrences of a word in the corpus then meet in one partition, where it is encoded once
-and its ids join every block's entry. Shuffled back by block, the ids take the places of
-the numbers. So a word moves once for each block that has it and not once for each place,
-and no word is hotter than the number of blocks. Rows are packed: one row holds the words
-of a block of a block that fall into the same hash bucket, or the positions of its documents.
+and its ids are joined back to every block that has it and take the places of the numbers.
+So a word moves once for each block that has it and not once for each place, and no word
+is hotter than the number of blocks. Rows are packed: one row holds the words of a block
+that fall into the same hash bucket, or the positions of all its documents.
 
 Decoding joins ids with the token-byte table, whose size is that of the vocabulary and is
 checked; it is sent to every task.
@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -173,13 +172,14 @@ def word_rows(words: list[str], codes: list[np.ndarray], buckets: int):
     return rows, [number[c] for c in codes]
 
 
-SPLIT_SCHEMA = (
-    "block bigint, bucket int, numbers binary, words binary, ids array<{id}>, sizes binary, codes binary"
+BLOCK_SCHEMA = (
+    "block bigint, ids array<{id}>, sizes binary, codes binary, bucket array<int>,"
+    " numbers array<binary>, words array<binary>"
 )
 
 
 def pre_tokens(rows: DataFrame, pattern: str, block_chars: int, buckets: int) -> DataFrame:
-    """Rows of words (block, bucket, numbers, words), and one of the documents of a block."""
+    """A row for each block: its documents' ids, sizes and codes, and its words by bucket."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,23 +188,19 @@ def pre_tokens(rows: DataFrame, pattern: str, block_chars: int, buckets: int) ->
         def flush(block: Block, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             codes = [np.frombuffer(c, "<u4") for _, c in block.docs]
             words, codes = word_rows(list(block.numbers), codes, buckets)
-            n, sizes = len(words), np.array([len(c) for c in codes])
-            # the document row only passes through
-            doc_ids = pa.array([d for d, _ in block.docs], id_type)
-            ids = pa.ListArray.from_arrays(
-                pa.array([*[None] * n, 0, len(doc_ids)], pa.int32()), doc_ids
-            )
+            sizes = np.array([len(c) for c in codes])
+            bucket, number, word = zip(*words, strict=True) if words else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n + 1, first + made)),
-                    pa.array([*(b for b, _, _ in words), made % buckets], pa.int32()),
-                    pa.array([*(x for _, x, _ in words), None], pa.binary()),
-                    pa.array([*(w for _, _, w in words), None], pa.binary()),
-                    ids,
-                    pa.array([*[None] * n, pack(sizes)], pa.binary()),
-                    pa.array([*[None] * n, pack_codes(np.concatenate(codes))], pa.binary()),
+                    pa.array([first + made], pa.int64()),
+                    pa.array([[d for d, _ in block.docs]], pa.list_(id_type)),
+                    pa.array([pack(sizes)], pa.binary()),
+                    pa.array([pack_codes(np.concatenate(codes))], pa.binary()),
+                    pa.array([bucket], pa.list_(pa.int32())),
+                    pa.array([number], pa.list_(pa.binary())),
+                    pa.array([word], pa.list_(pa.binary())),
                 ],
-                names=["block", "bucket", "numbers", "words", "ids", "sizes", "codes"],
+                names=["block", "ids", "sizes", "codes", "bucket", "numbers", "words"],
             )
 
         block, id_type = Block(split), None
@@ -218,12 +214,24 @@ def pre_tokens(rows: DataFrame, pattern: str, block_chars: int, buckets: int) ->
         if block.docs:
             yield from flush(block, id_type)
 
-    return rows.mapInArrow(run, SPLIT_SCHEMA.format(id=kind))
+    return rows.mapInArrow(run, BLOCK_SCHEMA.format(id=kind))
+
 
+def word_ids(blocks: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """Word numbers of each block with ids (block, found): a word's occurrences meet in one task."""
 
-def with_ids(split: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Word rows get ``numbers`` with ids: all occurrences of a word are in one partition."""
-    kind = dict(split.dtypes)["ids"]
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *words in zip(*(batch.column(n).to_pylist() for n in ("block", "bucket", "numbers", "words")), strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block] * len(words[0]), pa.int64()),
+                        pa.array(words[0], pa.int32()),
+                        pa.array(words[1], pa.binary()),
+                        pa.array(words[2], pa.binary()),
+                    ],
+                    names=["block", "bucket", "numbers", "words"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = encoding(ranks, pattern)._encode_single_piece, {}
@@ -232,9 +240,6 @@ def with_ids(split: DataFrame, ranks: str, pattern: str) -> DataFrame:
             for numbers, words in zip(
                 batch.column("numbers").to_pylist(), batch.column("words").to_pylist(), strict=True
             ):
-                if numbers is None:
-                    out.append(None)
-                    continue
                 steps, sizes = unpack(numbers)
                 text, ends = zstandard.decompress(words), np.cumsum(sizes).tolist()
                 if len(known) > KNOWN_PARTS:
@@ -249,18 +254,16 @@ def with_ids(split: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 counts = np.fromiter((len(i) // 4 for i in found), np.int64, len(found))
                 out.append(pack(steps, counts, np.frombuffer(b"".join(found), "<u4")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), pa.array(out, pa.binary()), *map(batch.column, ("ids", "sizes", "codes"))],
-                names=["block", "found", "ids", "sizes", "codes"],
+                [batch.column("block"), pa.array(out, pa.binary())], names=["block", "found"]
             )
 
-    schema = f"block bigint, found binary, ids {kind}, sizes binary, codes binary"
-    return split.repartition("bucket").mapInArrow(run, schema)
+    asked = blocks.mapInArrow(explode, "block bigint, bucket int, numbers binary, words binary")
+    return asked.repartition("bucket").mapInArrow(run, "block bigint, found binary")
 
 
-def assemble(rows: pa.Table) -> pa.Table:
+def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     """Documents of a block with the ids in the places of the word numbers."""
-    docs = rows.filter(pc.is_valid(rows.column("codes")))
-    found = [unpack(x) for x in rows.column("found").to_pylist() if x is not None]
+    found = [unpack(x) for x in words.column("found").to_pylist()]
     none = np.empty(0, np.int64)
     number = np.concatenate([none, *(np.cumsum(f[0].astype(np.int64)) for f in found)])
     length = np.concatenate([none, *(f[1].astype(np.int64) for f in found)])
@@ -298,11 +301,12 @@ def encode(
     empty result.
     """
     rows = texts(df, id_col, text_col)
-    # as many buckets as tasks of a shuffle can want, some each
-    buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = with_ids(pre_tokens(rows, pattern, block_chars, buckets), ranks, pattern)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # both uses of the blocks read the same shuffle; the words have some buckets for each task
+    blocks = pre_tokens(rows, pattern, block_chars, 2 * tasks).repartition(tasks, "block")
+    found = word_ids(blocks, ranks, pattern)
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary"
-    return found.groupBy("block").applyInArrow(assemble, schema)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, name: str = "decoded") -> DataFrame:
