@@ -79,7 +79,7 @@ def explain_prompt(
         F.concat(F.lit("  $ "), redact("command", extra), F.lit("\n")).alias("text"),
     )
     pieces = frame.unionByName(lines)
-    return joined(pieces, _firsts(steps, "first_number"), ["history_id"], "prompt", part_rows)
+    return joined(pieces, _firsts(stepped, "number"), ["history_id"], "prompt", part_rows)
 
 
 def whole_history_prompt(

@@ -95,7 +95,10 @@ def step_markdown(
 ) -> DataFrame:
     """Markdown per step, in one part unless the step is very long."""
     pieces = step_pieces(stepped, steps, timestamps)
-    return joined(pieces, steps, ["history_id", "step_no"], "markdown", part_rows)
+    keys = ["history_id", "step_no"]
+    # from the commands, since summarising them once more would cost more
+    firsts = stepped.groupBy(*keys).agg(F.min("number").alias("first_number"))
+    return joined(pieces, firsts, keys, "markdown", part_rows)
 
 
 def overview(histories: DataFrame, steps: DataFrame) -> DataFrame:
