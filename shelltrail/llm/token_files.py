@@ -261,7 +261,9 @@ def read_tokens(manifest: DataFrame, wanted: set[int] | None = None) -> DataFram
     ``start`` counts the ids of all documents before. With ``wanted`` ids, only the frames
     that hold them are decompressed.
     """
-    files = manifest.select("path", "first_token").repartition("path")
+    # a fixed number of tasks: the rows are small, the files behind them are not
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = manifest.select("path", "first_token").repartition(tasks, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
