@@ -3,7 +3,8 @@
 Word n-grams of the test items are looked up in all documents and their document
 frequencies are counted. The rarest n-grams of each item are its seeds. Where a seed stands
 in a document, the words around it are aligned with the whole item by Smith-Waterman on
-words; the best score, as a share of a perfect copy's, tells a leak.
+words; the best score, as a share of a perfect copy's, tells a leak. Seeds that gaps of one
+leak can set apart share a window, so that a copy cut by foreign words is aligned as one.
 
 Seeds are the rarest part of an item's own n-grams, not those below a fixed frequency: an
 item that leaked into a third of all documents has no rare n-grams, and is still found.
@@ -146,6 +147,19 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def slack_of(words: int, threshold: float) -> int:
+    """Most words by which the gaps of a leak of an item of so many words can shift it."""
+    return max(0, int(MATCH * words * (1 - threshold)) // -GAP)
+
+
+def shared(item: np.ndarray, window: np.ndarray) -> int:
+    """Words that an item and a window have in common, with repetition: no alignment matches more."""
+    words, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, window), len(words) - 1)
+    there = np.bincount(at[words[at] == window], minlength=len(words))
+    return int(np.minimum(times, there).sum())
+
+
 def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarray, threshold: float):
     """(text, item, score, first word, last word) of the best place of each item in each text."""
     text, place, gram = items.hits(flat, counts)
@@ -159,7 +173,7 @@ def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarra
     text, item, begin = text[order], item[order], begin[order]
     offsets = np.cumsum(counts) - counts
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    slack = np.array([len(w) // 4 + 4 for w in items.words], np.int64)
+    slack = np.array([slack_of(len(w), threshold) for w in items.words], np.int64)
     apart = np.diff(begin) > slack[item[1:]]
     cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0) | apart) + 1
     for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(text)], strict=True):
@@ -170,6 +184,8 @@ def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarra
         a = max(0, int(begin[i] - slack[k]))
         b = min(int(counts[t]), int(begin[j - 1] + len(words) + slack[k]))
         window = flat[offsets[t] + a : offsets[t] + b]
+        if MATCH * shared(words, window) < threshold * MATCH * len(words):
+            continue
         score, end = align(words, window)
         share = score / (MATCH * len(words))
         if share >= threshold and share > found.get((t, k), (0.0, 0, 0))[0]:

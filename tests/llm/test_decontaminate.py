@@ -85,6 +85,22 @@ def test_against_all_alignments(spark, part_chars):
         assert smith_waterman(tests[r.item_id], part) == round(r.score * dc.MATCH * len(tests[r.item_id]))
 
 
+@pytest.mark.parametrize("foreign", [15, 30, 38])
+def test_a_copy_with_one_long_insertion(spark, foreign):
+    item = [f"w{i}" for i in range(40)]
+    copy = ["x" if i in (5, 34) else w for i, w in enumerate(item)]
+    text = [f"a{i}" for i in range(60)] + copy[:20] + [f"f{i}" for i in range(foreign)] + copy[20:] + ["b"] * 60
+    want = smith_waterman(item, text) / (dc.MATCH * len(item))
+    bench, docs = items(spark, [(1, " ".join(item))]), frame(spark, [(1, " ".join(text)), (2, "b " * 60)])
+    out = dc.find_leaks(docs, bench).collect()
+    left = sorted(r.doc_id for r in dc.without_leaks(docs, bench).collect())
+    if want >= dc.THRESHOLD:
+        assert [(r.doc_id, r.score, r.first_word, r.last_word) for r in out] == [(1, want, 60, 99 + foreign)]
+        assert left == [2]
+    else:
+        assert out == [] and left == [1, 2]
+
+
 def test_an_item_in_most_documents_is_found(spark):
     passage = " ".join(f"common{i}" for i in range(20))
     rows = [(i, f"own{i} {passage} tail{i}") for i in range(300)] + [(1000 + i, f"other{i} text") for i in range(50)]
