@@ -3,8 +3,9 @@
 Word n-grams of the test items are looked up in all documents and their document
 frequencies are counted. The rarest n-grams of each item are its seeds. Where a seed stands
 in a document, the words around it are aligned with the whole item by Smith-Waterman on
-words; the best score, as a share of a perfect copy's, tells a leak. Seeds that gaps of one
-leak can set apart share a window, so that a copy cut by foreign words is aligned as one.
+words; the best score tells a leak: as a share of a perfect copy's, or for passages of long
+items by itself. Seeds that gaps of one leak can set apart share a window, so that a copy cut
+by foreign words is aligned as one.
 
 Seeds are the rarest part of an item's own n-grams, not those below a fixed frequency: an
 item that leaked into a third of all documents has no rare n-grams, and is still found.
@@ -16,6 +17,7 @@ the documents, which never move.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, repeat
@@ -38,6 +40,9 @@ SEED_SHARE, LEAST_SEEDS = 0.75, 4
 LEAST_WORDS = 8
 # Share of a perfect copy's score from which on a passage is a leak.
 THRESHOLD = 0.5
+# A passage that scores like so many words copied without a change is a leak of an item of
+# any length.
+PASSAGE_WORDS = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Characters of test items that are sent to the tasks at once.
 PART_CHARS = 1 << 24
@@ -124,7 +129,9 @@ class Items:
         order = np.lexsort((self.place, frequency[gram], self.item))
         sizes = np.bincount(self.item, minlength=len(self.ids))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keep = np.maximum(least, np.ceil(sizes * share)).astype(np.int64)
+        # of a long item no more n-grams are left out than a passage can do without
+        keep = np.maximum(np.ceil(sizes * share), sizes - 2 * (1 - share) * PASSAGE_WORDS)
+        keep = np.maximum(least, keep).astype(np.int64)
         chosen[order[rank < np.repeat(keep, sizes)]] = True
         return chosen
 
@@ -147,9 +154,15 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def least_score(words: int, threshold: float) -> int:
+    """Whole score from which on a passage is a leak of an item of so many words."""
+    # the small number is for products that rounding puts above a whole number
+    return min(math.ceil(MATCH * threshold * words - 1e-6), MATCH * PASSAGE_WORDS)
+
+
 def slack_of(words: int, threshold: float) -> int:
     """Most words by which the gaps of a leak of an item of so many words can shift it."""
-    return max(0, int(MATCH * words * (1 - threshold)) // -GAP)
+    return max(0, MATCH * words - least_score(words, threshold)) // -GAP
 
 
 def shared(item: np.ndarray, window: np.ndarray) -> int:
@@ -184,11 +197,12 @@ def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarra
         a = max(0, int(begin[i] - slack[k]))
         b = min(int(counts[t]), int(begin[j - 1] + len(words) + slack[k]))
         window = flat[offsets[t] + a : offsets[t] + b]
-        if MATCH * shared(words, window) < threshold * MATCH * len(words):
+        least = least_score(len(words), threshold)
+        if MATCH * shared(words, window) < least:
             continue
         score, end = align(words, window)
         share = score / (MATCH * len(words))
-        if share >= threshold and share > found.get((t, k), (0.0, 0, 0))[0]:
+        if score >= least and share > found.get((t, k), (0.0, 0, 0))[0]:
             # aligned backwards from its end, the best alignment ends at its first word
             _, back = align(words[::-1], window[: end + 1][::-1])
             found[t, k] = (share, a + end - back, a + end)
@@ -243,10 +257,11 @@ def find_leaks(
     """doc_id, item_id, score, first_word, last_word of every leak.
 
     One row for each document row and test item whose best alignment reaches ``threshold``
-    of a perfect copy's score. Words count from 0 within the document. Null and empty texts
-    hold no leaks; a null document id is kept as it is; repeated document rows give repeated
-    leaks, repeated test items count once, and one id with several texts gives a row for
-    each. Items that are null or have fewer than LEAST_WORDS words are not searched. Empty
+    of a perfect copy's score, or the score of PASSAGE_WORDS words in a row. ``score`` is the
+    share of a perfect copy's in both cases. Words count from 0 within the document. Null and
+    empty texts hold no leaks; a null document id is kept as it is; repeated document rows
+    give repeated leaks, repeated test items count once, and one id with several texts gives
+    a row for each. Items that are null or have fewer than LEAST_WORDS words are not searched. Empty
     tables give an empty result; other columns do not matter.
     """
     rows = texts(df, id_col, text_col)

@@ -101,6 +101,22 @@ def test_a_copy_with_one_long_insertion(spark, foreign):
         assert out == [] and left == [1, 2]
 
 
+def test_passages_of_a_long_item(spark):
+    item = [f"w{i}" for i in range(300)]
+    rows = [(1, ["a"] * 40 + item[100:200] + ["b"] * 40), (2, item[:140]), (3, item[50:100]), (4, item[50:99])]
+    # a passage that stands in so many documents that its n-grams are the commonest of the item
+    rows += [(10 + i, [f"c{i}"] + item[230:290]) for i in range(50)]
+    want = {}
+    for d, words in rows:
+        score = smith_waterman(item, words)
+        if score >= dc.MATCH * dc.PASSAGE_WORDS:
+            want[d] = score / (dc.MATCH * len(item))
+    docs, bench = frame(spark, [(d, " ".join(w)) for d, w in rows]), items(spark, [(1, " ".join(item))])
+    assert {r.doc_id: r.score for r in dc.find_leaks(docs, bench).collect()} == want
+    assert set(want) == {d for d, _ in rows} - {4}
+    assert [r.doc_id for r in dc.without_leaks(docs, bench).collect()] == [4]
+
+
 def test_an_item_in_most_documents_is_found(spark):
     passage = " ".join(f"common{i}" for i in range(20))
     rows = [(i, f"own{i} {passage} tail{i}") for i in range(300)] + [(1000 + i, f"other{i} text") for i in range(50)]
