@@ -2,7 +2,8 @@
 
 The call itself is not part of this package. Prompts are tables to be sent by
 whatever serves the model, responses are a table with one row per history, kind and
-part of the prompt; the parts of an answer are put together in their order. Prompt
+part of the prompt; the parts of an answer are put together in their order, and the
+parts that were asked (:func:`prompt_parts`) tell whether all have arrived. Prompt
 text is redacted before it leaves; a command that would be removed keeps its line as
 a placeholder, so that indices stay those of the commands.
 """
@@ -93,6 +94,36 @@ def whole_history_prompt(
     return explain_prompt(commands, groups, extra, part_rows)
 
 
+def prompt_parts(
+    rows: DataFrame, steps: DataFrame | None = None, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """``history_id, asked``: the prompt parts of every history whose prompt has several.
+
+    ``asked`` lists ``part_no``, the first step whose heading stands in the part, and the number
+    of such steps, in the order of ``part_no``. ``rows`` are those of the prompt, ``steps`` the
+    steps of an explain prompt. Histories that are not in the table were asked in one part.
+    """
+    firsts = rows.groupBy("history_id").agg(
+        F.min("number").alias("first_number"), F.max("number").alias("last_number")
+    )
+    long = firsts.where(f"(last_number - first_number) div {part_rows}L > 0").drop("last_number")
+    part = F.expr(f"(number - first_number) div {part_rows}L").alias("part_no")
+    parts = rows.select("history_id", "number").join(long, "history_id").select("history_id", part).distinct()
+    if steps is None:
+        none = F.lit(None).cast("bigint")
+        parts = parts.withColumns({"first_step": none, "steps": none})
+    else:
+        headings = steps.select("history_id", "step_no", F.col("first_number").alias("number"))
+        headings = (
+            headings.join(long, "history_id")
+            .groupBy("history_id", part)
+            .agg(F.min("step_no").alias("first_step"), F.count("*").alias("steps"))
+        )
+        parts = parts.join(headings, ["history_id", "part_no"], "left")
+    asked = F.array_sort(F.collect_list(F.struct("part_no", "first_step", "steps")))
+    return parts.groupBy("history_id").agg(asked.alias("asked"))
+
+
 def response_json(body: Column | str, keys: Sequence[str]) -> Column:
     """The text from the first ``{`` to the last ``}`` as a variant; null if it is not JSON."""
     text = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
@@ -118,7 +149,7 @@ def _last_key_wins(rows: DataFrame) -> Iterator[None]:
 
 
 def _parsed(responses: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
-    part = F.col("part_no") if "part_no" in responses.columns else F.lit(0)
+    part = F.coalesce("part_no", F.lit(0)) if "part_no" in responses.columns else F.lit(0)
     rows = responses.where(F.col("kind") == kind)
     with _last_key_wins(responses):
         return rows.select(
@@ -126,18 +157,33 @@ def _parsed(responses: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
         )
 
 
-def _together(parts: DataFrame, **merged: Column) -> DataFrame:
-    """One row per history from the rows of its parts; all of them must have arrived."""
-    names = [c for c in parts.columns if c != "history_id"]
-    ordered = F.array_sort(F.collect_list(F.struct("part_no", *[n for n in names if n != "part_no"])))
-    return (
-        parts.groupBy("history_id")
-        .agg(ordered.alias("p"))
-        .select(
-            "history_id",
-            F.when(F.exists("p", lambda x: ~x["status"].eqNullSafe("ok")), "failed").otherwise("ok").alias("status"),
-            *[column.alias(name) for name, column in merged.items()],
+def _together(parts: DataFrame, asked: DataFrame | None, **merged: Column) -> DataFrame:
+    """One row per history from the rows of its parts ``p``.
+
+    Failed unless every part is ``ok`` and there once. With the parts that were ``asked`` all of
+    them must be there, and readable if there are several; a failed history then has empty columns.
+    """
+    names = [c for c in parts.columns if c not in ("history_id", "part_no")]
+    table = parts.groupBy("history_id").agg(
+        F.array_sort(F.collect_list(F.struct("part_no", *names))).alias("p")
+    )
+    numbers = F.transform("p", lambda x: x["part_no"])
+    whole = F.forall("p", lambda x: x["status"].eqNullSafe("ok"))
+    whole = whole & (F.size("p") == F.size(F.array_distinct(numbers)))
+    if asked is not None:
+        table = table.join(asked, "history_id", "left")
+        wanted = F.coalesce(
+            F.transform("asked", lambda x: x["part_no"]), F.array(F.lit(0).cast("bigint"))
         )
+        readable = F.col("asked").isNull() | F.forall("p", lambda x: x["readable"])
+        whole = whole & (numbers == wanted) & readable
+    table = table.withColumn("whole", whole)
+    if asked is not None:
+        table = table.withColumn("p", F.filter("p", lambda x: F.col("whole")))
+    return table.select(
+        "history_id",
+        F.when(F.col("whole"), "ok").otherwise("failed").alias("status"),
+        *[column.alias(name) for name, column in merged.items()],
     )
 
 
@@ -154,8 +200,11 @@ def _items(value: Column, path: str, kind: str) -> Column:
     )
 
 
-def parse_dedup_responses(responses: DataFrame) -> DataFrame:
-    """``groups`` per history; empty unless the whole body has the expected types."""
+def parse_dedup_responses(responses: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``groups`` per history; empty unless the whole body has the expected types.
+
+    ``asked`` are the :func:`prompt_parts`; without them a missing part is not noticed.
+    """
     value = F.col("v")
 
     def well_typed(g: Column) -> Column:
@@ -190,13 +239,19 @@ def parse_dedup_responses(responses: DataFrame) -> DataFrame:
             F.when(value.isNotNull() & valid, groups)
             .otherwise(F.array().cast(none))
             .alias("groups"),
+            F.coalesce(value.isNotNull() & valid, F.lit(False)).alias("readable"),
         )
     )
-    return _together(parts, groups=F.flatten(F.transform("p", lambda x: x["groups"])))
+    return _together(parts, asked, groups=F.flatten(F.transform("p", lambda x: x["groups"])))
+
 
+def parse_explain_responses(responses: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``overview``, ``prerequisites`` and ``steps`` per history; empty unless well typed.
 
-def parse_explain_responses(responses: DataFrame) -> DataFrame:
-    """``overview``, ``prerequisites`` and ``steps`` per history; empty unless well typed."""
+    ``asked`` are the :func:`prompt_parts`: the steps of a part count from the first heading in
+    it, and those beyond its headings are left out. Without them missing parts are not noticed,
+    and the steps of all parts count as one list.
+    """
     value = F.col("v")
     texts = ("title", "description", "why", "notes")
 
@@ -245,14 +300,33 @@ def parse_explain_responses(responses: DataFrame) -> DataFrame:
             F.when(F.col("valid"), F.transform(items, step))
             .otherwise(F.array().cast(none))
             .alias("steps"),
+            F.coalesce("valid", F.lit(False)).alias("readable"),
         )
     )
     said = F.filter(F.transform("p", lambda x: x["overview"]), lambda x: x != "")
+
+    def numbered(said: Column, first: Column) -> Column:
+        return F.transform(said, lambda s, i: s.withField("step_no", (first + i).cast("bigint")))
+
+    all_steps = numbered(F.flatten(F.transform("p", lambda x: x["steps"])), F.lit(1))
+    if asked is not None:
+        # the parts of a whole answer are those that were asked, in the same order
+        by_part = F.zip_with(
+            "p",
+            "asked",
+            lambda x, a: numbered(
+                F.slice(x["steps"], 1, F.coalesce(a["steps"], F.lit(0)).cast("int")),
+                a["first_step"],
+            ),
+        )
+        several = F.col("asked").isNotNull() & F.col("whole")
+        all_steps = F.when(several, F.flatten(by_part)).otherwise(all_steps)
     return _together(
         parts,
+        asked,
         overview=F.coalesce(F.get(said, F.lit(0)), F.lit("")),
         prerequisites=F.array_distinct(F.flatten(F.transform("p", lambda x: x["prerequisites"]))),
-        steps=F.flatten(F.transform("p", lambda x: x["steps"])),
+        steps=all_steps,
     )
 
 
@@ -278,9 +352,9 @@ def dedup_reasons(parsed: DataFrame) -> DataFrame:
 
 def apply_explanations(steps: DataFrame, parsed: DataFrame) -> DataFrame:
     """Steps with title, description and intent replaced where a response has text for them."""
-    said = parsed.select("history_id", F.posexplode("steps").alias("pos", "s")).select(
+    said = parsed.select("history_id", F.explode("steps").alias("s")).select(
         "history_id",
-        (F.col("pos") + 1).cast("bigint").alias("step_no"),
+        "s.step_no",
         F.nullif("s.title", F.lit("")).alias("new_title"),
         F.nullif("s.description", F.lit("")).alias("new_description"),
         F.nullif("s.why", F.lit("")).alias("new_intent"),
@@ -322,9 +396,14 @@ def dedup_with_fallback(
     responses: DataFrame,
     time_gap_s: int = TIME_GAP_S,
     chunk_rows: int = CHUNK_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Response groups where a response arrived, the rules of :func:`dedup` elsewhere."""
-    parsed = parse_dedup_responses(responses).where(F.col("status") == "ok")
+    """Response groups where a whole response arrived, the rules of :func:`dedup` elsewhere.
+
+    ``part_rows`` is that of the prompts.
+    """
+    asked = prompt_parts(commands, part_rows=part_rows)
+    parsed = parse_dedup_responses(responses, asked).where(F.col("status") == "ok")
     answered = parsed.select("history_id")
     by_model = apply_dedup_groups(
         by_history(commands, answered, "left_semi", chunk_rows), parsed

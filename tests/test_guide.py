@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelltrail.functions.rules import Rule
 from shelltrail.operators import annotate, render, steps
+from shelltrail.operators.dedup import dedup
 from shelltrail.plans.guide import Guide
 from shelltrail.schema import COMMANDS, RESPONSES
 
@@ -185,6 +188,79 @@ def test_parts_of_an_answer_are_put_together(spark):
     assert [r["status"] for r in annotate.parse_dedup_responses(failed).collect()] == ["failed"]
 
 
+def part_rows_of(spark, kind, bodies):
+    """Responses from (history, part, status, body)."""
+    rows = [(h, kind, status, body, part) for h, part, status, body in bodies]
+    return spark.createDataFrame(rows, RESPONSES + ", part_no bigint")
+
+
+def test_steps_of_several_parts_keep_their_places(spark, commands):
+    # every third command starts a step, parts hold four numbers
+    names = ("whole", "missing", "twice", "unreadable", "failed", "unknown")
+    df = None
+    for name in names:
+        own = commands(*((f"make {c * 9}", i // 3 * 1000 + i) for i, c in enumerate("abcdefghijklm")), history=name, first=101)
+        df = own if df is None else df.union(own)
+    stepped = steps.step_commands(df)
+    summary = steps.summarise(stepped)
+    prompts = annotate.explain_prompt(stepped, summary, part_rows=4).where("history_id = 'whole'")
+    headings = {r.part_no: re.findall("## Group ([0-9]+)", r.prompt) for r in prompts.collect()}
+    assert headings == {0: ["1", "2"], 1: ["3"], 2: ["4"], 3: ["5"]}
+    # the first part tells one step too few, the second one too many
+    say = lambda *titles: '{"overview":"o","steps":[%s]}' % ",".join('{"title":"%s"}' % t for t in titles)
+    full = [(0, "ok", say("one")), (1, "ok", say("three", "four?")), (2, "ok", say("four")), (3, "ok", say("five"))]
+    rows = {
+        "whole": full[::-1],
+        "missing": full[:1] + full[2:],
+        "twice": full + full[1:2],
+        "unreadable": full[:1] + [(1, "ok", "no json")] + full[2:],
+        "failed": full[:3] + [(3, "failed", None)],
+        "unknown": full + [(4, "ok", say("six"))],
+    }
+    answers = part_rows_of(spark, "explain", [(h, *r) for h in names for r in rows[h]])
+    asked = annotate.prompt_parts(stepped, summary, part_rows=4)
+    parsed = annotate.parse_explain_responses(answers, asked)
+    assert {r.history_id: (r.status, r.overview) for r in parsed.collect()} == {
+        h: ("ok", "o") if h == "whole" else ("failed", "") for h in names
+    }
+    plain = {(r.history_id, r.step_no): r.title for r in summary.collect()}
+    out = {(r.history_id, r.step_no): r.title for r in annotate.apply_explanations(summary, parsed).collect()}
+    said = {1: "one", 3: "three", 4: "four", 5: "five"}
+    assert out == plain | {("whole", n): t for n, t in said.items()}
+    with Guide(df, 101, 113, answers, prompt_rows=4, threshold_s=300) as guide:
+        assert {(r.history_id, r.step_no): r.title for r in guide.steps.collect()} == out
+
+
+@pytest.mark.parametrize("chunk_rows", [2, 1 << 18])
+def test_route_by_whole_answers(spark, commands, chunk_rows):
+    names = ("whole", "missing", "twice", "unreadable", "failed")
+    df = None
+    for name in names:
+        own = commands(*(f"make {c * 9}" for c in "aabcddef"), history=name, first=11)
+        df = own if df is None else df.union(own)
+    prompts = annotate.dedup_prompt(df, part_rows=4).where("history_id = 'whole'")
+    assert sorted(r.part_no for r in prompts.collect()) == [0, 1]
+    first = (0, "ok", '{"groups":[{"representative":2,"indices":[2,3]}]}')
+    second = (1, "ok", '{"groups":[{"representative":6,"indices":[6,7]}]}')
+    rows = {
+        "whole": [second, first],
+        "missing": [first],
+        "twice": [first, second, second],
+        "unreadable": [first, (1, "ok", "none")],
+        "failed": [first, (1, "failed", None)],
+    }
+    answers = part_rows_of(spark, "dedup", [(h, *r) for h in names for r in rows[h]])
+    left = annotate.dedup_with_fallback(df, answers, chunk_rows=chunk_rows, part_rows=4).collect()
+    got = {h: sorted(r.number for r in left if r.history_id == h) for h in names}
+    by_rule = sorted(r.number for r in dedup(df.where("history_id = 'whole'")).collect())
+    assert got == {h: [11, 12, 13, 15, 16, 17] if h == "whole" else by_rule for h in names}
+    assert len(by_rule) == 6 and by_rule != got["whole"]
+    parsed = annotate.parse_dedup_responses(answers, annotate.prompt_parts(df, part_rows=4))
+    assert {r.history_id for r in annotate.dedup_reasons(parsed).collect()} == set()
+    applied = annotate.apply_dedup_groups(df, parsed).groupBy("history_id").count().collect()
+    assert {r.history_id: r["count"] for r in applied} == {h: 6 if h == "whole" else 8 for h in names}
+
+
 @pytest.mark.parametrize("first", [1, 4090, 262140])
 def test_one_part_wherever_the_numbers_lie(spark, commands, first):
     df = commands(*(f"db{i} --token abc{i}" for i in range(11)), first=first)
