@@ -22,15 +22,17 @@ def labelled_sample(
 
     Only documents of the learned fold and of at most ``most_chars`` characters; of these
     the ones with the smallest hashes of their id. A document with two labels counts with
-    both. ``rows`` has doc_id and text.
+    both, an id in several rows or labels of one class counts once, with the smallest of its
+    texts. ``rows`` has doc_id and text.
     """
     wanted = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(0, 1))
-    wanted = wanted.where(learned_fold("doc_id", folds, held_out))
-    short = rows.where(F.length("text") <= most_chars).select("doc_id").join(wanted, "doc_id")
+    wanted = wanted.where(learned_fold("doc_id", folds, held_out)).distinct()
+    short = rows.where(F.length("text") <= most_chars)
+    known = short.select("doc_id").distinct().join(wanted, "doc_id")
     ids = [
         row
         for value in (0, 1)
-        for row in short.where(F.col("label") == value)
+        for row in known.where(F.col("label") == value)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sizes[value])
         .collect()
@@ -39,9 +41,9 @@ def labelled_sample(
         return [], np.empty(0, np.int64)
     kind = dict(rows.dtypes)["doc_id"]
     chosen = rows.sparkSession.createDataFrame(ids, f"doc_id {kind}, label int")
-    # as many ids as sizes allow
-    got = rows.where(F.length("text") <= most_chars).join(F.broadcast(chosen), "doc_id").collect()
-    got = sorted(((r.text, r.label) for r in got))[: 2 * sum(sizes)]
+    # one row for each of the chosen ids and labels, whose number is bounded
+    own = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    got = sorted((r.text, r.label) for r in own.agg(F.min("text").alias("text")).collect())
     return [t for t, _ in got], np.array([y for _, y in got], np.int64)
 
 

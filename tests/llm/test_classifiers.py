@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from shelltrail.llm import crf, quality, toxicity
+from shelltrail.llm import crf, learning, quality, toxicity
 from shelltrail.llm.common import table
 
 SCHEMA = "doc_id bigint, text string, score string, quality string, toxic int"
@@ -101,6 +101,24 @@ def test_toxic_spans_of_hard_rows(spark):
     assert [text[s.start : s.end] for s in out[6].spans] == ["moron", "idiot"]
 
 
+def test_sample_of_repeated_ids(spark):
+    # one id has most of the rows, all of them short; some ids have two texts or two labels
+    rows = [(i, f"text {i}") for i in range(300)] + [(7, f"copy {i}") for i in range(3000)] + [(8, "a text")]
+    labels = [(i, i % 2) for i in range(300)] + [(7, 1)] * 50 + [(9, 0), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, y int")
+    every = {(f"text {i}", i % 2) for i in range(300)} - {("text 7", 1), ("text 8", 0)}
+    every |= {("copy 0", 1), ("a text", 0), ("text 9", 0)}
+    folds, none = 5, -1
+    texts, y = learning.labelled_sample(docs, known, "y", folds, none, (1000, 1000))
+    assert len(texts) == 301 and set(zip(texts, y.tolist(), strict=True)) == every
+    texts, y = learning.labelled_sample(docs, known, "y", folds, none, (20, 10))
+    assert len(set(texts)) == len(texts) == 30 and y.tolist().count(1) == 10
+    # the same sample as without the repeated rows
+    single = docs.groupBy("doc_id").agg({"text": "min"}).toDF("doc_id", "text")
+    assert learning.labelled_sample(single, known, "y", folds, none, (20, 10))[0] == texts
+
+
 def test_without_labels_and_without_rows(spark):
     docs = hard_rows(spark)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
