@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
 from shelltrail.llm.common import table, texts, with_column
@@ -36,7 +37,8 @@ from shelltrail.llm.words import mix
 SEED_WORDS = 3
 # Share of an item's n-grams that are its seeds, and their least number.
 SEED_SHARE, LEAST_SEEDS = 0.75, 4
-# Items with fewer words cannot be told from chance and are not searched.
+# Edited copies of items with fewer words cannot be told from chance: only whole copies are
+# leaks of them. Items of fewer than SEED_WORDS words are not searched.
 LEAST_WORDS = 8
 # Share of a perfect copy's score from which on a passage is a leak.
 THRESHOLD = 0.5
@@ -61,7 +63,7 @@ class Items:
     places ``place[a:b]`` with a, b = ``bounds[g : g + 2]``.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], size: int = SEED_WORDS, least: int = LEAST_WORDS):
+    def __init__(self, rows: list[tuple[int, str]], size: int = SEED_WORDS, least: int = SEED_WORDS):
         self.size = size
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
@@ -156,6 +158,8 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 def least_score(words: int, threshold: float) -> int:
     """Whole score from which on a passage is a leak of an item of so many words."""
+    if words < LEAST_WORDS:
+        return MATCH * words
     # the small number is for products that rounding puts above a whole number
     return min(math.ceil(MATCH * threshold * words - 1e-6), MATCH * PASSAGE_WORDS)
 
@@ -209,15 +213,22 @@ def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarra
     return [(t, k, *rest) for (t, k), rest in sorted(found.items())]
 
 
-def parts_of(items: DataFrame, id_col: str, text_col: str, part_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The test items in parts of about ``part_chars`` characters."""
-    rows = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
-    rows = rows.where("item_id is not null and text is not null")
+def parts_of(items: DataFrame, id_col: str | None, text_col: str, part_chars: int) -> Iterator[Items]:
+    """The test items in parts of about ``part_chars`` characters; without ids if ``id_col`` is None."""
+    own = F.lit(None) if id_col is None else F.col(id_col)
+    rows = items.select(own.alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
+    if id_col is not None:
+        rows = rows.where("item_id is not null")
+    rows = rows.distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // part_chars)
     for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else rows
-        yield [(r.item_id, r.text) for r in own.collect()]
+        one = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else rows
+        # numbered, as ids of any type need not be sortable
+        found = one.collect()
+        out = Items([(n, r.text) for n, r in enumerate(found)])
+        out.ids = [found[n].item_id for n in out.ids]
+        yield out
 
 
 def frequencies(rows: DataFrame, items: Items) -> np.ndarray:
@@ -261,12 +272,15 @@ def find_leaks(
     share of a perfect copy's in both cases. Words count from 0 within the document. Null and
     empty texts hold no leaks; a null document id is kept as it is; repeated document rows
     give repeated leaks, repeated test items count once, and one id with several texts gives
-    a row for each. Items that are null or have fewer than LEAST_WORDS words are not searched. Empty
+    a row for each. The item id keeps its type. Of items with fewer than LEAST_WORDS words only
+    whole copies count; items without id or text, or below SEED_WORDS words, are not searched. Empty
     tables give an empty result; other columns do not matter.
     """
     rows = texts(df, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id bigint, score double, first_word bigint, last_word bigint"
+    item_type = benchmark.select(item_id_col).schema[0].dataType
+    item_kind = to_arrow_type(item_type)
+    schema = f"doc_id {kind}, item_id {item_type.simpleString()}, score double, first_word bigint, last_word bigint"
     found = []
     for sent in searches(rows, benchmark, item_id_col, item_text_col, part_chars):
 
@@ -279,7 +293,7 @@ def find_leaks(
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("doc_id").take(pa.array(text)),
-                            pa.array([items.ids[k] for k in item], pa.int64()),
+                            pa.array([items.ids[k] for k in item], item_kind),
                             pa.array(score, pa.float64()),
                             pa.array(first, pa.int64()),
                             pa.array(last, pa.int64()),
@@ -294,12 +308,11 @@ def find_leaks(
 
 
 def searches(
-    rows: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, part_chars: int
+    rows: DataFrame, benchmark: DataFrame, id_col: str | None, text_col: str, part_chars: int
 ) -> list[Broadcast]:
     """The items of each part with their seeds, sent to the tasks."""
     sent = []
-    for part in parts_of(benchmark, id_col, text_col, part_chars):
-        items = Items(part)
+    for items in parts_of(benchmark, id_col, text_col, part_chars):
         if items.ids:
             seed = items.seeds(frequencies(rows, items))
             sent.append(rows.sparkSession.sparkContext.broadcast((items, seed)))
@@ -315,10 +328,13 @@ def without_leaks(
     threshold: float = THRESHOLD,
     part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """The rows of ``df`` that hold no leak, with all their columns; see ``find_leaks``."""
+    """The rows of ``df`` that hold no leak, with all their columns; see ``find_leaks``.
+
+    Items without id are searched too.
+    """
     rows = df.select(F.coalesce(text_col, F.lit("")).alias("text"))
     mark = "leaks" + "_" * max(map(len, df.columns))
-    for sent in searches(rows, benchmark, item_id_col, item_text_col, part_chars):
+    for sent in searches(rows, benchmark, None, item_text_col, part_chars):
 
         def make(sent=sent):
             items, seed = sent.value

@@ -117,6 +117,20 @@ def test_passages_of_a_long_item(spark):
     assert [r.doc_id for r in dc.without_leaks(docs, bench).collect()] == [4]
 
 
+def test_ids_of_any_type_and_short_items(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    bench = [("mmlu-12", item), ("q 7", "Who wrote the old book?"), ("3", "one two three"), ("2", "only two")]
+    bench = spark.createDataFrame([*bench, (None, "none " * 4 + item[::-1])], "item_id string, text string")
+    rows = [(1, f"a {item} b"), (2, "so who wrote the old book then"), (3, "who wrote the very old book")]
+    rows += [(4, "two three one two three"), (5, "one two, only two"), (6, "none " * 4 + item[::-1])]
+    docs = frame(spark, rows)
+    out = dc.find_leaks(docs, bench)
+    assert dict(out.dtypes)["item_id"] == "string"
+    got = {(r.doc_id, r.item_id, r.score) for r in out.collect()}
+    assert got == {(1, "mmlu-12", 1.0), (2, "q 7", 1.0), (4, "3", 1.0)}
+    assert sorted(r.doc_id for r in dc.without_leaks(docs, bench).collect()) == [3, 5]
+
+
 def test_an_item_in_most_documents_is_found(spark):
     passage = " ".join(f"common{i}" for i in range(20))
     rows = [(i, f"own{i} {passage} tail{i}") for i in range(300)] + [(1000 + i, f"other{i} text") for i in range(50)]
