@@ -40,6 +40,22 @@ def test_files_hold_what_the_library_gives(spark, library, tmp_path):
     assert sorted((r.doc_id, r.start) for r in some) == [(i, out[i].start) for i in (3, 20)]
 
 
+def test_special_tokens_in_texts(spark, tmp_path):
+    # a reference as the file gives it: equal but for the names of special tokens, which stay text
+    untouched = Tokenizer.from_file(token_files.TOKENIZER)
+    names = ["a<|endoftext|>b", "<|startoftext|> one"]
+    texts = names + [t for t in fuzzed(300) if "oftext|>" not in t]
+    manifest = token_files.write_tokens(frame(spark, list(enumerate(texts))), str(tmp_path / "s"))
+    out = token_files.read_tokens(manifest).orderBy("doc_id").collect()
+    got = [np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in out]
+    want = [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[2:] == want[2:] and len(texts) > 200
+    assert 49407 in want[0] and 49406 in want[1]
+    assert not {49406, 49407} & {i for ids in got for i in ids}
+    plain = [untouched.decode(ids).replace("</w>", "").replace(" ", "") for ids in got[:2]]
+    assert plain == [t.replace(" ", "") for t in names]
+
+
 def test_null_and_repeated_ids(spark, library, tmp_path):
     rows = [(None, "n"), (5, "a b"), (5, "a b"), (5, "c"), (2, None), (None, "m")]
     manifest = token_files.write_tokens(frame(spark, rows), str(tmp_path / "b"))
