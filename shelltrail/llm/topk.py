@@ -20,6 +20,7 @@ may be the query itself), so no more of them travel; equal queries are solved on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,24 +168,32 @@ def top_k(
 
     Ties go to the smaller vec_id; all candidates are given if there are fewer than k. Rows
     of ``df`` with the query's id are no candidates of it. Vectors that are null, or hold null
-    or non-finite components, take no part, nor do rows without id and vectors of another
-    length than the most frequent one. Repeated rows count once. Without queries or data
-    the result is empty. Other columns do not matter.
+    or non-finite components, take no part, nor do rows without id and empty vectors. Candidates
+    of a query are the vectors of its own length. Repeated rows count once. Without queries or
+    data the result is empty. Other columns do not matter.
     """
     spark = df.sparkSession
     every = quantised(df, id_col, vector_col, scale)
     asked = quantised(queries, id_col, vector_col, scale)
-    length = every.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if length is None or length.dim == 0:
-        return spark.createDataFrame([], schema)
-    dim = length.dim
+    lengths = [
+        {r.dim for r in rows.select(F.size("v").alias("dim")).distinct().collect()} for rows in (every, asked)
+    ]
+    # a search for each length that both have, of which there are few
+    found = [
+        same_length(every.where(F.size("v") == dim), asked.where(F.size("v") == dim), dim, k, pivots)
+        for dim in sorted(lengths[0] & lengths[1] - {0})
+    ]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def same_length(every: DataFrame, asked: DataFrame, dim: int, k: int, pivots: int) -> DataFrame:
+    """``top_k`` for quantised vectors ``v`` of ``dim`` components."""
+    spark = every.sparkSession
     place = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     data = staged(
-        every.where(F.size("v") == dim).withColumn("place", place).where(F.col("place") <= k + 1).drop("place"),
-        "vectors",
+        every.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "vectors"
     )
-    asked = asked.where(F.size("v") == dim)
     chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     centre = np.unique(np.array([r.v for r in chosen], np.int64), axis=0)
     blocks = staged(blocks_of(data, centre), "vector-cells")

@@ -52,6 +52,18 @@ def test_ties_copies_and_unusable_vectors(spark):
     check(spark, rows, [*range(0, 90, 4), *range(100, 210)])
 
 
+def test_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(8)
+    three = [(i, rng.normal(size=3).tolist()) for i in range(120)]
+    five = [(500 + i, rng.normal(size=5).tolist()) for i in range(40)]
+    df = frame(spark, three + five + [(900, [1.0, 2.0])])
+    found = topk.top_k(df, df.where("vec_id % 4 = 0")).collect()
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in found}
+    alone = [topk.top_k(d, d.where("vec_id % 4 = 0")).collect() for d in (frame(spark, three), frame(spark, five))]
+    assert got == {(r.query_id, r.rank, r.vec_id, r.score) for rows in alone for r in rows}
+    assert {r.query_id for r in found} == {*range(0, 120, 4), *range(500, 540, 4)}
+
+
 def test_fewer_than_k_and_none(spark):
     check(spark, [(1, [1.0, 2.0]), (2, [0.1, 0.2]), (3, [-1.0, 0.0])], [1, 2])
     df = frame(spark, [])
