@@ -13,6 +13,7 @@ from shelltrail.llm import (
     license_scan,
     lm_scoring,
     neardup,
+    periodic,
     quality,
     sharding,
     token_files,
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op8_token_files": token_files.query,
         "op9_toxicity": toxicity.query,
         "op10_license_scan": license_scan.query,
+        "op11_periodic_runs": periodic.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_lm_scoring": lm_scoring.ORACLE,
         "op5_topk": topk.ORACLE,
         "op6_neardup": neardup.ORACLE,
+        "op11_periodic_runs": periodic.ORACLE,
     }
