@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from shelltrail.llm import (
     bpe,
     decontaminate,
+    language,
+    lexical,
     license_scan,
     lm_scoring,
     neardup,
@@ -37,6 +39,8 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": toxicity.query,
         "op10_license_scan": license_scan.query,
         "op11_periodic_runs": periodic.query,
+        "op12_lexical_search": lexical.query,
+        "op13_language": language.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -47,4 +51,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_topk": topk.ORACLE,
         "op6_neardup": neardup.ORACLE,
         "op11_periodic_runs": periodic.ORACLE,
+        "op12_lexical_search": lexical.ORACLE,
     }
