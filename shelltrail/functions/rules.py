@@ -18,7 +18,9 @@ class Rule:
     patterns that consume text from each place on where a match may begin, so that
     a rule with an open-ended repeat is not tried from every one of them. ``ahead``
     is a piece of the pattern and what must follow it in all matching text; it spares
-    a backtracking engine from cutting a long run in two in every way.
+    a backtracking engine from cutting a long run in two in every way. ``by_run`` is a
+    pattern and a replacement with the same result that look at each run of characters once,
+    from its beginning, where several matches could begin in a run and end only behind it.
     """
 
     name: str
@@ -31,6 +33,26 @@ class Rule:
     ends_with: str = ""
     starts: tuple[str, ...] = ()
     ahead: tuple[str, str] = ()
+    by_run: tuple[str, str] = ()
+
+
+# What follows a variable's name in all matching text, up to the first character of its value.
+_ASSIGNED = r"""+(?=[A-Z_]*+\s*+=\s*+['"]?+[^'"\s])"""
+# A signed token begins at the first boundary before its prefix in a run of token characters: if
+# that place fails, so do all later ones of the run, as only what follows the run decides.
+_JWT_BY_RUN = (
+    r"(?<![A-Za-z0-9_-])((?:(?!\beyJ)[A-Za-z0-9_-])*+)"
+    r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+\b"
+)
+# In a run without blanks and quotes the first assignment with a value inside of the run counts, if a
+# blank follows the run; otherwise only a name at its very end can be given a value behind it.
+_NAMES = r"\b(?:PASSWORD|SECRET|TOKEN|API_KEY)"
+_INLINE_BY_RUN = (
+    r"""(?<![^'"\s])("""
+    rf"""(?=[^'"\s]++['"]?\s)(?:(?!{_NAMES}=[^'"\s])[^'"\s])*+{_NAMES}="""
+    rf"""|(?:(?!{_NAMES}=?(?![^'"\s]))[^'"\s])*+{_NAMES}\s*+=\s*+['"]?+"""
+    r""")[^'"\s]++(['"]?\s)"""
+)
 
 
 # The built-in rules, in the order in which they apply.
@@ -43,11 +65,11 @@ RULES: tuple[Rule, ...] = (
     Rule("token-flag", r"""(--token[=\s]+['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("--token",)),
     Rule("api-key-flag", r"""(--api-key[=\s]+['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("--api-key",)),
     Rule("secret-flag", r"""(--secret[=\s]+['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("--secret",)),
-    Rule("api-key-export", r"""(export\s+[A-Z_]*API[_]?KEY\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", r"(?=[A-Z_]*+\s*=)")),
-    Rule("secret-export", r"""(export\s+[A-Z_]*SECRET[A-Z_]*\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", r"(?=[A-Z_]*+\s*=)")),
-    Rule("password-export", r"""(export\s+[A-Z_]*PASS(?:WORD)?[A-Z_]*\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", r"(?=[A-Z_]*+\s*=)")),
-    Rule("token-export", r"""(export\s+[A-Z_]*TOKEN\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", r"(?=[A-Z_]*+\s*=)")),
-    Rule("credentials-export", r"""(export\s+[A-Z_]*CRED(?:ENTIAL)?S?[A-Z_]*\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", r"(?=[A-Z_]*+\s*=)")),
+    Rule("api-key-export", r"""(export\s+[A-Z_]*API[_]?KEY\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", _ASSIGNED)),
+    Rule("secret-export", r"""(export\s+[A-Z_]*SECRET[A-Z_]*\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", _ASSIGNED)),
+    Rule("password-export", r"""(export\s+[A-Z_]*PASS(?:WORD)?[A-Z_]*\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", _ASSIGNED)),
+    Rule("token-export", r"""(export\s+[A-Z_]*TOKEN\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", _ASSIGNED)),
+    Rule("credentials-export", r"""(export\s+[A-Z_]*CRED(?:ENTIAL)?S?[A-Z_]*\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("export",), ahead=(r"export\s+", _ASSIGNED)),
     Rule("aws-access-key-id", r"""(AWS_ACCESS_KEY_ID\s*=\s*['"]?)([A-Z0-9]{20})(['"]?)""", "${1}<REDACTED>${3}", needs=("AWS_ACCESS_KEY_ID",)),
     Rule("aws-secret-key", r"""(AWS_SECRET_ACCESS_KEY\s*=\s*['"]?)([A-Za-z0-9/+=]{40})(['"]?)""", "${1}<REDACTED>${3}", needs=("AWS_SECRET_ACCESS_KEY",)),
     Rule("aws-session-token", r"""(AWS_SESSION_TOKEN\s*=\s*['"]?)([^'"'\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("AWS_SESSION_TOKEN",)),
@@ -59,7 +81,7 @@ RULES: tuple[Rule, ...] = (
     Rule("pgp-private-key", r"-----BEGIN\s+PGP\s+PRIVATE\s+KEY\s+BLOCK-----", "", drop=True, needs=("-----BEGIN",)),
     Rule("github-token", r"(gh[ps]_[A-Za-z0-9]{36,})", needs=("ghp_", "ghs_")),
     Rule("github-pat", r"(github_pat_[A-Za-z0-9_]{22,})", needs=("github_pat_",)),
-    Rule("jwt-token", r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "<REDACTED_JWT>", needs=(".eyJ",)),
+    Rule("jwt-token", r"\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "<REDACTED_JWT>", needs=(".eyJ",), by_run=(_JWT_BY_RUN, "${1}<REDACTED_JWT>")),
     Rule("slack-bot-token", r"xoxb-[0-9]+-[0-9]+-[A-Za-z0-9]+", needs=("xoxb-",)),
     Rule("slack-user-token", r"xoxp-[0-9]+-[0-9]+-[0-9]+-[A-Za-z0-9]+", needs=("xoxp-",)),
     Rule("slack-app-token", r"xapp-[0-9]+-[A-Za-z0-9]+-[0-9]+-[A-Za-z0-9]+", needs=("xapp-",)),
@@ -93,10 +115,10 @@ RULES: tuple[Rule, ...] = (
     Rule("vault-token", r"""(?i)(VAULT_TOKEN\s*=\s*['"]?)([shrs]\.[A-Za-z0-9_-]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("vault_token",), any_case=True),
     Rule("mongodb-connection-string", r"mongodb(?:\+srv)?://[^:]+:([^@]+)@", "mongodb://[user]:<REDACTED>@", needs=("mongodb",), ends_with="@"),
     Rule("generic-secret-assignment", r"""(?i)((?:secret|password|passwd|pwd|token|api_key|apikey|auth)[_-]?\w{0,20}\s{0,3}[=:]\s{0,3}['"]?)([^'"'\s]{8,})(['"]?)""", "${1}<REDACTED>${3}", needs=("ecret", "word", "wd", "token", "api_key", "apikey", "auth"), any_case=True),
-    Rule("inline-secret-var", r"""(\b(?:PASSWORD|SECRET|TOKEN|API_KEY)\s*=\s*['"]?)([^'"'\s]+)(['"]?\s)""", "${1}<REDACTED>${3}", needs=("PASSWORD", "SECRET", "TOKEN", "API_KEY")),
+    Rule("inline-secret-var", r"""(\b(?:PASSWORD|SECRET|TOKEN|API_KEY)\s*=\s*['"]?)([^'"'\s]+)(['"]?\s)""", "${1}<REDACTED>${3}", needs=("PASSWORD", "SECRET", "TOKEN", "API_KEY"), by_run=(_INLINE_BY_RUN, "${1}<REDACTED>${2}")),
     Rule("curl-password-data", r"""(-d\s+['"]?[^'"]*(?:password|passwd|secret|token)['"]*\s*[=:]\s*['"]?)([^'"&\s]+)(['"]?)""", "${1}<REDACTED>${3}", needs=("-d",), only_if=r"""(?:password|passwd|secret|token)['"]*\s*[=:]""", starts=(r"""-d\s[^'"]*+""", r"""(?<!\x{E000})-d\s+(?=['"])""")),
-    Rule("docker-secret-env", r"(-e\s+[A-Z_]*(?:PASSWORD|SECRET|TOKEN|API_KEY)[A-Z_]*=)([^\s]+)", "${1}<REDACTED>", needs=("PASSWORD", "SECRET", "TOKEN", "API_KEY"), ahead=(r"-e\s+", r"(?=[A-Z_]*+=)")),
-    Rule("kubectl-secret", r"(--from-literal=[A-Za-z_-]*(?:password|secret|token|key)[A-Za-z_-]*=)([^\s]+)", "${1}<REDACTED>", needs=("--from-literal=",), ahead=("--from-literal=", "(?=[A-Za-z_-]*+=)")),
+    Rule("docker-secret-env", r"(-e\s+[A-Z_]*(?:PASSWORD|SECRET|TOKEN|API_KEY)[A-Z_]*=)([^\s]+)", "${1}<REDACTED>", needs=("PASSWORD", "SECRET", "TOKEN", "API_KEY"), ahead=(r"-e\s+", r"+(?=[A-Z_]*+=[^\s])")),
+    Rule("kubectl-secret", r"(--from-literal=[A-Za-z_-]*(?:password|secret|token|key)[A-Za-z_-]*=)([^\s]+)", "${1}<REDACTED>", needs=("--from-literal=",), ahead=("--from-literal=", r"(?=[A-Za-z_-]*+=[^\s])")),
 )
 
 # Where RE2 and Java differ. RE2's \s has no vertical tab, its \b

@@ -65,6 +65,9 @@ def _rewritten(x: str, rule: Rule) -> str:
     if rule.starts:
         plain = f"regexp_replace({x}, {pattern}, {replacement})"
         return f"if(contains({x}, {_literal(START)}), {plain}, {_from_starts(x, rule)})"
+    if rule.by_run:
+        pattern = _literal(java_pattern(rule.by_run[0]))
+        replacement = _literal(java_replacement(rule.by_run[1]))
     if not rule.ends_with:
         return f"regexp_replace({x}, {pattern}, {replacement})"
     # No match reaches past the last such character. Leaving the rest out spares

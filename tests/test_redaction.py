@@ -187,6 +187,29 @@ def test_chain_equals_re2(spark):
             assert (g[0], list(g[1]), g[2]) == (w[0], list(w[1]), None), text
 
 
+# pieces in which names, blanks, quotes and runs of the rules that are matched run by run meet
+RUN_PIECES = {
+    "jwt-token": ["eyJ", "e" + "yJa", "a", "-", "--", "_", ".", "." + "eyJb", " ", "é", "'", "x" * 20],
+    "inline-secret-var": ["TOKEN", "API_KEY", "SECRET=", "PASSWORD", "=", "=x", " ", "  ", "'", '"', "\n", "\v", "a", "_", "é", "-"],
+    "secret-export": ["export", "export ", " ", "\t", "A_", "SECRET", "API_KEY", "APIKEY", "PASS", "WORD", "TOKEN", "CRED", "S", "=", "x", "'", '"'],
+    "docker-secret-env": ["-e", "-e ", " ", "A_", "TOKEN", "API_KEY", "=", "x", "--from-literal=", "key", "secret", "-"],
+}
+
+
+@pytest.mark.parametrize("name", RUN_PIECES)
+def test_rules_by_run_equal_re2(spark, name):
+    rnd = random.Random(name)
+    texts = ["".join(rnd.choice(RUN_PIECES[name]) for _ in range(rnd.randint(1, 14))) for _ in range(6000)]
+    got = [(x["command"], list(x["fired"])) for x in run(spark, texts).collect()]
+    con = duckdb.connect()
+    con.execute("create table t as select unnest(?) as command, unnest(?) as number", [texts, list(range(len(texts)))])
+    sql = oracle.redacted("t", "number", "command", "m")
+    want = con.sql(f"with {sql} select c, fired from m order by number").fetchall()
+    assert [(c, list(f)) for c, f in want] == got
+    numbers = {RULES[i - 1].name for _, fired in got for i in fired}
+    assert name in numbers
+
+
 def big(*parts, size=1_000_000):
     """About a megabyte: the parts, the one that is a tuple repeated to fill it."""
     rest = sum(len(p) for p in parts if isinstance(p, str))
@@ -209,6 +232,25 @@ def big(*parts, size=1_000_000):
         big("export ", ("PASSWORD",), "=x"),
         big("-e ", ("TOKEN",)),
         big("--from-literal=", ("token-",)),
+        big(("-e" + "yJa",), " x." + "eyJ"),
+        big("." + "eyJ ", ("-e" + "yJa",), "." + "eyJ."),
+        big(("e" + "yJa.",)),
+        big("e" + "yJa." + "eyJb.", ("-",)),
+        big("export", (" ",)),
+        big("export", (" ",), "A=x"),
+        big(("export ",)),
+        big("export SECRET", (" ",), "="),
+        big("export ", ("SECRET",), "="),
+        big("export ", ("CREDS",), "='' "),
+        big("-e", (" ",), "TOKEN=x"),
+        big("-e ", ("TOKEN",), "= "),
+        big("--from-literal=", ("key",), "= "),
+        big(("TOKEN=",)),
+        big(("TOKEN=",), "'x"),
+        big("TOKEN", (" ",)),
+        big("TOKEN =", (" ",)),
+        big(("SECRET ",)),
+        big(("-SECRET",), " = 'x'"),
     ],
 )
 def test_a_megabyte_takes_seconds(spark, text):
