@@ -17,6 +17,10 @@ WHITE_SPACE = " \t\n\v\f\r" + "".join(
 MAX_LENGTH_DIFFERENCE = 5
 MIN_EDITS, MAX_EDITS, BYTES_PER_EDIT = 2, 5, 10
 
+# Longer commands (bytes) are compared by their diagonals: a distance matrix, even a band of one,
+# costs the engine the square of their length.
+LONG_COMMAND = 512
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -56,11 +60,59 @@ def edit_distance(a: Column | str, b: Column | str) -> Column:
     return F.levenshtein(one_char_per_byte(_col(a)), one_char_per_byte(_col(b)))
 
 
+def within_max_edits(a: Column, b: Column) -> Column:
+    """Whether two binaries, of lengths at most ``MAX_EDITS`` apart, are within ``MAX_EDITS`` edits.
+
+    For e edits and every diagonal of the distance matrix the furthest place that e edits reach,
+    from those of e - 1 edits: a few comparisons of long stretches, whatever the lengths.
+    """
+    k = MAX_EDITS
+    far = F.lit(-1000)
+
+    def equal_from(x: Column, y: Column, i: Column, j: Column) -> Column:
+        """Equal bytes from places i and j on, by halving steps."""
+
+        def longer(done: Column, bit: Column) -> Column:
+            step = F.call_function("shiftleft", F.lit(1), bit)
+            fits = (i + done + step <= F.octet_length(x)) & (j + done + step <= F.octet_length(y))
+            same = F.substring(x, i + done + 1, step) == F.substring(y, j + done + 1, step)
+            return F.when(fits & same, done + step).otherwise(done)
+
+        return F.aggregate(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), F.lit(0), longer)
+
+    def furthest(x: Column, y: Column) -> Column:
+        def reached(i: Column, d: Column) -> Column:
+            start = F.least(i, F.octet_length(x), F.octet_length(y) - d)
+            ahead = equal_from(x, y, start, start + d)
+            return F.when(start < F.greatest(F.lit(0), -d), far).otherwise(start + ahead)
+
+        # diagonals -k - 1 to k + 1, the outer ones never reached
+        first = F.transform(
+            F.sequence(F.lit(-k - 1), F.lit(k + 1)),
+            lambda d: F.when(d == 0, reached(F.lit(0), d)).otherwise(far),
+        )
+
+        def one_more(before: Column, _: Column) -> Column:
+            def diagonal(d: Column) -> Column:
+                at = d + k + 1
+                best = F.greatest(F.get(before, at) + 1, F.get(before, at - 1), F.get(before, at + 1) + 1)
+                return F.when(F.abs(d) > k, far).otherwise(bind(best, lambda i: reached(i, d)))
+
+            return F.transform(F.sequence(F.lit(-k - 1), F.lit(k + 1)), diagonal)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(k)), first, one_more)
+
+    def reaches_end(x: Column, y: Column) -> Column:
+        last = F.octet_length(y) - F.octet_length(x) + k + 1
+        return F.get(furthest(x, y), last) == F.octet_length(x)
+
+    return bind(a, lambda x: bind(b, lambda y: reaches_end(x, y)))
+
+
 def is_typo(a: Column | str, b: Column | str) -> Column:
     """Whether ``b`` is a small edit of ``a`` (both trimmed); false on nulls.
 
-    The length test comes first and the distance is bounded, so long commands
-    cost a band of the distance matrix at most.
+    The length test comes first and the distance is bounded, so that long commands cost little.
     """
     a, b = _col(a), _col(b)
     size_a, size_b = F.octet_length(a), F.octet_length(b)
@@ -70,9 +122,14 @@ def is_typo(a: Column | str, b: Column | str) -> Column:
     )
     # -1 stands for "more than MAX_EDITS"
     edits = F.levenshtein(one_char_per_byte(a), one_char_per_byte(b), MAX_EDITS)
-    return F.when(
-        F.abs(size_a - size_b) <= MAX_LENGTH_DIFFERENCE, (edits > 0) & (edits <= allowed)
-    ).otherwise(F.lit(False))
+    near = F.abs(size_a - size_b) <= MAX_LENGTH_DIFFERENCE
+    # long commands are allowed all MAX_EDITS
+    long = (a != b) & within_max_edits(a.cast("binary"), b.cast("binary"))
+    return (
+        F.when(near & (F.least(size_a, size_b) > LONG_COMMAND), long)
+        .when(near, (edits > 0) & (edits <= allowed))
+        .otherwise(F.lit(False))
+    )
 
 
 def export_variable(c: Column | str) -> Column:

@@ -1,8 +1,11 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelltrail.functions.text import WHITE_SPACE, edit_distance
+from shelltrail.functions.text import WHITE_SPACE, edit_distance, is_typo, within_max_edits
+from shelltrail.operators import dedup as module
 from shelltrail.operators.dedup import dedup
 from shelltrail.schema import COMMANDS
 
@@ -151,3 +154,80 @@ def test_one_long_history_over_many_chunks(spark, texts, step):
     got = dedup(spark.createDataFrame(rows, COMMANDS), 30, chunk_rows=64).collect()
     assert len(got) == len(expected)
     assert {tuple(r) for r in got} == expected
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_effects_of_chunks_composed_over_levels(spark, monkeypatch, fan):
+    monkeypatch.setattr(module, "FAN", fan)
+    rnd = random.Random(fan)
+    rows, expected = random_histories(fan, 60)
+    for h in range(12):
+        at, own = 1000, []
+        for number in range(1, 260):
+            # a far future time now and then, and rows without time
+            at += rnd.choice([0, 1, 7, 31, -40, 10**6 if rnd.random() < 0.02 else 3])
+            text = "make all" if rnd.random() < 0.995 else rnd.choice(["make al", "hostname"])
+            own.append((f"long{h}", number, at, rnd.random() > 0.02, text))
+        rows += own
+        expected |= set(sequential(own, 30))
+    got = [tuple(r) for r in dedup(spark.createDataFrame(rows, COMMANDS), 30, chunk_rows=6).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == expected
+
+
+@pytest.mark.parametrize("far", [None, 3, 700])
+def test_summaries_of_a_hot_command_stay_small(far):
+    gap, chunk = 30, 500
+    at = [1000 + i // 3 for i in range(20 * chunk)]
+    if far is not None:
+        at[far] = 10**12
+    top, effects = None, []
+    for lo in range(0, len(at), chunk):
+        own = at[lo : lo + chunk]
+        same = [lo > 0] + [True] * (chunk - 1)
+        effects.append({"top": top, **module.chunk_effect(own, same, lo > 0, top, gap)})
+        top = max(own) if top is None else max(top, *own)
+    assert max(len(e["records"]) for e in effects) <= gap + 2
+    whole = module.compose(effects[1:], gap)
+    assert len(whole["records"]) <= gap + 2
+    # the composed effect is what row after row makes of the time
+    first = module.after(effects[0], None, gap)
+    since = first
+    for now in at[chunk:]:
+        since = now if now - since > gap else since
+    assert module.after(whole, first, gap) == since
+
+
+def test_commands_stay_in_the_jvm(spark, commands):
+    for chunk_rows in (2, 100):
+        out = dedup(commands("make", "make", "ls", "svn up", "svn up"), chunk_rows=chunk_rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        calls = re.findall(r"ArrowEvalPython \[keep\(([^)]*)\)", plan)
+        assert calls and plan.count("ArrowEvalPython") == len(calls)
+        # the flags only, computed below the sort of the rows
+        names = [x.split("#")[0].strip() for x in calls[0].split(",")]
+        assert names[:3] == ["at", "same", "instead"] and not {"command", "c"} & set(names), calls
+        others = [x for x in plan.splitlines() if "MapInArrow" in x or "FlatMap" in x]
+        assert not any(re.search(r"\b(command|c)#", x) for x in others), others
+
+
+def test_edits_of_long_commands(spark):
+    rnd = random.Random(5)
+    rows = []
+    for n in [10] * 250 + [600, 5000]:
+        a = "".join(rnd.choice("abé") for _ in range(n))
+        b = list(a)
+        for _ in range(rnd.randrange(8)):
+            p = rnd.randrange(len(b))
+            b[p : p + rnd.randrange(2)] = rnd.choice(["", "a", "é"])
+        rows.append((a, "".join(b)))
+    rows = [(a, b) for a, b in rows if abs(len(a.encode()) - len(b.encode())) <= 5]
+    near = within_max_edits(F.col("a").cast("binary"), F.col("b").cast("binary"))
+    got = spark.createDataFrame(rows, "a string, b string").select(near).collect()
+    short = [x for x in rows if len(x[0]) < 1000]
+    assert [g[0] for g in got][: len(short)] == [_distance(a.encode(), b.encode()) <= 5 for a, b in short]
+    # a megabyte: three edits at both ends and in the middle, and ten in a row
+    a = "x" * 10**6 + "end"
+    pairs = [(a, "y" + a[1:500] + "z" + a[500:-1]), (a, a[:900] + "q" * 10 + a[910:]), (a, a)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(is_typo("a", "b")).collect()] == [True, False, False]
