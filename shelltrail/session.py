@@ -40,16 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def stage(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> str:
-    """Write ``df`` as a table in the shared folder and return its path.
+def own_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder.
 
-    The table belongs to the innermost ``owned`` block around the call; without one, or
+    What is written there belongs to the innermost ``owned`` block around the call; without one, or
     with ``keep``, it is deleted when the Python process ends.
     """
-    spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     owner = _tables.setdefault(spark.sparkContext.applicationId, [])
     (_scopes[-1] if _scopes and not keep else owner).append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> str:
+    """Write ``df`` as a table in the shared folder and return its path; see :func:`own_path`."""
+    path = own_path(df.sparkSession, name, keep)
     df.write.option("compression", compression).parquet(path)
     return path
 
