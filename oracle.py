@@ -408,16 +408,18 @@ enhanced as (
 """
 
 
-def route(source: str, first: int) -> str:
+ALL_OK = "select history_id from responses where kind = 'dedup' and status = 'ok'"
+WHOLE_DEDUP = "select history_id from whole where kind = 'dedup'"
+
+
+def route(source: str, first: int, answered: str = ALL_OK) -> str:
     return f"""
 {APPLIED.replace("SOURCE", source)},
 {dedup(source, "ruled", first)},
 routed as (
-  select * from applied where history_id in (
-    select history_id from responses where kind = 'dedup' and status = 'ok')
+  select * from applied where history_id in ({answered})
   union all
-  select * from ruled where history_id not in (
-    select history_id from responses where kind = 'dedup' and status = 'ok'))
+  select * from ruled where history_id not in ({answered}))
 """
 
 
@@ -454,13 +456,153 @@ hist as (select history_id, count(*) as extracted from selected group by all)"""
     return with_(body, "select * from doc", recursive=True)
 
 
-def prompt(text: str, part_rows: int) -> str:
+PART_ROWS, PART_BYTES = 1 << 18, 1 << 26
+
+
+def parts(pieces: str, keys: str, name: str, out: str, rows: int = PART_ROWS, size: int = PART_BYTES) -> str:
+    """Pieces (keys, number, seq, text, size) in order, cut by rows and bytes."""
+    half = size // 2
     return f"""
-select history_id, (number - first) // {part_rows} as part_no,
-  string_agg(concat(idx, ': ', t, chr(10)), '' order by number) as prompt
-from (select history_id, number, {text} as t, min(number) over (partition by history_id) as first,
-  row_number() over (partition by history_id order by number) - 1 as idx from marked)
-group by all"""
+{out}_sums as (
+  select *, sum(size) over (partition by {keys}) > {size} as large,
+    coalesce(sum(size) over (partition by {keys} order by number, seq
+      rows between unbounded preceding and 1 preceding), 0) as start from {pieces}),
+{out}_state as (
+  select *, (number - min(number) over (partition by {keys})) // {rows} as block,
+    case when large then start // {half} else 0 end as slot, large and size > {half} as big
+  from {out}_sums),
+{out}_cuts as (
+  select *, case when row_number() over w = 1 then 0 when block <> lag(block) over w
+    or slot <> lag(slot) over w or big or lag(big) over w then 1 else 0 end as begins
+  from {out}_state window w as (partition by {keys} order by number, seq)),
+{out}_numbered as (
+  select *, cast(sum(begins) over (partition by {keys} order by number, seq rows unbounded preceding)
+    as bigint) as part_no from {out}_cuts),
+{out} as (
+  select {keys}, part_no, string_agg(text, '' order by number, seq) as {name}
+  from {out}_numbered group by all)
+"""
+
+
+def prompt(text: str, rows: int = PART_ROWS, size: int = PART_BYTES) -> str:
+    return f"""
+lines as (
+  select history_id, number, 2 as seq, strlen(original) + 24 as size,
+    concat(row_number() over (partition by history_id order by number) - 1, ': ', {text}, chr(10)) as text
+  from marked),
+{parts("lines", "history_id", "prompt", "prompts", rows, size)}
+"""
+
+
+def explain_prompt(text: str, rows: int = PART_ROWS, size: int = PART_BYTES) -> str:
+    return f"""
+frame as (
+  select history_id, first_number as number, 1 as seq, concat('## Group ', step_no,
+    case when title <> '' then concat(': ', title) else '' end, chr(10)) as text from steps
+  union all select history_id, last_number, 3, chr(10) from steps),
+lines as (
+  select history_id, number, seq, text, strlen(text) as size from frame
+  union all
+  select history_id, number, 2, concat('  $ ', {text}, chr(10)), strlen(original) + 24 from marked),
+{parts("lines", "history_id", "prompt", "prompts", rows, size)}
+"""
+
+
+def step_pieces(stepped_rows: str, steps: str, out: str) -> str:
+    return f"""
+{out} as (
+  select history_id, step_no, number, seq, text, strlen(text) as size from (
+    select history_id, step_no, first_number as number, 1 as seq,
+      concat('### Step ', step_no, ': ', title, chr(10), chr(10),
+        case when description <> '' then concat(description, chr(10), chr(10)) else '' end,
+        '```bash', chr(10)) as text from {steps}
+    union all
+    select history_id, step_no, last_number, 3, concat('```', chr(10),
+      case when intent <> '' then concat(chr(10), '**Why:** ', intent, chr(10)) else '' end) from {steps}
+    union all
+    select history_id, step_no, number, 2, concat(command, chr(10)) from {stepped_rows}))
+"""
+
+
+def document_parts(first: int, last: int, at: str, rows: int, size: int) -> str:
+    """The guide documents of :func:`guide_document`, from pieces."""
+    body = [
+        guide(first, last),
+        overview("hist", "steps", "ov"),
+        needs("st", "need"),
+        step_pieces("st", "steps", "sp"),
+        f"""ends as (
+  select history_id, min(first_number) as lo, max(last_number) as hi from steps group by all),
+heads as (
+  select history_id, coalesce(lo, 0) as lo, coalesce(hi, 0) as hi, overview, prerequisites, redactions
+  from hist join ov using (history_id) join counts using (history_id)
+  left join need_list using (history_id) left join ends using (history_id)),
+texts as (
+  select history_id, lo as number, 0 as seq, concat('# Runbook', chr(10), chr(10), '## Overview', chr(10), chr(10),
+    overview, chr(10), chr(10), case when len(prerequisites) > 0 then concat('## Prerequisites', chr(10), chr(10),
+      '- ', array_to_string(prerequisites, concat(chr(10), '- ')), chr(10), chr(10)) else '' end,
+    '## Steps', chr(10), chr(10)) as text from heads
+  union all
+  select history_id, hi, 4, concat('## Notes', chr(10), chr(10), '- Generated from bash history on ', {q(at)}, chr(10),
+    '- Time range: commands #{first} to #{last}', chr(10),
+    case when redactions > 0 then concat('- Commands sanitized: ', redactions, chr(10)) else '' end) from heads
+  union all
+  select history_id, number, seq, case when seq = 3 then concat(text, chr(10)) else text end from sp),
+pieces as (select *, strlen(text) as size from texts)""",
+        parts("pieces", "history_id", "markdown", "doc", rows, size),
+    ]
+    return with_(",".join(body), "select * from doc", True)
+
+
+ANSWERS_IN_PARTS = f"""
+asked as (
+  select history_id, cast(history_id as bigint) as h, (commands + {fixtures.PART_ROWS - 1}) // {fixtures.PART_ROWS} as parts
+  from histories),
+part_numbers as (
+  select history_id, h, parts, p as part_no from asked, unnest(range(parts)) as u(p)
+    where not (h % 7 = 1 and p = parts - 1)
+  union all select history_id, h, parts, 0 from asked where h % 7 = 2 and not (h % 7 = 1 and parts = 1)
+  union all select history_id, h, parts, parts from asked where h % 7 = 4),
+responses as (
+  select history_id, parts, part_no, 'dedup' as kind, {fixtures.PART_STATUS_SQL} as status,
+    {fixtures.DEDUP_PART_SQL} as body from part_numbers
+  union all
+  select history_id, parts, part_no, 'explain', {fixtures.PART_STATUS_SQL}, {fixtures.EXPLAIN_PART_SQL}
+  from part_numbers),
+answers as (select *, json_valid(body) as readable from responses),
+whole as (
+  select history_id, kind from answers group by history_id, kind, parts
+  having list(part_no order by part_no) = range(parts) and bool_and(status = 'ok')
+    and (parts = 1 or bool_and(readable))),
+good as (select * from answers join whole using (history_id, kind) where readable),
+group_rows as (
+  select history_id, cast(json_extract(g, '$.representative') as bigint) as representative,
+    cast(json_extract(g, '$.indices') as bigint[]) as indices
+  from (select history_id, unnest(json_extract(body, '$.groups[*]')) as g from good where kind = 'dedup')),
+said_steps as (
+  select history_id, parts, part_no, i, s from (
+    select *, json_extract(body, '$.steps[*]') as l from good where kind = 'explain'),
+    unnest(range(1, len(l) + 1)) as u(i), unnest([l[i]]) as v(s)),
+headings as (
+  select history_id, (first_number - 1) // {fixtures.PART_ROWS} as part_no, min(step_no) as first_step, count(*) as n
+  from steps group by all),
+said as (
+  select history_id, case when parts = 1 then i else first_step + i - 1 end as step_no,
+    nullif(json_extract_string(s, '$.title'), '') as new_title,
+    nullif(json_extract_string(s, '$.description'), '') as new_description,
+    nullif(json_extract_string(s, '$.why'), '') as new_intent
+  from said_steps left join headings using (history_id, part_no) where parts = 1 or i <= n),
+part_texts as (
+  select history_id, part_no, json_extract_string(body, '$.overview') as overview,
+    cast(json_extract(body, '$.prerequisites') as varchar[]) as needs from good where kind = 'explain'),
+explained as (
+  select history_id, arg_min(overview, part_no) filter (overview <> '') as overview,
+    flatten(list(needs order by part_no)) as needs from part_texts group by all),
+new_needs as (
+  select history_id, string_agg(need, '|' order by place) as needs from (
+    select history_id, needs[i] as need, min(i) as place from explained, unnest(range(1, len(needs) + 1)) as u(i)
+    group by all) group by all)
+"""
 
 
 # above every number of a history
@@ -612,8 +754,37 @@ left join (select history_id, count(*) as n from deduped group by all) k using (
 left join (select history_id, count(*) as n from steps group by all) s using (history_id)""",
             True,
         ),
-        "prompt_dedup": with_(f"{LOG}, {mark}", prompt(mark_text, 1 << 18)),
-        "prompt_dedup_parts": with_(f"{LOG}, {mark}", prompt(mark_text, 16)),
+        "prompt_dedup": with_(f"{LOG}, {mark}, {prompt(mark_text)}", "select * from prompts"),
+        "prompt_dedup_parts": with_(
+            f"{LOG}, {mark}, {prompt(mark_text, rows=16)}", "select * from prompts"
+        ),
+        "prompt_dedup_bytes": with_(
+            f"{LOG}, {mark}, {prompt(mark_text, size=600)}", "select * from prompts"
+        ),
+        "prompt_explain_parts": with_(
+            f"{steps}, {redacted('st', 'history_id, number, step_no', 'command', 'marked')},"
+            f" {explain_prompt(mark_text, rows=32, size=500)}",
+            "select * from prompts",
+        ),
+        "step_markdown_parts": with_(
+            f"{steps}, {step_pieces('st', 'steps', 'sp')},"
+            f" {parts('sp', 'history_id, step_no', 'markdown', 'md', 3, 150)}",
+            "select * from md",
+        ),
+        "guide_parts": document_parts(1, LAST_NUMBER, generated_at, 64, 700),
+        "fallback_route_parts": with_(
+            f"{steps}, {ANSWERS_IN_PARTS}, {route('command_log', 1, WHOLE_DEDUP)}", "select * from routed", True
+        ),
+        "apply_explanations_parts": with_(
+            f"{steps}, {ANSWERS_IN_PARTS}, {ENHANCED.replace('SAID', 'said')}", "select * from enhanced"
+        ),
+        "override_sections_parts": with_(
+            f"{steps}, {ANSWERS_IN_PARTS}, {overview('histories', 'steps', 'ov')}, {needs('st', 'need')}",
+            """select ov.history_id, coalesce(e.overview, ov.overview) as overview,
+  coalesce(n.needs, array_to_string(need_list.prerequisites, '|')) as prerequisites
+from ov left join need_list using (history_id) left join explained e on e.history_id = ov.history_id
+left join new_needs n on n.history_id = ov.history_id""",
+        ),
         "prompt_explain": with_(
             f"{steps}, {redacted('st', 'history_id, number, step_no', 'command', 'marked')}",
             f"""select history_id, cast(0 as bigint) as part_no, string_agg(concat('## Group ', step_no,

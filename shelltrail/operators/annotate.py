@@ -5,7 +5,8 @@ whatever serves the model, responses are a table with one row per history, kind
 part of the prompt; the parts of an answer are put together in their order, and the
 parts that were asked (:func:`prompt_parts`) tell whether all have arrived. Prompt
 text is redacted before it leaves; a command that would be removed keeps its line as
-a placeholder, so that indices stay those of the commands.
+a placeholder, so that indices stay those of the commands. Parts of prompts are measured by
+the text before redaction, so that the parts that were asked can be told without it.
 """
 
 from __future__ import annotations
@@ -14,33 +15,66 @@ import contextlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelltrail.functions.rules import Rule
 from shelltrail.operators.chunks import CHUNK_ROWS, KEYS, with_chunk
-from shelltrail.operators.dedup import TIME_GAP_S, dedup
+from shelltrail.operators.dedup import (
+    TIME_GAP_S,
+    crosses_chunks,
+    dedup,
+    dedup_short,
+    history_spans,
+)
 from shelltrail.operators.numbering import positions
+from shelltrail.operators.parts import PART_BYTES, PART_ROWS, joined, part_cuts, with_part
 from shelltrail.operators.redact import redact
-from shelltrail.operators.render import CLOSING, COMMAND, HEADING, PART_ROWS, joined
+from shelltrail.operators.render import CLOSING, COMMAND, HEADING
+from shelltrail.session import staged
 
 # Keys of the two response formats. Their case does not matter.
 DEDUP_KEYS = ("groups", "representative", "indices", "reason")
 EXPLAIN_KEYS = ("overview", "prerequisites", "steps", "title", "description", "why", "notes")
 
 
+# Bytes that a line of a prompt counts beside its command.
+LINE_BYTES = 24
+
+
+def _line_size() -> Column:
+    return (F.octet_length("command") + LINE_BYTES).alias("size")
+
+
 def dedup_prompt(
-    commands: DataFrame, extra: Sequence[Rule] = (), part_rows: int = PART_ROWS
+    commands: DataFrame,
+    extra: Sequence[Rule] = (),
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """One line ``index: command`` per command, joined per history and part."""
     line = F.concat(F.col("idx").cast("string"), F.lit(": "), redact("command", extra), F.lit("\n"))
     pieces = positions(commands).select(
-        "history_id", "number", F.lit(COMMAND).alias("seq"), line.alias("text")
+        "history_id", "number", F.lit(COMMAND).alias("seq"), line.alias("text"), _line_size()
     )
-    return joined(pieces, _firsts(commands, "number"), ["history_id"], "prompt", part_rows)
+    return joined(pieces, ["history_id"], "prompt", part_rows, part_bytes)
 
 
-def _firsts(rows: DataFrame, number: str) -> DataFrame:
-    return rows.groupBy("history_id").agg(F.min(number).alias("first_number"))
+def _group_frame(steps: DataFrame) -> DataFrame:
+    """Headings and closings of the steps as pieces."""
+    title = F.when(F.col("title") != "", F.concat(F.lit(": "), "title")).otherwise("")
+    heading = F.concat(F.format_string("## Group %d", "step_no"), title, F.lit("\n"))
+
+    def piece(number: str, seq: int, text: Column) -> Column:
+        return F.struct(F.col(number).alias("number"), F.lit(seq).alias("seq"), text.alias("text"))
+
+    frame = steps.select(
+        "history_id",
+        F.inline(
+            F.array(piece("first_number", HEADING, heading), piece("last_number", CLOSING, F.lit("\n")))
+        ),
+    )
+    return frame.withColumn("size", F.octet_length("text"))
 
 
 def explain_prompt(
@@ -48,54 +82,45 @@ def explain_prompt(
     steps: DataFrame,
     extra: Sequence[Rule] = (),
     part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """A heading per step and its commands below, joined per history and part.
 
     Commands are redacted here; rows that are redacted already stay as they are.
     """
-    title = F.when(F.col("title") != "", F.concat(F.lit(": "), "title")).otherwise("")
-    frame = steps.select(
-        "history_id",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("first_number").alias("number"),
-                    F.lit(HEADING).alias("seq"),
-                    F.concat(F.format_string("## Group %d", "step_no"), title, F.lit("\n")).alias(
-                        "text"
-                    ),
-                ),
-                F.struct(
-                    F.col("last_number").alias("number"),
-                    F.lit(CLOSING).alias("seq"),
-                    F.lit("\n").alias("text"),
-                ),
-            )
-        ),
-    )
     lines = stepped.select(
         "history_id",
         "number",
         F.lit(COMMAND).alias("seq"),
         F.concat(F.lit("  $ "), redact("command", extra), F.lit("\n")).alias("text"),
+        _line_size(),
     )
-    pieces = frame.unionByName(lines)
-    return joined(pieces, _firsts(stepped, "number"), ["history_id"], "prompt", part_rows)
+    pieces = _group_frame(steps).unionByName(lines)
+    return joined(pieces, ["history_id"], "prompt", part_rows, part_bytes)
 
 
 def whole_history_prompt(
-    commands: DataFrame, extra: Sequence[Rule] = (), part_rows: int = PART_ROWS
+    commands: DataFrame,
+    extra: Sequence[Rule] = (),
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """All commands of a history as one group without a title."""
     groups = commands.groupBy("history_id").agg(
         F.min("number").alias("first_number"), F.max("number").alias("last_number")
     )
     groups = groups.withColumns({"step_no": F.lit(1).cast("bigint"), "title": F.lit("")})
-    return explain_prompt(commands, groups, extra, part_rows)
+    return explain_prompt(commands, groups, extra, part_rows, part_bytes)
+
+
+_ASKED = "history_id string, asked array<struct<part_no: bigint, first_step: bigint, steps: bigint>>"
 
 
 def prompt_parts(
-    rows: DataFrame, steps: DataFrame | None = None, part_rows: int = PART_ROWS
+    rows: DataFrame,
+    steps: DataFrame | None = None,
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``history_id, asked``: the prompt parts of every history whose prompt has several.
 
@@ -103,21 +128,24 @@ def prompt_parts(
     of such steps, in the order of ``part_no``. ``rows`` are those of the prompt, ``steps`` the
     steps of an explain prompt. Histories that are not in the table were asked in one part.
     """
-    firsts = rows.groupBy("history_id").agg(
-        F.min("number").alias("first_number"), F.max("number").alias("last_number")
-    )
-    long = firsts.where(f"(last_number - first_number) div {part_rows}L > 0").drop("last_number")
-    part = F.expr(f"(number - first_number) div {part_rows}L").alias("part_no")
-    parts = rows.select("history_id", "number").join(long, "history_id").select("history_id", part).distinct()
+    sizes = rows.select("history_id", "number", F.lit(COMMAND).alias("seq"), _line_size())
+    if steps is not None:
+        sizes = sizes.unionByName(_group_frame(steps).drop("text"))
+    cuts = part_cuts(sizes, ["history_id"], part_rows, part_bytes)
+    if cuts is None:
+        return rows.sparkSession.createDataFrame([], _ASKED)
+    last = cuts.groupBy("history_id").agg(F.sum(F.size("cuts")).alias("last"))
+    parts = last.select("history_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("part_no"))
     if steps is None:
         none = F.lit(None).cast("bigint")
         parts = parts.withColumns({"first_step": none, "steps": none})
     else:
-        headings = steps.select("history_id", "step_no", F.col("first_number").alias("number"))
-        headings = (
-            headings.join(long, "history_id")
-            .groupBy("history_id", part)
-            .agg(F.min("step_no").alias("first_step"), F.count("*").alias("steps"))
+        headings = steps.join(last, "history_id", "left_semi").select(
+            "history_id", "step_no", F.col("first_number").alias("number"), F.lit(HEADING).alias("seq")
+        )
+        headings = with_part(headings, cuts, ["history_id"])
+        headings = headings.groupBy("history_id", "part_no").agg(
+            F.min("step_no").alias("first_step"), F.count("*").alias("steps")
         )
         parts = parts.join(headings, ["history_id", "part_no"], "left")
     asked = F.array_sort(F.collect_list(F.struct("part_no", "first_step", "steps")))
@@ -397,13 +425,38 @@ def dedup_with_fallback(
     time_gap_s: int = TIME_GAP_S,
     chunk_rows: int = CHUNK_ROWS,
     part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Response groups where a whole response arrived, the rules of :func:`dedup` elsewhere.
 
-    ``part_rows`` is that of the prompts.
+    ``part_rows`` and ``part_bytes`` are those of the prompts, ``spans`` the :func:`history_spans`
+    of the commands, if they are known already. They tell which histories are so long that prompts
+    have parts or that rows have to be worked on in chunks; where none is, the commands meet the
+    routes of their histories in one shuffle for each route.
     """
-    asked = prompt_parts(commands, part_rows=part_rows)
+    commands = commands.select("history_id", "number", "epoch_s", "has_time", "command")
+    if spans is None:
+        spans = staged(history_spans(commands), "route-spans")
+    many_parts = F.expr(f"(high - low) div {part_rows}L > 0") | (
+        F.col("bytes") + LINE_BYTES * F.col("n") > part_bytes
+    )
+    parted, long = spans.agg(F.count_if(many_parts), F.count_if(crosses_chunks(chunk_rows))).first()
+    if parted:
+        asked = prompt_parts(commands, part_rows=part_rows, part_bytes=part_bytes)
+    else:
+        asked = commands.sparkSession.createDataFrame([], _ASKED)
     parsed = parse_dedup_responses(responses, asked).where(F.col("status") == "ok")
+    if not long:
+        listed = F.transform(
+            "groups", lambda g: F.filter(g["indices"], lambda i: i != g["representative"])
+        )
+        routes = parsed.select("history_id", F.flatten(listed).alias("listed"))
+        place = F.row_number().over(W.partitionBy("history_id").orderBy("number")) - 1
+        by_model = commands.join(routes, "history_id").withColumn("idx", place.cast("bigint"))
+        by_model = by_model.where(~F.array_contains("listed", F.col("idx"))).drop("listed", "idx")
+        others = commands.join(routes, "history_id", "left_anti")
+        return by_model.unionByName(dedup_short(others, time_gap_s, chunk_rows))
     answered = parsed.select("history_id")
     by_model = apply_dedup_groups(
         by_history(commands, answered, "left_semi", chunk_rows), parsed

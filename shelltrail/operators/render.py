@@ -2,9 +2,9 @@
 
 A history may be too long for one string. Text is therefore laid out as pieces
 (heading, command, closing), each with its place in the history, and joined into
-parts of ``part_rows`` numbers, counted from the first piece. The parts of a history
-in the order of ``part_no`` are its document; a history that spans fewer numbers has
-exactly one, wherever its numbers begin.
+parts of bounded rows and bytes (:mod:`shelltrail.operators.parts`). The parts of a history
+in the order of ``part_no`` are its document; a shorter history has exactly one,
+wherever its numbers begin.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from shelltrail.functions.catalogue import intent_phrase, prerequisite_of
 from shelltrail.functions.text import required_tool
-
-# Numbers of a part: some 25 MB of text with commands of a hundred characters.
-PART_ROWS = 1 << 18
+from shelltrail.operators.parts import PART_BYTES, PART_ROWS, joined
 
 # Wording of a guide.
 NO_COMMANDS = "This runbook contains no commands."
@@ -36,23 +34,6 @@ def clock(epoch_s: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", hour, minute, F.pmod(day, F.lit(60)))
 
 
-def joined(
-    pieces: DataFrame, firsts: DataFrame, keys: list[str], name: str, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Concatenate the pieces of each key and part in order.
-
-    ``firsts`` has the smallest number of each key as ``first_number``.
-    """
-    part = F.expr(f"(number - first_number) div {part_rows}L").alias("part_no")
-    ordered = F.sort_array(F.collect_list(F.struct("number", "seq", "text")))
-    return (
-        pieces.join(firsts.select(*keys, "first_number"), keys)
-        .select(*keys, part, "number", "seq", "text")
-        .groupBy(*keys, "part_no")
-        .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(name))
-    )
-
-
 def step_pieces(stepped: DataFrame, steps: DataFrame, timestamps: bool = False) -> DataFrame:
     """Pieces of all steps. Headings and closings come from ``steps``, so commands need no join."""
     heading = F.concat(
@@ -91,46 +72,44 @@ def _piece(number: Column, seq: int, text: Column) -> Column:
 
 
 def step_markdown(
-    stepped: DataFrame, steps: DataFrame, timestamps: bool = False, part_rows: int = PART_ROWS
+    stepped: DataFrame,
+    steps: DataFrame,
+    timestamps: bool = False,
+    part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Markdown per step, in one part unless the step is very long."""
+    """Markdown per step, in one part unless the step is very long.
+
+    Both tables are read twice: stage them first if they are costly.
+    """
     pieces = step_pieces(stepped, steps, timestamps)
-    keys = ["history_id", "step_no"]
-    # from the commands, since summarising them once more would cost more
-    firsts = stepped.groupBy(*keys).agg(F.min("number").alias("first_number"))
-    return joined(pieces, firsts, keys, "markdown", part_rows)
+    return joined(pieces, ["history_id", "step_no"], "markdown", part_rows, part_bytes)
 
 
 def overview(histories: DataFrame, steps: DataFrame) -> DataFrame:
     """One paragraph per history; intents in the order in which they first appear."""
-    first = (
-        steps.where(F.col("intent") != "")
-        .groupBy("history_id", "intent")
-        .agg(F.min("step_no").alias("step_no"))
-    )
-    covers = first.groupBy("history_id").agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("step_no", "intent"))),
-                lambda x: intent_phrase(x["intent"]),
-            ),
-            ", ",
-        ).alias("covered")
-    )
-    counts = steps.groupBy("history_id").agg(
-        F.count("*").alias("steps"), F.sum("commands").cast("bigint").alias("commands")
-    )
+    per_intent = steps.groupBy("history_id", "intent").agg(
+        F.min("step_no").alias("step_no"),
+        F.count("*").alias("n"),
+        F.sum("commands").alias("commands"),
+    )
+    named = F.when(F.col("intent") != "", F.struct("step_no", "intent"))
+    counts = per_intent.groupBy("history_id").agg(
+        F.sort_array(F.collect_list(named)).alias("covered"),
+        F.sum("n").cast("bigint").alias("steps"),
+        F.sum("commands").cast("bigint").alias("commands"),
+    )
+    covered = F.array_join(F.transform("covered", lambda x: intent_phrase(x["intent"])), ", ")
     text = F.when(F.col("steps").isNull(), F.lit(NO_COMMANDS)).otherwise(
         F.concat_ws(
             " ",
-            F.when(F.col("covered").isNotNull(), F.format_string(COVERS, "covered")),
+            F.when(F.size("covered") > 0, F.format_string(COVERS, covered)),
             F.format_string(CONTAINS, "steps", "commands"),
         )
     )
     return (
         histories.select("history_id")
         .join(counts, "history_id", "left")
-        .join(covers, "history_id", "left")
         .select("history_id", text.alias("overview"))
     )
 
@@ -164,6 +143,7 @@ def documents(
     range_text: str = "",
     timestamps: bool = False,
     part_rows: int = PART_ROWS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Guides as ``history_id, part_no, markdown``.
 
@@ -195,15 +175,13 @@ def documents(
             F.col("redactions") > 0, F.format_string("- Commands sanitized: %d\n", "redactions")
         ).otherwise(""),
     )
+    # a guide without steps has both pieces at number 0
     first = F.coalesce("first_number", F.lit(0)).cast("bigint")
     last = F.coalesce("last_number", F.lit(0)).cast("bigint")
     frame = heads.join(ends, "history_id", "left").select(
         "history_id",
         F.inline(F.array(_piece(first, HEADER, header), _piece(last, NOTES, notes))),
     )
-    # a guide without steps has both pieces at number 0
-    firsts = heads.select("history_id").join(ends, "history_id", "left")
-    firsts = firsts.select("history_id", first.alias("first_number"))
     body = step_pieces(stepped, steps, timestamps)
     body = body.select(
         "history_id",
@@ -211,4 +189,4 @@ def documents(
         "seq",
         F.when(F.col("seq") == CLOSING, F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"),
     )
-    return joined(frame.unionByName(body), firsts, ["history_id"], "markdown", part_rows)
+    return joined(frame.unionByName(body), ["history_id"], "markdown", part_rows, part_bytes)

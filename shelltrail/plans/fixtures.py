@@ -58,6 +58,30 @@ case h % 5
  else null end
 """
 
+# Numbers of a prompt part in the fixture of answers in parts, and by history number h and part
+# part_no of parts: which answers are missing, repeated, failed, not asked, and their bodies.
+PART_ROWS = 16
+PARTS_SQL = """
+flatten(transform(sequence(0, parts), p -> case
+  when p = parts then if(h % 7 = 4, array(p), array())
+  when h % 7 = 1 and p = parts - 1 then array()
+  when h % 7 = 2 and p = 0 then array(p, p)
+  else array(p) end))
+"""
+PART_STATUS_SQL = "case when h % 7 = 6 and part_no = 1 then 'failed' else 'ok' end"
+DEDUP_PART_SQL = """
+case when h % 7 = 3 and part_no = 0 then 'No groups here.'
+ else concat('{"groups":[{"representative":',part_no*16+1,',"indices":[',part_no*16,',',part_no*16+1,',',part_no*16+3,
+  '],"reason":"part ',part_no,' of ',h,'"}]}') end
+"""
+EXPLAIN_PART_SQL = """
+case when h % 7 = 3 and part_no = 0 then '{"steps":['
+ else concat('{"overview":"',case when part_no % 2 = 1 then concat('About part ',part_no,' of ',h,'.') else '' end,
+  '","prerequisites":["Access ',h,'","Part ',part_no,'"],"steps":[{"title":"First of ',part_no,
+  '","description":"Look around."},{"title":"","why":"Second of ',part_no,'"},{"title":"Third of ',part_no,'"},',
+  '{"why":"Fourth of ',part_no,'"}]}') end
+"""
+
 _staged: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
@@ -133,6 +157,24 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def responses_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to prompts in parts of ``PART_ROWS`` numbers, some of them not whole."""
+    base = histories(spark, sf_dir).select(
+        "history_id",
+        F.col("history_id").cast("bigint").alias("h"),
+        F.expr(f"(commands + {PART_ROWS - 1}) div {PART_ROWS}").alias("parts"),
+    )
+    rows = base.select("history_id", "h", F.explode(F.expr(PARTS_SQL)).alias("part_no"))
+    kinds = F.array(
+        F.struct(F.lit("dedup").alias("kind"), F.expr(DEDUP_PART_SQL).alias("body")),
+        F.struct(F.lit("explain").alias("kind"), F.expr(EXPLAIN_PART_SQL).alias("body")),
+    )
+    status = F.expr(PART_STATUS_SQL).alias("status")
+    return rows.select("history_id", "part_no", status, F.inline(kinds)).select(
+        "history_id", "kind", "part_no", "status", "body"
+    )
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of every kind a model may give, one per history and kind."""
     many = (

@@ -85,6 +85,56 @@ def test_parts_add_up(commands):
     assert "".join(r["markdown"] for r in rows) == EXPECTED
 
 
+def test_parts_are_bounded_by_bytes(spark):
+    # a megabyte each, a few short ones between
+    rows = [("h", i, i, True, f"make t{i} {'x' * (10**6 if i % 7 else 3)}") for i in range(1, 41)]
+    df = spark.createDataFrame(rows, COMMANDS).repartition(8)
+    most = 8 * 10**6
+    with Guide(df, 1, 1000, chunk_rows=64) as guide:
+        parts = guide.documents(AT, part_bytes=most)
+        sizes = parts.select("part_no", F.octet_length("markdown").alias("n")).orderBy("part_no").collect()
+    assert [r["part_no"] for r in sizes] == list(range(len(sizes)))
+    assert max(r["n"] for r in sizes) <= most and len(sizes) < 14
+    prompts = annotate.dedup_prompt(df, part_bytes=most).select(F.octet_length("prompt").alias("n")).collect()
+    assert max(r["n"] for r in prompts) <= most and len(prompts) < 14
+
+
+def test_a_piece_longer_than_a_part(spark):
+    rows = [("h", i, i, True, "x" * n) for i, n in enumerate([5, 400, 5, 5, 30, 400, 400], 1)]
+    stepped = steps.step_commands(spark.createDataFrame(rows, COMMANDS))
+    out = annotate.dedup_prompt(stepped, part_bytes=200).orderBy("part_no").collect()
+    assert [len(r["prompt"].splitlines()) for r in out] == [1, 1, 2, 1, 1, 1]
+
+
+def test_building_a_guide_starts_no_job(spark, commands):
+    df = history(commands)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    guide = Guide(df, 2, 8)
+    assert len(tracker.getJobIdsForGroup(None)) == before and guide.tables == [] and guide.totals() == {}
+    guide.documents(AT).collect()
+    assert guide.totals() == {"extracted": 7, "kept": 5, "redactions": 2, "clean": 4, "steps": 3}
+    guide.close()
+
+
+def test_totals_are_the_sums_of_the_metrics(spark):
+    rows = [(f"h{i % 5}", i, i * 7, True, f"mysql -psecret{i} db" if i % 3 else "ls") for i in range(200)]
+    with Guide(spark.createDataFrame(rows, COMMANDS), 0, 150) as guide:
+        sums = guide.metrics().agg(*[F.sum(n).alias(n) for n in ("extracted", "kept", "redactions", "steps")]).first()
+        totals = guide.totals()
+    assert {n: totals[n] for n in sums.asDict()} == sums.asDict()
+
+
+def test_strict_audit_of_a_guide(commands):
+    with Guide(history(commands), 2, 8, strict=True) as guide:
+        records = {r["rule"]: r["original"] for r in guide.audit.collect()}
+        assert guide.documents(AT, "Deploy").first()["markdown"] == EXPECTED
+    assert records["bearer-token"].endswith("https://api.example.org") and "abc" in records["bearer-token"]
+    with Guide(history(commands), 2, 8) as guide:
+        assert [r["original"] for r in guide.audit.collect()] == [None, None]
+        assert "original" not in guide.marked.columns
+
+
 def test_timestamps(commands):
     text = Guide(history(commands), 2, 8).documents(AT, timestamps=True).first()["markdown"]
     assert text.startswith("# Runbook\n")
