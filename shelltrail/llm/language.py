@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,26 +36,36 @@ LONGEST = 6
 PENALTY = 7.0
 # Long texts are read in slices of so many characters, cut between words.
 SLICE = 1 << 20
-# A worker remembers the scores of words: so many numbers and characters at most. Longer words than
-# these are not remembered.
+# A worker remembers the scores of stretches of letters: so many numbers and characters, about.
 KNOWN_NUMBERS = 1 << 22
 KNOWN_CHARS = 1 << 23
-LONG_WORD = 64
+# N-grams of a long word that are looked up at a time.
+MOST_GRAMS = 1 << 16
 
 _word = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _between = regex.compile(r"[^\p{L}\p{M}]")
+# ASCII that is no letter, as blanks
+_letters = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def words_of(text: str) -> Iterator[list[str]]:
-    """Words in lower case (letters with their marks), in slices of the text."""
+def stretches_of(text: str) -> Iterator[list[str]]:
+    """What ASCII characters that are no letters part, in lower case, in slices of the text.
+
+    Most stretches are one word; those beyond ASCII may hold none or several.
+    """
     at = 0
     while at < len(text):
         cut = None if at + SLICE >= len(text) else _between.search(text, at + SLICE)
         end = cut.start() if cut else len(text)
-        yield _word.findall(text[at:end].lower())
+        yield text[at:end].lower().encode().translate(_letters).decode().split()
         at = end
 
 
+def words_in(stretch: str) -> list[str]:
+    """Words: letters with their marks."""
+    return [stretch] if stretch.isascii() else _word.findall(stretch)
+
+
 @dataclass
 class Model:
     """Scores by language of words and n-grams: of item k the entries from at[k] to at[k + 1]."""
@@ -87,74 +98,71 @@ class Lookup:
         self._forget()
 
     def _forget(self) -> None:
-        # row 0 is that of words that do not count
         self.known: dict[str, int] = {}
-        self.chars, self.rows = 0, 1
-        self.table = np.zeros((1024, self.width))
+        self.chars = 0
+        # of each stretch the sums over its words that count, their number, and that of all its words
+        self.table = np.zeros((1024, self.width + 2))
 
-    def _mean(self, items: list[int]) -> np.ndarray:
+    def _sum(self, items: list[int]) -> np.ndarray:
         m = self.model
-        total = np.zeros(self.width)
+        total = np.full(self.width, PENALTY * len(items))
         for k in items:
             part = slice(m.at[k], m.at[k + 1])
             total[m.language[part]] += m.score[part] - PENALTY
-        return total / len(items) + PENALTY
+        return total
 
     def of_word(self, word: str) -> np.ndarray | None:
         """Scores of a word in all languages; None if nothing of it is known."""
         k = self.words.get(word)
         if k is not None:
-            return self._mean([k])
+            return self._sum([k])
         text, grams = f" {word} ", self.grams
         for size in range(LONGEST, 0, -1):
-            parts = (text[i : i + size] for i in range(len(text) - size + 1))
-            items = [k for k in map(grams.get, parts) if k is not None]
-            if items:
-                return self._mean(items)
+            total, n = np.zeros(self.width), 0
+            places = len(text) - size + 1
+            for lo in range(0, places, MOST_GRAMS):
+                parts = (text[i : i + size] for i in range(lo, min(places, lo + MOST_GRAMS)))
+                items = [k for k in map(grams.get, parts) if k is not None]
+                total, n = total + self._sum(items), n + len(items)
+            if n:
+                return total / n
         return None
 
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        """Row of the table for each word."""
+    def rows_of(self, stretches: list[str]) -> np.ndarray:
+        """Row of the table for each stretch."""
         known = self.known
-        new = set(words).difference(known)
-        for word in new:
-            scores = self.of_word(word)
-            if scores is None:
-                known[word] = 0
-            else:
-                if self.rows == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[self.rows] = scores
-                known[word] = self.rows
-                self.rows += 1
-            self.chars += len(word)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def of_text(self, text: str) -> tuple[np.ndarray, int, bool]:
-        """Sum over the words that count, their number, and whether there is any word."""
-        total, n, any_word = np.zeros(self.width), 0, False
-        step = max(1, KNOWN_NUMBERS // (4 * max(1, self.width)))
-        for words in words_of(text):
-            any_word = any_word or bool(words)
-            for word in [w for w in words if len(w) > LONG_WORD]:
-                scores = self.of_word(word)
+        for stretch in set(stretches).difference(known):
+            if len(known) == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            row = self.table[len(known)]
+            words = words_in(stretch)
+            row[-1] = len(words)
+            for scores in map(self.of_word, words):
                 if scores is not None:
-                    total, n = total + scores, n + 1
-            words = [w for w in words if len(w) <= LONG_WORD]
-            for lo in range(0, len(words), step):
-                if self.rows * self.width > KNOWN_NUMBERS or self.chars > KNOWN_CHARS:
+                    row[:-2] += scores
+                    row[-2] += 1
+            known[stretch] = len(known)
+            self.chars += len(stretch)
+        return np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches))
+
+    def of_text(self, text: str) -> np.ndarray:
+        """Sums over the words that count, their number, and that of all words."""
+        total = np.zeros(self.width + 2)
+        step = max(1, KNOWN_NUMBERS // (4 * len(total)))
+        for stretches in stretches_of(text):
+            for lo in range(0, len(stretches), step):
+                if len(self.known) * len(total) > KNOWN_NUMBERS or self.chars > KNOWN_CHARS:
                     self._forget()
-                rows = self.rows_of(words[lo : lo + step])
+                rows = self.rows_of(stretches[lo : lo + step])
                 total += self.table[rows].sum(axis=0)
-                n += int(np.count_nonzero(rows))
-        return total, n, any_word
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and confidence: how its share of 10 ** -mean stands among all languages."""
-        total, n, any_word = self.of_text(text or "")
-        if not any_word or not self.width:
+        *total, n, words = self.of_text(text or "")
+        if not words or not self.width:
             return UNKNOWN, 0.0
-        mean = total / max(1, n)
+        mean = np.array(total) / max(1, n)
         best = int(np.argmin(mean))
         return self.model.languages[best], float(1 / np.sum(10 ** (mean[best] - mean)))
 
@@ -185,7 +193,8 @@ def count_items(learned: DataFrame) -> DataFrame:
         for batch in batches:
             langs, items = [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for words in words_of(text):
+                for stretches in stretches_of(text):
+                    words = list(chain.from_iterable(map(words_in, stretches)))
                     langs += [lang] * len(words)
                     items += words
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(items, pa.string())], ["lang", "item"])
