@@ -26,7 +26,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +36,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 # Text of a block, in characters.
 BLOCK_CHARS = 1 << 23
-# Word parts that a worker remembers; it starts afresh when it knows more.
-KNOWN_PARTS = 1 << 17
+# Bytes of word parts that a worker remembers, about; it starts afresh when it knows more.
+KNOWN_BYTES = 1 << 25
 # Largest vocabulary whose byte table is sent to the tasks.
 MOST_TOKENS = 1 << 21
 
@@ -68,15 +68,18 @@ class Splitter:
         # the shortcut holds for the fixed pattern only
         self.by_parts = pattern == PATTERN
         self.known: dict[str, tuple[str, ...] | None] = {}
+        self.size = 0
 
     def part(self, part: str) -> tuple[str, ...] | None:
         got = self.known.get(part, 0)
         if got == 0:
-            if len(self.known) > KNOWN_PARTS:
+            if self.size > KNOWN_BYTES:
                 self.known.clear()
+                self.size = 0
             rest = part[1:] if part[:1] == " " else part
             got = None if not rest or rest[0].isspace() else tuple(self.find(part))
             self.known[part] = got
+            self.size += 200 + 4 * len(part) + 60 * len(got or ())
         return got
 
     def parts(self, text: str) -> list[str] | None:
@@ -234,7 +237,7 @@ def word_ids(blocks: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoding(ranks, pattern)._encode_single_piece, {}
+        encode, known, size = encoding(ranks, pattern)._encode_single_piece, {}, 0
         for batch in batches:
             out = []
             for numbers, words in zip(
@@ -242,14 +245,16 @@ def word_ids(blocks: DataFrame, ranks: str, pattern: str) -> DataFrame:
             ):
                 steps, sizes = unpack(numbers)
                 text, ends = zstandard.decompress(words), np.cumsum(sizes).tolist()
-                if len(known) > KNOWN_PARTS:
+                if size > KNOWN_BYTES:
                     known.clear()
+                    size = 0
                 found = []
                 for a, b in zip([0, *ends], ends, strict=False):
                     word = text[a:b]
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = np.array(encode(word), "<u4").tobytes()
+                        size += 150 + len(word) + len(ids)
                     found.append(ids)
                 counts = np.fromiter((len(i) // 4 for i in found), np.int64, len(found))
                 out.append(pack(steps, counts, np.frombuffer(b"".join(found), "<u4")))
@@ -261,9 +266,41 @@ def word_ids(blocks: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return asked.repartition("bucket").mapInArrow(run, "block bigint, found binary")
 
 
-def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Documents of a block with the ids in the places of the word numbers."""
+class Tokens:
+    """The token-byte table: bytes of ids."""
+
+    def __init__(self, ids: np.ndarray, tokens: list[bytes]):
+        self.ids = ids
+        self.body = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, packed: bytes) -> bytes:
+        want = np.frombuffer(packed, "<u4")
+        place = np.searchsorted(self.ids, want)
+        if len(want) and (place.max() >= len(self.ids) or (self.ids[place] != want).any()):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.sizes[place]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.starts[place] - (ends - size), size) + np.arange(total)
+        return self.body[at].tobytes()
+
+
+def token_table(spark: SparkSession, ranks: str) -> Broadcast:
+    """The token-byte table for all tasks; its size is that of the vocabulary."""
+    tokens = read_ranks(ranks)
+    if len(tokens) > MOST_TOKENS:
+        raise ValueError("the vocabulary is too large to send to every task")
+    by_id = sorted((i, t) for t, i in tokens.items())
+    return spark.sparkContext.broadcast((np.array([i for i, _ in by_id], np.int64), [t for _, t in by_id]))
+
+
+def assemble(docs: pa.Table, words: pa.Table, tokens: Tokens | None = None) -> pa.Table:
+    """Documents of a block with the ids in the places of the word numbers, decoded again if asked."""
     found = [unpack(x) for x in words.column("found").to_pylist()]
+    if len(found) != docs.column("word_rows")[0].as_py():
+        raise RuntimeError("a block lost word rows or has them twice")
     none = np.empty(0, np.int64)
     number = np.concatenate([none, *(np.cumsum(f[0].astype(np.int64)) for f in found)])
     length = np.concatenate([none, *(f[1].astype(np.int64) for f in found)])
@@ -283,7 +320,10 @@ def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         at = np.repeat(start[numbers] - (ends - sizes), sizes) + np.arange(total)
         out.append(flat[at].tobytes())
     doc_ids = docs.column("ids").combine_chunks().flatten()
-    return pa.table({"doc_id": doc_ids, "ids": pa.array(out, pa.binary())})
+    columns = {"doc_id": doc_ids, "ids": pa.array(out, pa.binary())}
+    if tokens is not None:
+        columns["decoded"] = pa.array([tokens.decode(x) for x in out], pa.binary())
+    return pa.table(columns)
 
 
 def encode(
@@ -293,20 +333,31 @@ def encode(
     ranks: str = RANKS,
     pattern: str = PATTERN,
     block_chars: int = BLOCK_CHARS,
+    decoded: bool = False,
 ) -> DataFrame:
     """``doc_id`` and ``ids`` of every row; ids are little-endian unsigned 32-bit integers.
 
+    With ``decoded``, a column of that name has the bytes that the ids give back, as
+    :func:`decode` would add it, but made in the task that puts the ids together.
     A null or empty text has no ids (empty bytes). Null and repeated ids and repeated rows
     give a row each. Other columns are not carried: join by id. An empty table gives an
-    empty result.
+    empty result. A text longer than ``block_chars`` is a block by itself.
     """
     rows = texts(df, id_col, text_col)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # both uses of the blocks read the same shuffle; the words have some buckets for each task
     blocks = pre_tokens(rows, pattern, block_chars, 2 * tasks).repartition(tasks, "block")
     found = word_ids(blocks, ranks, pattern)
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary"
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary" + (", decoded binary" if decoded else "")
+    sent = token_table(df.sparkSession, ranks) if decoded else None
+
+    def together(docs: pa.Table, words: pa.Table) -> pa.Table:
+        return assemble(docs, words, Tokens(*sent.value) if sent else None)
+
+    # the words stay out of the second use, but not out of the shuffle that both uses share
+    word_rows = F.greatest(F.size("bucket"), F.size("numbers"), F.size("words")).alias("word_rows")
+    docs = blocks.select("block", "ids", "sizes", "codes", word_rows)
+    return docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(together, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, name: str = "decoded") -> DataFrame:
@@ -314,42 +365,19 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks: str = RANKS, name: str =
 
     Joins every id with the token-byte table. An id that is not in the vocabulary is an error.
     """
-    tokens = read_ranks(ranks)
-    if len(tokens) > MOST_TOKENS:
-        raise ValueError("the vocabulary is too large to send to every task")
-    by_id = sorted((i, t) for t, i in tokens.items())
-    ids = np.array([i for i, _ in by_id], np.int64)
-    table = df.sparkSession.sparkContext.broadcast((ids, [t for _, t in by_id]))
+    sent = token_table(df.sparkSession, ranks)
 
     @F.pandas_udf("binary")
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids, tokens = table.value
-        body = np.frombuffer(b"".join(tokens), np.uint8)
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        starts = np.cumsum(sizes) - sizes
+        tokens = Tokens(*sent.value)
         for column in batches:
-            out = []
-            for packed in column:
-                if packed is None:
-                    out.append(None)
-                    continue
-                want = np.frombuffer(packed, "<u4")
-                place = np.searchsorted(ids, want)
-                if len(want) and (place.max() >= len(ids) or (ids[place] != want).any()):
-                    raise ValueError("an id is not in the vocabulary")
-                size = sizes[place]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                at = np.repeat(starts[place] - (ends - size), size) + np.arange(total)
-                out.append(body[at].tobytes())
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([None if x is None else tokens.decode(x) for x in column], dtype=object)
 
     return df.withColumn(name, join(ids_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents"))
-    return decode(encoded).select(
+    return encode(table(spark, sf_dir, "documents"), decoded=True).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

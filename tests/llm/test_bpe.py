@@ -29,6 +29,25 @@ def test_equals_the_library_and_comes_back(spark, library):
     assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in out) == want
 
 
+def test_decoded_where_ids_are_put_together(spark):
+    rows = list(enumerate(HARD + fuzzed(300)))
+    df = frame(spark, [*rows, (None, "null id"), (3, "again")]).repartition(5)
+    out = bpe.encode(df, block_chars=2000, decoded=True)
+    again = bpe.decode(out.select("doc_id", "ids")).select("doc_id", "ids", "decoded")
+    as_rows = lambda x: sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in x.collect())
+    assert as_rows(out) == as_rows(again)
+    # one shuffle of the blocks serves both uses of them
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("ReusedExchange") + plan.count("ReusedExchange") >= 1
+
+
+def test_a_very_long_text(spark, library):
+    text = "".join(f"word{i % 977}, été {i}\n" for i in range(70000))
+    row = bpe.encode(frame(spark, [(1, text)]), decoded=True).first()
+    assert bytes(row.decoded).decode() == text
+    assert np.frombuffer(row.ids, "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_other_pattern(spark):
     pattern = r"\S+|\s+"
     ranks = bpe.read_ranks(bpe.RANKS)
