@@ -13,12 +13,15 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from shelltrail.session import stage
 
-# Rows that travel to a Python worker at once: bounds a worker's memory also for long texts.
+# Rows, and about bytes, that travel to a Python worker at once.
 BATCH_ROWS = 512
+BATCH_BYTES = 1 << 23
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Bound a worker's memory, also for long texts, in the jobs that the session runs from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +39,12 @@ def with_column(
 ) -> DataFrame:
     """``df`` with one more column, computed from the batches of a text column.
 
-    All rows and columns stay; a column that has the name already is replaced. ``make`` is
-    called once in each task and gives the function from texts (null as empty) to values.
+    All rows and columns stay; a column that has the name already, in any case of its letters, is an
+    error. ``make`` is called once in each task and gives the function from texts (null as empty) to values.
     """
-    rest = df.drop(name)
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {name} already")
+    rest = df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = make()
