@@ -34,14 +34,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelltrail.llm.common import staged, table, texts
-from shelltrail.session import shared_folder
+from shelltrail.session import own_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 1 << 28
-# Words that a worker remembers; it starts afresh when it knows more.
-KNOWN_WORDS = 1 << 20
+# Bytes of word parts and their ids that a worker remembers, about; it starts afresh when it knows more.
+KNOWN_BYTES = 1 << 26
 
 # Fixed values of the zstandard seekable format.
 SEEK_FRAME = 0x184D2A5E
@@ -55,33 +55,37 @@ class Encoder:
 
     The normaliser and the splitting of the tokenizer never look across a space or a line
     break and drop both, so the ids of a text are those of its space-separated parts one
-    after another. Each part is given to the library once and then remembered.
+    after another. Each part is given to the library once and then remembered. Names of special
+    tokens in a text have the ids of these tokens, as is the library's default; with ``plain`` they
+    are ordinary text, so that no text can forge one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {"": b""}
+        self.size = 0
 
     def encode(self, items: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in items]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
+        if self.size > KNOWN_BYTES:
+            self.known, self.size = {"": b""}, 0
         new = list(set(chain.from_iterable(parts)).difference(self.known))
         for word, found in zip(
             new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True
         ):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self.known[word] = ids = np.array(found.ids, "<u4").tobytes()
+            self.size += 200 + 4 * len(word) + len(ids)
         look = self.known.__getitem__
         return [b"".join(map(look, p)) for p in parts]
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    return Encoder(path, plain)
 
 
 class Writer:
@@ -198,10 +202,14 @@ def write_tokens(
     end_id: int = END_ID,
     frame_bytes: int = FRAME_BYTES,
     file_bytes: int = FILE_BYTES,
+    plain_specials: bool = False,
 ) -> DataFrame:
     """Write the ids of all documents to files below ``folder``; return their manifest.
 
-    Manifest: piece, file, path, docs, tokens, first_token (ids in all files before it).
+    Manifest: piece, file, path, docs, tokens, first_token (ids in all files before it). Document ids
+    must be integers, as the index of a file has them in 64 bits. Names of special tokens in a text
+    get the ids of these tokens, or those of plain text with ``plain_specials``. Very long texts are
+    coded whole and fill several frames.
     A null text is an empty one and still gets its end id; null ids come first; rows with
     the same id are all kept, in the order of a hash of their text. An empty table gives no
     file and an empty manifest. ``folder`` must be reachable from every executor by a scheme
@@ -217,7 +225,7 @@ def write_tokens(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer).encode, TaskContext.get()
+        encode, task = encoder(tokenizer, plain_specials).encode, TaskContext.get()
         system, root = pafs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         end = struct.pack("<I", end_id)
@@ -289,7 +297,7 @@ def read_tokens(manifest: DataFrame, wanted: set[int] | None = None) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    folder = own_path(spark, "token-files")
     manifest = write_tokens(table(spark, sf_dir, "documents"), folder)
     return read_tokens(manifest).select(
         "doc_id",

@@ -17,7 +17,6 @@ SCHEMA = "doc_id bigint, text string, path string, start int"
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(token_files.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
@@ -41,19 +40,37 @@ def test_files_hold_what_the_library_gives(spark, library, tmp_path):
 
 
 def test_special_tokens_in_texts(spark, tmp_path):
-    # a reference as the file gives it: equal but for the names of special tokens, which stay text
     untouched = Tokenizer.from_file(token_files.TOKENIZER)
-    names = ["a<|endoftext|>b", "<|startoftext|> one"]
-    texts = names + [t for t in fuzzed(300) if "oftext|>" not in t]
-    manifest = token_files.write_tokens(frame(spark, list(enumerate(texts))), str(tmp_path / "s"))
-    out = token_files.read_tokens(manifest).orderBy("doc_id").collect()
-    got = [np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in out]
+    names = ["a<|endoftext|>b", "<|startoftext|> one", "<|ENDOFTEXT|>", "x <|endoftext|>\n<|endoftext|><|start"]
+    texts = names + fuzzed(300)
+
+    def written(name, **options):
+        manifest = token_files.write_tokens(frame(spark, list(enumerate(texts))), str(tmp_path / name), **options)
+        out = token_files.read_tokens(manifest).orderBy("doc_id").collect()
+        return [np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in out]
+
     want = [untouched.encode(t, add_special_tokens=False).ids for t in texts]
-    assert got[2:] == want[2:] and len(texts) > 200
-    assert 49407 in want[0] and 49406 in want[1]
-    assert not {49406, 49407} & {i for ids in got for i in ids}
-    plain = [untouched.decode(ids).replace("</w>", "").replace(" ", "") for ids in got[:2]]
-    assert plain == [t.replace(" ", "") for t in names]
+    got = written("s")
+    assert got == want
+    assert 49407 in got[0] and 49406 in got[1]
+    # as plain text, on demand
+    plain = written("p", plain_specials=True)
+    assert plain[len(names) :] == want[len(names) :]
+    assert not {49406, 49407} & {i for ids in plain for i in ids}
+    back = [untouched.decode(ids).replace("</w>", "").replace(" ", "") for ids in plain[:2]]
+    assert back == [t.replace(" ", "") for t in names[:2]]
+
+
+def test_memory_of_parts_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 20000)
+    encoder = token_files.Encoder(token_files.TOKENIZER)
+    plain = Tokenizer.from_file(token_files.TOKENIZER)
+    most = 0
+    for k in range(60):
+        line = "".join(chr(0x4E00 + (k * 37 + i) % 5000) for i in range(100))
+        assert np.frombuffer(encoder.encode([line])[0], "<u4").tolist() == plain.encode(line, add_special_tokens=False).ids
+        most = max(most, len(encoder.known))
+    assert most < 40
 
 
 def test_null_and_repeated_ids(spark, library, tmp_path):
