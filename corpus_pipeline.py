@@ -43,7 +43,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian, 32 bits each), and checks of both ways."""
     bound_batches(spark)
-    return bpe.decode(bpe.encode(docs)).select(
+    return bpe.encode(docs, decoded=True).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
         "ids",
@@ -53,7 +53,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def free_name(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
+    """A name that no column has, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
