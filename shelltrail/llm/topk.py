@@ -2,19 +2,23 @@
 
 Vectors are quantised to integers. Pivots, a hash sample of the data vectors, cut the data
 into cells; queries are grouped by their own nearest pivots. A summary of each cell holds
-the number of its vectors, their largest norm and their largest distance to the pivot
-(radius). For a query q and a cell C every inner product lies within
+the number of its vectors, their largest norm, their largest distance to the pivot
+(radius) and the k + 1 smallest distances. For a query q, a vector x of a cell at distance d
+from its pivot, and every x of the cell:
 
-    q . pivot - |q| radius   and   min(q . pivot + |q| radius, |q| largest norm)
+    q . x >= q . pivot - |q| d   and   q . x <= min(q . pivot + |q| radius, |q| largest norm)
 
-The lower bounds give a score that k + 1 vectors are sure to reach; a cell whose upper
-bound stays below it for every query of a group is of no use to the group. The other cells
-are replicated to the group, best bound first, and the group is solved where they meet;
-cells that fall behind what was found on the way are passed over. All bounds come from
-summaries, never from all pairs.
+The lower bounds of the nearest vectors of all cells give a score that k + 1 vectors are sure to
+reach; a cell whose upper bound stays below it for every query of a group is of no use to the
+group. The other cells are replicated to the group, best bound first, and the group is solved where
+they meet, in slices of the data that are merged afterwards; cells that fall behind what was found
+on the way are passed over. All bounds come from summaries, never from all pairs. Where vectors
+lie in clusters most cells are left out; of evenly spread directions of many dimensions no
+bound can leave out any, and every group needs all data.
 
 Of equal vectors only those with the k + 1 smallest ids can be in an answer (one of them
-may be the query itself), so no more of them travel; equal queries are solved once.
+may be the query itself), so no more of them travel; equal queries are solved once, unless their ids
+have several vectors.
 """
 
 from __future__ import annotations
@@ -33,11 +37,15 @@ from shelltrail.llm.common import staged, table
 SCALE = 64
 K = 20
 QUERY_STEP = 20
-# Pivots and cell summaries are held by the driver and every task: a bounded number.
-PIVOTS = 64
+# Pivots are about the square root of the number of vectors, within these bounds: they and the
+# summaries of their cells are held by the driver and every task.
+PIVOTS, MOST_PIVOTS = 64, 2048
 # Vectors of a packed block, and queries that are solved together.
 BLOCK_ROWS = 8192
-GROUP_ROWS = 256
+GROUP_ROWS = 4096
+# Scores that a task computes at a time.
+SCORES = 1 << 22
+NO_ID = -(2**63)
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -71,8 +79,9 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if most < 2**53 else q @ x.T
 
 
-def blocks_of(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Vectors packed by cell: cell, ids, vectors, n, and the radius and norm of the block."""
+def blocks_of(rows: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
+    """Rows (vec_id, v) packed by cell: cell, ids, vectors, n, and of the block the radius, the largest
+    norm and the ``near`` smallest distances to the pivot. With a column ``own`` the ids are pairs."""
     dim = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,29 +97,36 @@ def blocks_of(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             out = []
             for c in np.unique(cell):
                 at = np.flatnonzero(cell == c)
-                out.append((int(c), ids[at].tobytes(), x[at].tobytes(), len(at), float(far[at].max()), float(norm[at].max())))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.float64())
+                least = np.sort(far[at])[:near].tolist()
+                size = len(at), float(far[at].max()), float(norm[at].max())
+                out.append((int(c), ids[at].tobytes(), x[at].tobytes(), *size, least))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                names=["cell", "ids", "vectors", "n", "radius", "norm"],
+                names=["cell", "ids", "vectors", "n", "radius", "norm", "least"],
             )
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column("vec_id").to_numpy(), matrix(batch.column("v"), dim)))
+                ids = batch.column("vec_id").to_numpy()
+                if "own" in batch.schema.names:
+                    ids = np.stack([ids, batch.column("own").to_numpy()], axis=1)
+                held.append((ids, matrix(batch.column("v"), dim)))
             if sum(len(i) for i, _ in held) >= BLOCK_ROWS:
                 yield from flush()
         yield from flush()
 
-    schema = "cell int, ids binary, vectors binary, n int, radius double, norm double"
+    schema = "cell int, ids binary, vectors binary, n int, radius double, norm double, least array<double>"
     return rows.mapInArrow(run, schema)
 
 
 class Bounds:
     """Bounds of inner products between queries and cells, by the cells' summaries."""
 
-    def __init__(self, pivots, counts, radius, norms, k: int):
+    def __init__(self, pivots, counts, radius, norms, least, k: int):
         self.pivots, self.counts, self.radius, self.norms, self.k = pivots, counts, radius, norms, k
+        # smallest distances to the pivot of each cell, infinite where a cell has fewer vectors
+        self.least = least
 
     def upper(self, q: np.ndarray) -> np.ndarray:
         near, size = q.astype(float) @ self.pivots.T, np.sqrt((q.astype(float) ** 2).sum(1))[:, None]
@@ -119,14 +135,13 @@ class Bounds:
 
     def sure(self, q: np.ndarray) -> np.ndarray:
         """A score that more than k vectors reach, for each query."""
-        near, size = q.astype(float) @ self.pivots.T, np.sqrt((q.astype(float) ** 2).sum(1))[:, None]
-        low = near - size * self.radius
-        low = low - self._slack(low)
-        order = np.argsort(-low, axis=1)
-        reached = np.cumsum(self.counts[order], axis=1) > self.k
-        place = np.where(reached.any(1), reached.argmax(1), -1)
-        found = np.take_along_axis(low, order, 1)[np.arange(len(q)), place]
-        return np.where(place >= 0, found, -np.inf)
+        out = np.full(len(q), -np.inf)
+        for i, one in enumerate(q.astype(float)):
+            low = (self.pivots @ one)[:, None] - np.sqrt(one @ one) * self.least
+            low = (low - self._slack(low))[np.isfinite(self.least)]
+            if len(low) > self.k:
+                out[i] = np.partition(low, len(low) - self.k - 1)[len(low) - self.k - 1]
+        return out
 
     @staticmethod
     def _slack(x: np.ndarray) -> np.ndarray:
@@ -134,25 +149,36 @@ class Bounds:
 
 
 class Best:
-    """The best candidates so far of the queries of a group."""
+    """The best candidates so far of the queries of a group; ``own`` ids are no candidates of a query.
+
+    ``sure`` are scores that as many vectors as are kept are known to reach.
+    """
 
-    def __init__(self, q: np.ndarray, keep: int):
-        self.q, self.keep = q, keep
+    def __init__(self, q: np.ndarray, own: np.ndarray, keep: int, sure: np.ndarray | None = None):
+        self.q, self.own, self.keep = q, own, keep
         self.found: list[tuple[np.ndarray, np.ndarray]] = [
             (np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q
         ]
-        self.last = np.full(len(q), -np.inf)
+        # an own id can be among those that are sure
+        low = np.full(len(q), -np.inf)
+        self.last = low if sure is None else np.where(own == NO_ID, sure, low)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        step = max(1, SCORES // max(1, len(self.q)))
+        for lo in range(0, len(ids), step):
+            self._add(ids[lo : lo + step], x[lo : lo + step])
+
+    def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
         score = products(self.q, x)
         for i in np.flatnonzero((score >= self.last[:, None]).any(1)):
             at = np.flatnonzero(score[i] >= self.last[i])
+            at = at[ids[at] != self.own[i]]
             s = np.concatenate([self.found[i][0], score[i][at]])
             v = np.concatenate([self.found[i][1], ids[at]])
             order = np.lexsort((v, -s))[: self.keep]
             self.found[i] = (s[order], v[order])
             if len(order) == self.keep:
-                self.last[i] = s[order[-1]]
+                self.last[i] = max(self.last[i], s[order[-1]])
 
 
 def top_k(
@@ -162,14 +188,15 @@ def top_k(
     vector_col: str = "embedding",
     k: int = K,
     scale: int = SCALE,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of every query with ``df``.
 
     Ties go to the smaller vec_id; all candidates are given if there are fewer than k. Rows
-    of ``df`` with the query's id are no candidates of it. Vectors that are null, or hold null
+    of ``df`` with the query's id are no candidates of it; of an id with several different vectors each
+    is a query, with an answer of its own. Vectors that are null, or hold null
     or non-finite components, take no part, nor do rows without id and empty vectors. Candidates
-    of a query are the vectors of its own length. Repeated rows count once. Without queries or
+    of a query are the vectors of its own length; a vector may be of any length. Repeated rows count once. Without queries or
     data the result is empty. Other columns do not matter.
     """
     spark = df.sparkSession
@@ -187,27 +214,43 @@ def top_k(
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
-def same_length(every: DataFrame, asked: DataFrame, dim: int, k: int, pivots: int) -> DataFrame:
+def same_length(every: DataFrame, asked: DataFrame, dim: int, k: int, pivots: int | None) -> DataFrame:
     """``top_k`` for quantised vectors ``v`` of ``dim`` components."""
     spark = every.sparkSession
     place = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     data = staged(
         every.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "vectors"
     )
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, int(data.count() ** 0.5)))
+    # of ids with several vectors more than one row can be no candidate
+    several = data.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id", F.lit(True).alias("m"))
+    asked = asked.join(several, "vec_id", "left").select("vec_id", "v", F.when(F.col("m"), F.col("vec_id")).alias("own"))
+    asked = staged(asked, "asked")
+    reps = asked.select("v", "own").distinct().withColumn("rep", F.monotonically_increasing_id())
+    reps = staged(reps, "query-vectors")
+    owners = F.coalesce("own", F.lit(NO_ID))
+
     chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     centre = np.unique(np.array([r.v for r in chosen], np.int64), axis=0)
-    blocks = staged(blocks_of(data, centre), "vector-cells")
+    blocks = staged(blocks_of(data, centre, k + 1), "vector-cells")
     cells = blocks.groupBy("cell").agg(
-        F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")
+        F.sum("n").alias("n"),
+        F.max("radius").alias("radius"),
+        F.max("norm").alias("norm"),
     )
+    place = F.row_number().over(W.partitionBy("cell").orderBy("d"))
+    nearest_rows = blocks.select("cell", F.explode("least").alias("d")).withColumn("place", place)
     counts, radius, norms = np.zeros(len(centre)), np.zeros(len(centre)), np.zeros(len(centre))
+    least = np.full((len(centre), k + 1), np.inf)
     for r in cells.collect():
         counts[r.cell], radius[r.cell], norms[r.cell] = r.n, r.radius, r.norm
-    bounds = Bounds(centre.astype(float), counts, radius, norms, k)
+    for r in nearest_rows.where(F.col("place") <= k + 1).collect():
+        least[r.cell, r.place - 1] = r.d
+    bounds = Bounds(centre.astype(float), counts, radius, norms, least, k)
 
-    # one query for each distinct vector
-    reps = asked.groupBy("v").agg(F.min("vec_id").alias("vec_id"))
-    asking = staged(blocks_of(reps.select("vec_id", "v"), centre), "query-cells")
+    named = reps.select(F.col("rep").alias("vec_id"), "v", owners.alias("own"))
+    asking = staged(blocks_of(named, centre, 0), "query-cells")
     per_cell = {r.cell: r.n for r in asking.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     # neighbouring pivots share a group until it is full; a large cell gets several
     groups, group, held = {}, 0, 0
@@ -219,13 +262,16 @@ def same_length(every: DataFrame, asked: DataFrame, dim: int, k: int, pivots: in
     sizes: dict[int, int] = {}
     for c, g in groups.items():
         sizes[g] = sizes.get(g, 0) + per_cell[c]
+    # a group meets its data in so many slices
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = max(1, -(-tasks // max(1, group + groups_of(held))))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries by group: row by row, so that equal groups of all tasks can meet."""
         for batch in batches:
             for c, ids, x in zip(*(batch.column(n).to_pylist() for n in ("cell", "ids", "vectors")), strict=True):
-                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(x, np.int64).reshape(-1, dim)
-                g = groups[c] + (ids * 2654435761 % 2**32) % groups_of(sizes[groups[c]])
+                ids, x = np.frombuffer(ids, np.int64).reshape(-1, 2), np.frombuffer(x, np.int64).reshape(-1, dim)
+                g = groups[c] + (ids[:, 0] * 2654435761 % 2**32) % groups_of(sizes[groups[c]])
                 for one in np.unique(g):
                     at = np.flatnonzero(g == one)
                     yield pa.RecordBatch.from_arrays(
@@ -241,10 +287,11 @@ def same_length(every: DataFrame, asked: DataFrame, dim: int, k: int, pivots: in
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cells that a group needs, with the largest upper bound."""
         for batch in batches:
-            for g, x in zip(batch.column("group").to_pylist(), batch.column("vectors").to_pylist(), strict=True):
+            for g, ids, x in zip(*(batch.column(n).to_pylist() for n in ("group", "ids", "vectors")), strict=True):
                 q = np.frombuffer(x, np.int64).reshape(-1, dim)
-                upper = bounds.upper(q)
-                need = np.flatnonzero((upper >= bounds.sure(q)[:, None]).any(0) & (counts > 0))
+                own = np.frombuffer(ids, np.int64).reshape(-1, 2)[:, 1]
+                upper, sure = bounds.upper(q), np.where(own == NO_ID, bounds.sure(q), -np.inf)
+                need = np.flatnonzero((upper >= sure[:, None]).any(0) & (counts > 0))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(need), g), pa.int32()),
@@ -261,9 +308,11 @@ def same_length(every: DataFrame, asked: DataFrame, dim: int, k: int, pivots: in
         .agg(F.max("bound").alias("bound"))
     )
     parts = blocks.select("cell", "ids", "vectors").join(wanted, "cell").drop("cell")
-    meeting = grouped.select("group", "ids", "vectors", F.lit(float("inf")).alias("bound")).unionByName(parts)
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meeting = meeting.repartition(tasks, "group").sortWithinPartitions("group", F.desc("bound"))
+    parts = parts.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
+    every_share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    first = F.lit(float("inf")).alias("bound")
+    meeting = grouped.select("group", "ids", "vectors", first, every_share).unionByName(parts)
+    meeting = meeting.repartition(tasks, "group", "share").sortWithinPartitions("group", "share", F.desc("bound"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, ids, asked_rows, best = None, [], [], None
@@ -276,38 +325,44 @@ def same_length(every: DataFrame, asked: DataFrame, dim: int, k: int, pivots: in
             ]
             hit = pa.struct([("vec_id", pa.int64()), ("score", pa.int64())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids), pa.int64()), pa.array(hits, pa.list_(hit))],
+                [pa.array(np.concatenate(ids)[:, 0], pa.int64()), pa.array(hits, pa.list_(hit))],
                 names=["rep", "hits"],
             )
 
         for batch in batches:
-            for g, i, x, bound in zip(
-                *(batch.column(n).to_pylist() for n in ("group", "ids", "vectors", "bound")), strict=True
+            for g, share, i, x, bound in zip(
+                *(batch.column(n).to_pylist() for n in ("group", "share", "ids", "vectors", "bound")), strict=True
             ):
-                if g != current:
+                if (g, share) != current:
                     yield from answers()
-                    current, ids, asked_rows, best = g, [], [], None
+                    current, ids, asked_rows, best = (g, share), [], [], None
                 i, x = np.frombuffer(i, np.int64), np.frombuffer(x, np.int64).reshape(-1, dim)
                 if bound == float("inf"):
-                    ids.append(i)
+                    ids.append(i.reshape(-1, 2))
                     asked_rows.append(x)
                     continue
                 if best is None:
-                    best = Best(np.concatenate(asked_rows), k + 1)
+                    q, own = np.concatenate(asked_rows), np.concatenate(ids)[:, 1]
+                    best = Best(q, own, k + 1, bounds.sure(q))
                 if bound >= best.last.min():
                     best.add(i, x)
         yield from answers()
 
     solved = meeting.mapInArrow(solve, "rep bigint, hits array<struct<vec_id: bigint, score: bigint>>")
-    whose = asked.select(F.col("vec_id").alias("query_id"), "v").join(
-        reps.select(F.col("vec_id").alias("rep"), "v"), "v"
+    # the best of all slices: at most k + 1 rows of each
+    order = F.array_sort(
+        F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct((-h["score"]).alias("s"), h["vec_id"]))
+    )
+    solved = solved.groupBy("rep").agg(F.slice(order, 1, k + 1).alias("hits"))
+    whose = asked.select(F.col("vec_id").alias("query_id"), "v", owners.alias("o")).join(
+        reps.select("rep", "v", owners.alias("o")), ["v", "o"]
     )
     others = F.filter("hits", lambda h: h["vec_id"] != F.col("query_id"))
     return (
         whose.select("query_id", "rep")
         .join(solved, "rep")
         .select("query_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "hit"))
-        .select("query_id", (F.col("pos") + 1).alias("rank"), "hit.vec_id", "hit.score")
+        .select("query_id", (F.col("pos") + 1).alias("rank"), "hit.vec_id", (-F.col("hit.s")).alias("score"))
     )
 
 

@@ -52,6 +52,38 @@ def test_ties_copies_and_unusable_vectors(spark):
     check(spark, rows, [*range(0, 90, 4), *range(100, 210)])
 
 
+def test_an_id_with_several_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = [(5, rng.normal(size=4).tolist()) for _ in range(6)] + [(i, rng.normal(size=4).tolist()) for i in range(100, 159)]
+    rows += [(7, rows[0][1]), (7, rng.normal(size=4).tolist()), (8, rows[0][1])]
+    # every vector of an id is a query; none of its rows is a candidate
+    check(spark, rows, [5, 7, 8, 120], k=20)
+
+
+def test_bounds_leave_out_cells_of_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16)) * 4
+    x = np.floor(64 * (centres[np.arange(6000) % 30] + rng.normal(size=(6000, 16)) * 0.05)).astype(np.int64)
+    pivots = x[:60].astype(float)
+    cell, far = topk.nearest(x, pivots)
+    counts = np.bincount(cell, minlength=60).astype(float)
+    radius = np.array([far[cell == c].max(initial=0) for c in range(60)])
+    norms = np.array([np.linalg.norm(x[cell == c], axis=1).max(initial=0) for c in range(60)])
+    least = np.full((60, 21), np.inf)
+    for c in range(60):
+        d = np.sort(far[cell == c])[:21]
+        least[c, : len(d)] = d
+    bounds = topk.Bounds(pivots, counts, radius, norms, least, 20)
+    q = x[7::30][:50]
+    upper, sure = bounds.upper(q), bounds.sure(q)
+    score = q @ x.T
+    assert (np.sort(score, 1)[:, -21] >= sure).all()
+    for c in np.flatnonzero(counts):
+        assert (score[:, cell == c].max(1) <= upper[:, c]).all()
+    needed = (upper >= sure[:, None]).any(0) & (counts > 0)
+    assert counts[needed].sum() < 0.2 * len(x)
+
+
 def test_vectors_of_two_lengths(spark):
     rng = np.random.default_rng(8)
     three = [(i, rng.normal(size=3).tolist()) for i in range(120)]
