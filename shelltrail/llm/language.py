@@ -103,47 +103,72 @@ class Lookup:
         # of each stretch the sums over its words that count, their number, and that of all its words
         self.table = np.zeros((1024, self.width + 2))
 
-    def _sum(self, items: list[int]) -> np.ndarray:
+    def _sums(self, items: list[int], owner: list[int], share: list[float], owners: int) -> np.ndarray:
+        """Of each owner the sum over its items, in their shares, in all languages."""
         m = self.model
-        total = np.full(self.width, PENALTY * len(items))
-        for k in items:
-            part = slice(m.at[k], m.at[k + 1])
-            total[m.language[part]] += m.score[part] - PENALTY
-        return total
-
-    def of_word(self, word: str) -> np.ndarray | None:
-        """Scores of a word in all languages; None if nothing of it is known."""
-        k = self.words.get(word)
-        if k is not None:
-            return self._sum([k])
-        text, grams = f" {word} ", self.grams
+        items, owner, share = np.array(items, np.int64), np.array(owner, np.int64), np.array(share)
+        n = m.at[items + 1] - m.at[items]
+        at = np.repeat(m.at[items] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat(owner, n) * self.width + m.language[at]
+        low = np.bincount(key, np.repeat(share, n) * (m.score[at] - PENALTY), owners * self.width)
+        return low.reshape(owners, self.width) + PENALTY * np.bincount(owner, share, owners)[:, None]
+
+    def _grams_of(self, text: str, size: int, first: int, last: int) -> list[int]:
+        parts = (text[i : i + size] for i in range(first, last))
+        return [k for k in map(self.grams.get, parts) if k is not None]
+
+    def _of_long_word(self, word: str) -> np.ndarray | None:
+        """Scores of a word that is no known one, its n-grams looked up in pieces; None if none is known."""
+        text = f" {word} "
         for size in range(LONGEST, 0, -1):
-            total, n = np.zeros(self.width), 0
-            places = len(text) - size + 1
+            total, n, places = np.zeros(self.width), 0, len(text) - size + 1
             for lo in range(0, places, MOST_GRAMS):
-                parts = (text[i : i + size] for i in range(lo, min(places, lo + MOST_GRAMS)))
-                items = [k for k in map(grams.get, parts) if k is not None]
-                total, n = total + self._sum(items), n + len(items)
+                items = self._grams_of(text, size, lo, min(places, lo + MOST_GRAMS))
+                total += self._sums(items, [0] * len(items), [1.0] * len(items), 1)[0]
+                n += len(items)
             if n:
                 return total / n
         return None
 
+    def _learn(self, stretches: list[str]) -> None:
+        """Remember new stretches; their words are scored together."""
+        first = len(self.known)
+        while first + len(stretches) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        rows = self.table[first : first + len(stretches)]
+        items, owner, share = [], [], []
+        for j, stretch in enumerate(stretches):
+            self.known[stretch] = first + j
+            self.chars += len(stretch)
+            for word in words_in(stretch):
+                rows[j, -1] += 1
+                k = self.words.get(word)
+                if k is not None:
+                    found = [k]
+                elif len(word) > MOST_GRAMS:
+                    found, scores = [], self._of_long_word(word)
+                    if scores is not None:
+                        rows[j, :-2] += scores
+                        rows[j, -2] += 1
+                else:
+                    text = f" {word} "
+                    for size in range(LONGEST, 0, -1):
+                        found = self._grams_of(text, size, 0, len(text) - size + 1)
+                        if found:
+                            break
+                if found:
+                    rows[j, -2] += 1
+                    items += found
+                    owner += [j] * len(found)
+                    share += [1 / len(found)] * len(found)
+        rows[:, :-2] += self._sums(items, owner, share, len(stretches))
+
     def rows_of(self, stretches: list[str]) -> np.ndarray:
         """Row of the table for each stretch."""
-        known = self.known
-        for stretch in set(stretches).difference(known):
-            if len(known) == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            row = self.table[len(known)]
-            words = words_in(stretch)
-            row[-1] = len(words)
-            for scores in map(self.of_word, words):
-                if scores is not None:
-                    row[:-2] += scores
-                    row[-2] += 1
-            known[stretch] = len(known)
-            self.chars += len(stretch)
-        return np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches))
+        new = set(stretches).difference(self.known)
+        if new:
+            self._learn(list(new))
+        return np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
 
     def of_text(self, text: str) -> np.ndarray:
         """Sums over the words that count, their number, and that of all words."""

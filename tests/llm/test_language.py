@@ -113,6 +113,7 @@ def test_slices_and_memory_do_not_change_results(spark, monkeypatch):
     whole = [language.Lookup(model).predict(t) for t in items]
     monkeypatch.setattr(language, "SLICE", 7)
     monkeypatch.setattr(language, "KNOWN_NUMBERS", 16)
+    monkeypatch.setattr(language, "MOST_GRAMS", 3)
     lookup = language.Lookup(model)
     for t, (lang, score) in zip(items, whole, strict=True):
         assert lookup.predict(t) == (lang, pytest.approx(score))
