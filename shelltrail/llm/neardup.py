@@ -36,10 +36,11 @@ FUNCTIONS = 80
 BAND = 5
 # Shingles of the members of a bucket that are compared with each other at a time.
 BLOCK_SHINGLES = 1 << 20
-# From this number of members on, signatures spare comparisons in a bucket.
+# From this number of members on, a pair is compared in the first of its shared bands only. This
+# spares repeated comparisons and changes no result.
 SMALL_BUCKET = 8
-# The share of equal values lies this much below the similarity with probability below 1e-6.
-MARGIN = 0.16
+# Groups of exact copies of more than this share of all rows are few enough to be sent to all tasks.
+HOT_SHARE, LEAST_HOT = 1e-4, 500
 SEED = 11
 
 _rng = np.random.default_rng(SEED)
@@ -190,23 +191,21 @@ def links_across(reps, comps, left, sets, percent: int, band: int) -> list[tuple
     """Links that connect components of a bucket, as few as do.
 
     Members of the most frequent component are not compared with each other. In larger
-    buckets a pair is looked at only in the first band that it shares, and only if its
-    whole signatures could belong to similar sets.
+    buckets a pair is looked at only in the first band that it shares. What is looked at is
+    compared by its full sets.
     """
     n = len(reps)
     sizes = np.array([len(s) for s in sets])
     flat, ends = np.concatenate(sets), np.cumsum(sizes)
     many = n > SMALL_BUCKET
     if many:
-        signatures = np.stack([signature(s) for s in sets])
-        keys = bands(signatures)
+        keys = bands(np.stack([signature(s) for s in sets]))
     names, counts = np.unique(comps, return_counts=True)
     minor = np.flatnonzero(comps != names[counts.argmax()])
     forest, found = Forest(), []
     rank = np.full(n, -1)
     rank[minor] = np.arange(len(minor))
     root = comps.copy()
-    least = (percent / 100 - MARGIN) * 2 * FUNCTIONS
     for i in minor.tolist():
         at = np.flatnonzero(
             (root != root[i])
@@ -216,7 +215,6 @@ def links_across(reps, comps, left, sets, percent: int, band: int) -> list[tuple
         )
         if many and len(at):
             at = at[(keys[at] == keys[i]).argmax(1) == band]
-            at = at[(signatures[at] == signatures[i]).sum(1) >= least]
         if not len(at):
             continue
         # shingles of all candidates, looked up in the set of i
@@ -284,6 +282,23 @@ def across(members: DataFrame, wanted: DataFrame, words: int, percent: int) -> D
     return meet.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def with_first(rows: DataFrame, firsts: DataFrame, copies: list[str]) -> DataFrame:
+    """(doc_id, n, rep) of all rows: the representative of the exact copies of each.
+
+    Representatives of large groups of copies travel to the rows, whose number there is bounded; only
+    the others meet their rows in a shuffle.
+    """
+    total = firsts.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") > max(LEAST_HOT, int(total * HOT_SHARE))
+    large = F.broadcast(firsts.where(hot).select(*copies, F.col("rep").alias("hot_rep"), F.lit(True).alias("hot")))
+    # at most 1 / HOT_SHARE rows
+    told = rows.join(large, copies, "left")
+    by_shuffle = told.where(F.col("hot").isNull()).drop("hot", "hot_rep")
+    by_shuffle = by_shuffle.join(firsts.where(~hot).select(*copies, "rep"), copies, "left")
+    near = told.where(F.col("hot")).select("doc_id", "n", F.col("hot_rep").alias("rep"))
+    return near.unionByName(by_shuffle.select("doc_id", "n", "rep"))
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -300,20 +315,19 @@ def near_duplicates(
     Ids must be integers. Rows with the same id share its links; a row with a null id can
     copy another row but is not linked to similar ones, and stays if it copies none with an
     id. Repeated rows are copies with the same id: each is returned, and kept. An empty table
-    gives an empty result; other columns are not carried.
+    gives an empty result; other columns are not carried. A very long text is read whole, in the
+    memory of its task.
     """
     rows = texts(df, id_col, text_col).select(F.col("doc_id").cast("bigint"), "text")
     marked = staged(digests(rows, words), "digests")
     copies = ["n", "d1", "d2"]
-    firsts = marked.where("n > 0").groupBy(*copies).agg(F.min("doc_id").alias("rep"))
-    member = staged(
-        marked.drop("signature").join(firsts, copies, "left").select("doc_id", "n", "rep"), "members"
-    )
+    firsts = marked.where("n > 0").groupBy(*copies).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    firsts = staged(firsts, "copies")
+    member = staged(with_first(marked.drop("signature"), firsts, copies), "members")
     reps = (
         marked.where("doc_id is not null")
-        .join(firsts.where("rep is not null"), copies)
-        .where(F.col("doc_id") == F.col("rep"))
-        .select("rep", "n", "signature")
+        .join(firsts.select(*copies, F.col("rep").alias("doc_id")), [*copies, "doc_id"])
+        .select(F.col("doc_id").alias("rep"), "n", "signature")
         .dropDuplicates(["rep", "n", "signature"])
     )
     reps = staged(reps, "representatives")

@@ -7,8 +7,8 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-# Words whose hash a worker remembers; it starts afresh when it knows more.
-KNOWN_WORDS = 1 << 18
+# Bytes of words whose hashes a worker remembers, about; it starts afresh when it knows more.
+KNOWN_BYTES = 1 << 25
 _lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -25,15 +25,18 @@ class WordHashes:
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
+        self.size = 0
 
     def __call__(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All word hashes one text after another, and the number of words of each text."""
         words = [t.encode().translate(_lower).split() for t in items]
         known = self.known
-        if len(known) > KNOWN_WORDS:
+        if self.size > KNOWN_BYTES:
             known.clear()
+            self.size = 0
         for w in set(chain.from_iterable(words)).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
+            self.size += 150 + len(w)
         counts = np.array([len(w) for w in words], np.int64)
         look = known.__getitem__
         flat = np.fromiter(map(look, chain.from_iterable(words)), np.uint64, counts.sum())
