@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
-from shelltrail.llm.common import table, texts, with_column
+from shelltrail.llm.common import staged, table, texts, with_column
 from shelltrail.llm.license_scan import WORD_FORM
 from shelltrail.llm.words import mix
 
@@ -38,7 +38,7 @@ SEED_WORDS = 3
 # Share of an item's n-grams that are its seeds, and their least number.
 SEED_SHARE, LEAST_SEEDS = 0.75, 4
 # Edited copies of items with fewer words cannot be told from chance: only whole copies are
-# leaks of them. Items of fewer than SEED_WORDS words are not searched.
+# leaks of them. Items of fewer than SEED_WORDS words are their own seeds.
 LEAST_WORDS = 8
 # Share of a perfect copy's score from which on a passage is a leak.
 THRESHOLD = 0.5
@@ -63,14 +63,16 @@ class Items:
     places ``place[a:b]`` with a, b = ``bounds[g : g + 2]``.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], size: int = SEED_WORDS, least: int = SEED_WORDS):
+    def __init__(
+        self, rows: list[tuple[int, str]], size: int = SEED_WORDS, least: int = SEED_WORDS, most: float = math.inf
+    ):
         self.size = size
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary.setdefault
         self.ids, self.words = [], []
         for item_id, text in sorted(set(rows)):
             words = words_of(text)
-            if len(words) >= max(least, size):
+            if max(least, size) <= len(words) <= most:
                 self.ids.append(item_id)
                 self.words.append(np.array([number(w, len(self.vocabulary) + 1) for w in words], np.int64))
         keys = [self.grams(w) for w in self.words]
@@ -124,7 +126,13 @@ class Items:
             at, text, gram = at[:0], text[:0], gram[:0]
         return text, at - (np.cumsum(counts) - counts)[text], gram
 
-    def seeds(self, frequency: np.ndarray, share: float = SEED_SHARE, least: int = LEAST_SEEDS) -> np.ndarray:
+    def seeds(
+        self,
+        frequency: np.ndarray,
+        share: float = SEED_SHARE,
+        least: int = LEAST_SEEDS,
+        passage: int = PASSAGE_WORDS,
+    ) -> np.ndarray:
         """True for the occurrences (item, place) whose gram is among the rarest of the item."""
         gram = np.repeat(np.arange(len(self.keys)), np.diff(self.bounds))
         chosen = np.zeros(len(gram), bool)
@@ -132,7 +140,7 @@ class Items:
         sizes = np.bincount(self.item, minlength=len(self.ids))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         # of a long item no more n-grams are left out than a passage can do without
-        keep = np.maximum(np.ceil(sizes * share), sizes - 2 * (1 - share) * PASSAGE_WORDS)
+        keep = np.maximum(np.ceil(sizes * share), sizes - 2 * (1 - share) * passage)
         keep = np.maximum(least, keep).astype(np.int64)
         chosen[order[rank < np.repeat(keep, sizes)]] = True
         return chosen
@@ -156,17 +164,17 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def least_score(words: int, threshold: float) -> int:
+def least_score(words: int, threshold: float, passage: int = PASSAGE_WORDS) -> int:
     """Whole score from which on a passage is a leak of an item of so many words."""
     if words < LEAST_WORDS:
         return MATCH * words
     # the small number is for products that rounding puts above a whole number
-    return min(math.ceil(MATCH * threshold * words - 1e-6), MATCH * PASSAGE_WORDS)
+    return min(math.ceil(MATCH * threshold * words - 1e-6), MATCH * passage)
 
 
-def slack_of(words: int, threshold: float) -> int:
+def slack_of(words: int, threshold: float, passage: int = PASSAGE_WORDS) -> int:
     """Most words by which the gaps of a leak of an item of so many words can shift it."""
-    return max(0, MATCH * words - least_score(words, threshold)) // -GAP
+    return max(0, MATCH * words - least_score(words, threshold, passage)) // -GAP
 
 
 def shared(item: np.ndarray, window: np.ndarray) -> int:
@@ -177,7 +185,14 @@ def shared(item: np.ndarray, window: np.ndarray) -> int:
     return int(np.minimum(times, there).sum())
 
 
-def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarray, threshold: float):
+def leaks_in(
+    items: Items,
+    seed: np.ndarray,
+    flat: np.ndarray,
+    counts: np.ndarray,
+    threshold: float,
+    passage: int = PASSAGE_WORDS,
+):
     """(text, item, score, first word, last word) of the best place of each item in each text."""
     text, place, gram = items.hits(flat, counts)
     # every hit, once for each item that has the gram as a seed
@@ -190,7 +205,15 @@ def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarra
     text, item, begin = text[order], item[order], begin[order]
     offsets = np.cumsum(counts) - counts
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    slack = np.array([slack_of(len(w), threshold) for w in items.words], np.int64)
+    # a hit of an item that is one n-gram is a copy of it: the first in each text counts
+    lengths = np.array([len(w) for w in items.words], np.int64)
+    whole = lengths[item] == items.size
+    first = np.ones(len(text), bool)
+    first[1:] = (np.diff(text) != 0) | (np.diff(item) != 0)
+    for i in np.flatnonzero(whole & first).tolist():
+        found[int(text[i]), int(item[i])] = (1.0, int(begin[i]), int(begin[i]) + items.size - 1)
+    text, item, begin = text[~whole], item[~whole], begin[~whole]
+    slack = np.array([slack_of(len(w), threshold, passage) for w in items.words], np.int64)
     apart = np.diff(begin) > slack[item[1:]]
     cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0) | apart) + 1
     for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(text)], strict=True):
@@ -201,7 +224,7 @@ def leaks_in(items: Items, seed: np.ndarray, flat: np.ndarray, counts: np.ndarra
         a = max(0, int(begin[i] - slack[k]))
         b = min(int(counts[t]), int(begin[j - 1] + len(words) + slack[k]))
         window = flat[offsets[t] + a : offsets[t] + b]
-        least = least_score(len(words), threshold)
+        least = least_score(len(words), threshold, passage)
         if MATCH * shared(words, window) < least:
             continue
         score, end = align(words, window)
@@ -226,9 +249,12 @@ def parts_of(items: DataFrame, id_col: str | None, text_col: str, part_chars: in
         one = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else rows
         # numbered, as ids of any type need not be sortable
         found = one.collect()
-        out = Items([(n, r.text) for n, r in enumerate(found)])
-        out.ids = [found[n].item_id for n in out.ids]
-        yield out
+        numbered = [(n, r.text) for n, r in enumerate(found)]
+        for size in range(SEED_WORDS, 0, -1):
+            out = Items(numbered, size, size, math.inf if size == SEED_WORDS else size)
+            out.ids = [found[n].item_id for n in out.ids]
+            if out.ids:
+                yield out
 
 
 def frequencies(rows: DataFrame, items: Items) -> np.ndarray:
@@ -248,10 +274,11 @@ def frequencies(rows: DataFrame, items: Items) -> np.ndarray:
         )
 
     counted = rows.select("text").mapInArrow(run, "gram bigint, n bigint")
-    out = np.zeros(len(items.keys), np.int64)
     # one row for each n-gram of the part, whose size is bounded
-    for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r.gram] = r.n
+    found = counted.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    sent.unpersist()
+    out = np.zeros(len(items.keys), np.int64)
+    out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -264,17 +291,19 @@ def find_leaks(
     item_text_col: str = "text",
     threshold: float = THRESHOLD,
     part_chars: int = PART_CHARS,
+    passage: int = PASSAGE_WORDS,
 ) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word of every leak.
 
     One row for each document row and test item whose best alignment reaches ``threshold``
-    of a perfect copy's score, or the score of PASSAGE_WORDS words in a row. ``score`` is the
+    of a perfect copy's score, or the score of ``passage`` words in a row. ``score`` is the
     share of a perfect copy's in both cases. Words count from 0 within the document. Null and
     empty texts hold no leaks; a null document id is kept as it is; repeated document rows
     give repeated leaks, repeated test items count once, and one id with several texts gives
     a row for each. The item id keeps its type. Of items with fewer than LEAST_WORDS words only
-    whole copies count; items without id or text, or below SEED_WORDS words, are not searched. Empty
-    tables give an empty result; other columns do not matter.
+    whole copies count; items without id, text or words are not searched. Empty tables give an
+    empty result; other columns do not matter. A very long text is read whole, in the memory of its
+    task. Parts of a large benchmark are searched one after another.
     """
     rows = texts(df, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]
@@ -282,12 +311,12 @@ def find_leaks(
     item_kind = to_arrow_type(item_type)
     schema = f"doc_id {kind}, item_id {item_type.simpleString()}, score double, first_word bigint, last_word bigint"
     found = []
-    for sent in searches(rows, benchmark, item_id_col, item_text_col, part_chars):
+    for sent, last in searches(rows, benchmark, item_id_col, item_text_col, part_chars, passage):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, seed = sent.value
             for batch in batches:
-                out = leaks_in(items, seed, *items.numbers(batch.column("text").to_pylist()), threshold)
+                out = leaks_in(items, seed, *items.numbers(batch.column("text").to_pylist()), threshold, passage)
                 if out:
                     text, item, score, first, last = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -301,22 +330,26 @@ def find_leaks(
                         names=["doc_id", "item_id", "score", "first_word", "last_word"],
                     )
 
-        found.append(rows.mapInArrow(run, schema))
+        part = rows.mapInArrow(run, schema)
+        found.append(part if last else staged(part, "leaks"))
+        if not last:
+            sent.unpersist()
     if not found:
         return df.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, found)
 
 
 def searches(
-    rows: DataFrame, benchmark: DataFrame, id_col: str | None, text_col: str, part_chars: int
-) -> list[Broadcast]:
-    """The items of each part with their seeds, sent to the tasks."""
-    sent = []
-    for items in parts_of(benchmark, id_col, text_col, part_chars):
-        if items.ids:
-            seed = items.seeds(frequencies(rows, items))
-            sent.append(rows.sparkSession.sparkContext.broadcast((items, seed)))
-    return sent
+    rows: DataFrame, benchmark: DataFrame, id_col: str | None, text_col: str, part_chars: int, passage: int
+) -> Iterator[tuple[Broadcast, bool]]:
+    """The items of each part with their seeds, sent to the tasks, and whether it is the last part."""
+    parts = parts_of(benchmark, id_col, text_col, part_chars)
+    items = next(parts, None)
+    while items is not None:
+        seed = items.seeds(frequencies(rows, items), passage=passage)
+        sent = rows.sparkSession.sparkContext.broadcast((items, seed))
+        items = next(parts, None)
+        yield sent, items is None
 
 
 def without_leaks(
@@ -327,6 +360,7 @@ def without_leaks(
     item_text_col: str = "text",
     threshold: float = THRESHOLD,
     part_chars: int = PART_CHARS,
+    passage: int = PASSAGE_WORDS,
 ) -> DataFrame:
     """The rows of ``df`` that hold no leak, with all their columns; see ``find_leaks``.
 
@@ -334,18 +368,21 @@ def without_leaks(
     """
     rows = df.select(F.coalesce(text_col, F.lit("")).alias("text"))
     mark = "leaks" + "_" * max(map(len, df.columns))
-    for sent in searches(rows, benchmark, None, item_text_col, part_chars):
+    for sent, last in searches(rows, benchmark, None, item_text_col, part_chars, passage):
 
         def make(sent=sent):
             items, seed = sent.value
 
             def leaks(text: pa.Array) -> pa.Array:
-                out = leaks_in(items, seed, *items.numbers(text.to_pylist()), threshold)
+                out = leaks_in(items, seed, *items.numbers(text.to_pylist()), threshold, passage)
                 return pa.array(np.bincount([t for t, *_ in out], minlength=len(text)), pa.int64())
 
             return leaks
 
         df = with_column(df, mark, LongType(), text_col, make).where(F.col(mark) == 0).drop(mark)
+        if not last:
+            df = staged(df, "clean")
+            sent.unpersist()
     return df
 
 

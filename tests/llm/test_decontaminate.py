@@ -127,8 +127,35 @@ def test_ids_of_any_type_and_short_items(spark):
     out = dc.find_leaks(docs, bench)
     assert dict(out.dtypes)["item_id"] == "string"
     got = {(r.doc_id, r.item_id, r.score) for r in out.collect()}
-    assert got == {(1, "mmlu-12", 1.0), (2, "q 7", 1.0), (4, "3", 1.0)}
-    assert sorted(r.doc_id for r in dc.without_leaks(docs, bench).collect()) == [3, 5]
+    assert got == {(1, "mmlu-12", 1.0), (2, "q 7", 1.0), (4, "3", 1.0), (5, "2", 1.0)}
+    assert sorted(r.doc_id for r in dc.without_leaks(docs, bench).collect()) == [3]
+
+
+@pytest.mark.parametrize("part_chars", [10, dc.PART_CHARS])
+def test_items_of_one_and_two_words(spark, part_chars):
+    bench = items(spark, [(1, "Solo"), (2, "alpha beta"), (3, "beta alpha beta"), (4, "?"), (5, "w " * 9)])
+    texts = ["x alpha beta solo SOLO", "beta alpha", "alpha-beta alpha beta", "so lo", "beta alpha beta"]
+    docs = frame(spark, list(enumerate(texts)))
+    out = dc.find_leaks(docs, bench, part_chars=part_chars).collect()
+    got = {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in out}
+    assert got == {(0, 1, 1.0, 3, 3), (0, 2, 1.0, 1, 2), (2, 2, 1.0, 0, 1), (2, 3, 1.0, 1, 3), (4, 2, 1.0, 1, 2), (4, 3, 1.0, 0, 2)}
+    left = dc.without_leaks(docs, bench, part_chars=part_chars).collect()
+    assert sorted(r.doc_id for r in left) == [1, 3]
+
+
+def test_passage_length_is_an_argument(spark):
+    item = [f"w{i}" for i in range(300)]
+    docs = frame(spark, [(1, " ".join(item[50:80])), (2, " ".join(item[50:70]))])
+    bench = items(spark, [(1, " ".join(item))])
+    assert [r.doc_id for r in dc.find_leaks(docs, bench, passage=30).collect()] == [1]
+    assert dc.find_leaks(docs, bench).collect() == []
+
+
+def test_a_megabyte_in_one_text(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, "foreign words " * 60000 + item + " tail" * 60000), (2, "foreign words " * 60000)]
+    out = dc.find_leaks(frame(spark, rows), items(spark, [(1, item)])).collect()
+    assert [(r.doc_id, r.score, r.first_word) for r in out] == [(1, 1.0, 120000)]
 
 
 def test_an_item_in_most_documents_is_found(spark):
