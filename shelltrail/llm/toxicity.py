@@ -31,8 +31,8 @@ THRESHOLD = 0.3
 MOST_CLEAN = 0.02
 # Toxic words that chance may be expected to give.
 CHANCE_WORDS = 0.5
-# Words that a worker remembers.
-KNOWN_WORDS = 1 << 17
+# Bytes of words whose scores a worker remembers, about; it starts afresh when it knows more.
+KNOWN_BYTES = 1 << 24
 # Characters of the texts whose chains are worked on at a time.
 PART_CHARS = 1 << 20
 
@@ -122,7 +122,7 @@ class Tagger:
     """Marginals of the words of many texts."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.size = model, {}, 0
 
     def tag(self, items: list[str]) -> list[np.ndarray]:
         """Marginals of the words of each text, some texts at a time."""
@@ -138,11 +138,13 @@ class Tagger:
     def _tag(self, items: list[str]) -> list[np.ndarray]:
         words = [words_of(t) for t in items]
         known = self.known
-        if len(known) > KNOWN_WORDS:
+        if self.size > KNOWN_BYTES:
             known.clear()
+            self.size = 0
         for found in words:
             for w in set(found).difference(known):
                 known[w] = self.model.score(w)
+                self.size += 150 + 2 * len(w)
         sizes = np.array([len(w) for w in words], np.int64)
         score = np.fromiter((known[w] for found in words for w in found), np.float64, sizes.sum())
         first = np.zeros(len(score), bool)
