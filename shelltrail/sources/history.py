@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +94,52 @@ def write_parquet(documents: DataFrame, path: str) -> None:
     documents.write.parquet(path)
 
 
+MANIFEST = "history_id string, path string, parts bigint, bytes bigint"
+
+
+def write_guides(documents: DataFrame, folder: str) -> DataFrame:
+    """Write one file for each guide below ``folder``, and return the manifest that names them.
+
+    The parts of a guide stream into its file in their order, whatever their number; a task holds one
+    batch of them. The manifest (history_id, path, parts, bytes) is a table in ``folder/_manifest``,
+    written with the tasks that succeed: files of lost or repeated attempts are never named in it.
+    ``folder`` must be reachable from every executor by a scheme that pyarrow can open (local and
+    shared paths, hdfs, s3, gs, abfs) and hold no manifest yet.
+    """
+    rows = documents.select("history_id", "part_no", "markdown")
+    rows = rows.repartition("history_id").sortWithinPartitions("history_id", "part_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(folder)
+        done: list[dict] = []
+        out = None
+        for batch in batches:
+            names, texts = batch.column("history_id").to_pylist(), batch.column("markdown")
+            for name, text in zip(names, texts, strict=True):
+                if out is None or done[-1]["history_id"] != name:
+                    if out is not None:
+                        out.close()
+                    else:
+                        system.create_dir(root, recursive=True)
+                    # the id tells the file to people; the rest makes it unique to this attempt
+                    file = f"{quote(name or '', safe='')[:100]}-{uuid.uuid4().hex}.md"
+                    out = system.open_output_stream(f"{root}/{file}")
+                    path = f"{folder.rstrip('/')}/{file}"
+                    done.append({"history_id": name, "path": path, "parts": 0, "bytes": 0})
+                body = (text.as_py() or "").encode()
+                out.write(body)
+                done[-1]["parts"] += 1
+                done[-1]["bytes"] += len(body)
+        if out is not None:
+            out.close()
+        kinds = {"history_id": pa.string(), "path": pa.string(), "parts": pa.int64(), "bytes": pa.int64()}
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema(kinds))
+
+    place = f"{folder.rstrip('/')}/_manifest"
+    rows.mapInArrow(run, MANIFEST).write.parquet(place)
+    return documents.sparkSession.read.schema(MANIFEST).parquet(place)
+
+
 def write_markdown(documents: DataFrame, path: str) -> None:
     """Write guides as text files, in one folder per history; files and lines are in order.
 

@@ -169,3 +169,34 @@ def test_written_guides_keep_their_order(spark, tmp_path):
     assert sorted(texts) == sorted(["".join(p[2] for p in parts[:20]), "x\n"])
     history.write_parquet(df, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 21
+
+
+def test_one_file_for_each_guide(spark, tmp_path):
+    texts = {f"h/{i}": [f"# part {p} of {i} é\n" * (p + 1) for p in range(1 + i % 4)] for i in range(12)}
+    texts[None] = ["no id"]
+    rows = [(h, p, t) for h, parts in texts.items() for p, t in enumerate(parts)]
+    df = spark.createDataFrame(rows[::-1], "history_id string, part_no bigint, markdown string").repartition(5)
+    folder = tmp_path / "guides"
+    folder.mkdir()
+    # what an attempt without success has left is in the folder, but not named
+    (folder / "h%2F0-lost.md").write_text("half of")
+    found = history.write_guides(df, str(folder)).collect()
+    assert len(found) == len(texts) and len(list(folder.glob("*.md"))) == len(texts) + 1
+    for r in found:
+        body = open(r["path"], "rb").read().decode()
+        assert body == "".join(texts[r["history_id"]])
+        assert (r["parts"], r["bytes"]) == (len(texts[r["history_id"]]), len(body.encode()))
+    assert not any("lost" in r["path"] for r in found)
+    none = history.write_guides(df.where("part_no < 0"), f"file://{tmp_path}/none")
+    assert none.collect() == []
+
+
+def test_an_attempt_that_fails_leaves_no_manifest(spark, tmp_path):
+    bad = F.udf(lambda i: 1 // (i - 3), "bigint")
+    df = spark.range(5).select(
+        F.lit("h").alias("history_id"), F.col("id").alias("part_no"), F.lit("x").alias("markdown"), bad("id").alias("z")
+    )
+    df = df.where("z > -9")
+    with pytest.raises(Exception, match="ZeroDivision"):
+        history.write_guides(df, str(tmp_path / "g"))
+    assert not (tmp_path / "g" / "_manifest" / "_SUCCESS").exists()
