@@ -37,7 +37,7 @@ PATTERN = public_tokenizers.PATTERN
 # Text of a block, in characters.
 BLOCK_CHARS = 1 << 23
 # Bytes of word parts that a worker remembers, about; it starts afresh when it knows more.
-KNOWN_BYTES = 1 << 25
+KNOWN_BYTES = 5 << 23
 # Largest vocabulary whose byte table is sent to the tasks.
 MOST_TOKENS = 1 << 21
 

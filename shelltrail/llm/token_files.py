@@ -41,7 +41,7 @@ END_ID = 1
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 1 << 28
 # Bytes of word parts and their ids that a worker remembers, about; it starts afresh when it knows more.
-KNOWN_BYTES = 1 << 26
+KNOWN_BYTES = 1 << 28
 
 # Fixed values of the zstandard seekable format.
 SEEK_FRAME = 0x184D2A5E

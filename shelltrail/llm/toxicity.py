@@ -32,7 +32,7 @@ MOST_CLEAN = 0.02
 # Toxic words that chance may be expected to give.
 CHANCE_WORDS = 0.5
 # Bytes of words whose scores a worker remembers, about; it starts afresh when it knows more.
-KNOWN_BYTES = 1 << 24
+KNOWN_BYTES = 3 << 23
 # Characters of the texts whose chains are worked on at a time.
 PART_CHARS = 1 << 20
 

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 # Bytes of words whose hashes a worker remembers, about; it starts afresh when it knows more.
-KNOWN_BYTES = 1 << 25
+KNOWN_BYTES = 5 << 23
 _lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
