@@ -168,7 +168,7 @@ def scan(
     entry for each verified notice, by words from 0. ``score`` is 1 where a base phrase
     stands, else 1 less the share of edits of the best notice, else 0. Null and empty texts
     have no words, empty label strings and score 0. Rows are kept one by one, repeated ones
-    too; other columns are not carried.
+    too; other columns are not carried. A very long text is read whole, in the memory of its task.
     """
     rows = texts(df, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]

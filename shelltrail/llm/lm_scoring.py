@@ -240,7 +240,8 @@ def score(
     places; a corpus of one document counts at least one word. A null or empty text has no
     words and the sum 0. Null and repeated ids and repeated rows are scored one by one, and
     copies of a document in other rows do count for it. An empty table gives an empty result;
-    other columns are not carried. N-grams are compared by HASH_BITS bits of their hashes.
+    other columns are not carried. N-grams are compared by HASH_BITS bits of their hashes: of n different
+    ones about n * n / 2 ** (HASH_BITS + 1) pairs count as one. A very long text is a block by itself.
     """
     rows = texts(df, id_col, text_col)
     kind = dict(rows.dtypes)["doc_id"]

@@ -188,7 +188,8 @@ def score(
     """doc_id, ``score`` and ``bad_lines`` (numbers from 0 of lines held for bad) of every text.
 
     A null or empty text is one empty line and is scored like any other. Rows are kept one
-    by one; other columns are not carried. A model that learned nothing gives its constant.
+    by one; other columns are not carried. A model that learned nothing gives its constant. A very
+    long text is read whole: its task holds the features of all its lines.
     """
     rows = texts(df, id_col, text_col)
     sent = df.sparkSession.sparkContext.broadcast(model)

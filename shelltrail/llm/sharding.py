@@ -107,7 +107,8 @@ def shard_rows(
     A null text has no bytes: size 1 and checksum 0. Null and repeated ids and repeated rows
     each get a place of their own; of rows with the same id, size and checksum it is left
     open which gets which, and the result is the same either way. An empty table gives an
-    empty result. Other columns do not travel: join them by id.
+    empty result. Other columns do not travel: join them by id. Texts, however long, only give their
+    size and checksum.
     """
     if shards < 1:
         raise ValueError("shards must be positive")

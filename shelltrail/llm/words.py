@@ -47,7 +47,8 @@ def grams(flat: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray,
     """Hash of the ``size`` words from every place on, and whether they lie in one text."""
     n = len(flat)
     out = np.zeros(n, np.uint64)
-    for k in range(size):
+    # fewer words than a gram has: none lies inside
+    for k in range(min(size, n)):
         out[: n - k] = mix(out[: n - k] + flat[k:] + np.uint64(0x9E3779B97F4A7C15))
     left = np.repeat(np.cumsum(counts), counts) - np.arange(n)
     return out, left >= size

@@ -83,6 +83,16 @@ def test_run_is_the_stages_one_after_another(spark, stages):
     assert got == {r.doc_id: r.ids_sha256 for r in stages["byte_bpe"][1].collect()}
 
 
+def test_names_that_differ_in_case_only(spark):
+    schema = "doc_id bigint, text string, Toxicity string, QUALITY string, Toxicity_ int, Leaks int"
+    docs = spark.createDataFrame([(1, "A plain line of some words.", "a", "b", 1, 2), (2, None, "c", "d", 3, 4)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+    row = next(r for r in docs.collect() if r.doc_id == 1)
+    assert (row["Toxicity"], row["QUALITY"], row["Toxicity_"], row["Leaks"]) == ("a", "b", 1, 2)
+
+
 def test_hard_rows_and_more_columns(spark):
     schema = "doc_id bigint, text string, score double, toxicity string, quality string, leaks int, rep int, n int"
     rows = [(1, None), (2, ""), (None, "a plain line of some words"), (None, "a plain line of some words"), (3, "x " * 50000)]
