@@ -1,7 +1,11 @@
 """From raw documents to token ids, in stages that read and write Parquet.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before
-kept. All but the last return the columns of ``documents``.
+kept. All but the last return the columns of ``documents``, and more columns that the input has, whatever
+their names. Null and empty texts are documents like others: the classifiers score them, near duplicates
+and decontamination keep them, and they have no tokens. Texts are read whole, however long. Rows with a null
+id are scored, and all kept by the near-duplicate stage, as nothing tells them apart; of rows that agree in id
+and text one stays there. An empty table passes through all stages.
 """
 
 from __future__ import annotations
