@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +36,15 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Return free memory of a Python worker, which later stages use again, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def with_column(
     df: DataFrame, name: str, kind: DataType, text_col: str, make: Callable[[], Callable[[pa.Array], pa.Array]]
 ) -> DataFrame:
@@ -53,6 +64,8 @@ def with_column(
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, values(text)], names=[*batch.schema.names, name]
             )
+        del values
+        give_back()
 
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(name, kind)]))
 
