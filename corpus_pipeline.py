@@ -47,7 +47,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian, 32 bits each), and checks of both ways."""
     bound_batches(spark)
-    return bpe.encode(docs, decoded=True).select(
+    # smaller blocks than alone: the workers have been through four stages
+    return bpe.encode(docs, decoded=True, block_chars=bpe.BLOCK_CHARS // 2).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
         "ids",
