@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,18 @@ def test_effects_of_chunks_composed_over_levels(spark, monkeypatch, fan):
     assert set(got) == expected
 
 
+def test_chunks_are_told_apart_in_a_stream():
+    keys = [(0, "a"), (0, "a"), (0, "b"), (1, "b"), (1, "b"), (1, "b"), (1, None), (2, None)]
+    rows = [{"chunk": c, "history_id": h, "number": i} for i, (c, h) in enumerate(keys)]
+    schema = pa.schema({"chunk": pa.int64(), "history_id": pa.string(), "number": pa.int64()})
+    whole = pa.RecordBatch.from_pylist(rows, schema=schema)
+    for size in (1, 2, 3, 8):
+        batches = [whole.slice(0, 0), *(whole.slice(a, size) for a in range(0, 8, size)), whole.slice(0, 0)]
+        found = [g["number"].to_pylist() for g in module.groups(iter(batches), ["chunk", "history_id"])]
+        assert found == [[0, 1], [2], [3, 4, 5], [6], [7]]
+    assert list(module.groups(iter([]), ["chunk"])) == []
+
+
 @pytest.mark.parametrize("far", [None, 3, 700])
 def test_summaries_of_a_hot_command_stay_small(far):
     gap, chunk = 30, 500
