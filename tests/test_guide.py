@@ -375,3 +375,16 @@ def test_annotated_guide(spark, commands):
     assert "## Overview\n\nAll of it.\n\n## Prerequisites\n\n- Patience\n\n## Steps" in text
     assert "### Step 1: Save\n\nKeep it.\n\n```bash\ngit add ." in text
     assert "**Why:** To be safe\n" in text and "**Why:** docker-build\n" in text
+
+
+def test_answers_are_read_once(spark, commands):
+    body = '{"overview":"All of it.","steps":[{"title":"Begin","why":"To begin"}]}'
+    answers = spark.createDataFrame(
+        [("h", "explain", "ok", body), ("h", "dedup", "ok", '{"groups":[]}')],
+        "history_id string, kind string, status string, body string",
+    )
+    with Guide(commands("ls", "make all", history="h"), 1, 9, answers) as guide:
+        assert "parse_json" not in guide.steps._jdf.queryExecution().toString().lower()
+        first = guide.steps.orderBy("step_no").first()
+        assert (first["title"], first["intent"]) == ("Begin", "To begin")
+        assert "All of it." in guide.documents(AT).first()["markdown"]
