@@ -14,13 +14,14 @@ back as a manifest table: files of lost or repeated attempts are never named in
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,8 +41,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 1 << 28
-# Bytes of word parts and their ids that a worker remembers, about; it starts afresh when it knows more.
-KNOWN_BYTES = 1 << 28
+# Bytes of word parts, their pieces and ids that a worker remembers, about.
+KNOWN_BYTES = 3 << 27
 
 # Fixed values of the zstandard seekable format.
 SEEK_FRAME = 0x184D2A5E
@@ -50,12 +51,60 @@ SEEK_FOOTER = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 
 
+# Characters that normalising only puts in lower case and that never join with a neighbour of another
+# kind: letters, digits, and marks without the apostrophe, behind which contractions are cut off.
+LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+MARKS = r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"[{LETTERS}0-9{MARKS}]+")
+PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+")
+
+# The normaliser and the splitting for which this holds.
+STEPS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def has_known_steps(tokenizer) -> bool:
+    """Whether a tokenizer normalises and splits as :data:`STEPS` say."""
+    made = json.loads(tokenizer.to_str())
+    normalizers = (made.get("normalizer") or {}).get("normalizers", [])
+    splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [n["type"] for n in normalizers] == STEPS["normalizer"]
+        and [n["type"] for n in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": STEPS["split"]}
+        and not (splits[1]["add_prefix_space"] or splits[1]["use_regex"])
+        and made["model"]["type"] == "BPE"
+    )
+
+
+class Known(dict):
+    """Ids of words; those that are missing are asked for, and ``size`` counts bytes."""
+
+    def __init__(self, code, older: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.code, self.older, self.size = code, older, 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.code(word)
+        self[word] = ids
+        self.size += 200 + 4 * len(word) + len(ids)
+        return ids
+
+
 class Encoder:
     """Ids of texts, as bytes, through the ``tokenizers`` library.
 
     The normaliser and the splitting of the tokenizer never look across a space or a line
     break and drop both, so the ids of a text are those of its space-separated parts one
-    after another. Each part is given to the library once and then remembered. Names of special
+    after another. The splitting cuts a part of plain letters, digits and marks into the runs of
+    letters, the digits and the runs of marks, in lower case: each such piece goes to the library's model.
+    Any other part, and each that may hold a special token, goes through the library as a whole. Parts and
+    pieces are coded once and then remembered; of what a worker remembers the half that was not used
+    of late is forgotten when it is too much. Names of special
     tokens in a text have the ids of these tokens, as is the library's default; with ``plain`` they
     are ordinary text, so that no text can forge one.
     """
@@ -66,21 +115,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.known: dict[str, bytes] = {"": b""}
-        self.size = 0
+        self.cuts = has_known_steps(self.tokenizer)
+        if self.cuts:
+            # a character's bytes in the letters of the model
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            every = (chr(i) for i in range(0x180))
+            self.letters = {ord(c): split(c)[0][0] for c in every if PLAIN.match(c)}
+            self.model = self.tokenizer.model
+        self.known = Known(self._code, {})
 
     def encode(self, items: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in items]
-        if self.size > KNOWN_BYTES:
-            self.known, self.size = {"": b""}, 0
-        new = list(set(chain.from_iterable(parts)).difference(self.known))
-        for word, found in zip(
-            new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True
-        ):
-            self.known[word] = ids = np.array(found.ids, "<u4").tobytes()
-            self.size += 200 + 4 * len(word) + len(ids)
+        if self.known.size > KNOWN_BYTES // 2:
+            self.known.older = {}
+            self.known = Known(self._code, self.known)
         look = self.known.__getitem__
-        return [b"".join(map(look, p)) for p in parts]
+        return [b"".join(map(look, t.replace("\n", " ").split(" "))) for t in items]
+
+    def _code(self, word: str) -> bytes:
+        if self.cuts and word.isascii() and word.isalpha() and word.islower():
+            ids = [t.id for t in self.model.tokenize(word)]  # by far the most frequent kind of piece
+        elif self.cuts and PLAIN.fullmatch(word) and "<|" not in word:
+            pieces = PIECES.findall(word.lower())
+            if len(pieces) > 1 or pieces[0] != word:
+                return b"".join([self.known[p] for p in pieces])
+            ids = [t.id for t in self.model.tokenize(word.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(2)

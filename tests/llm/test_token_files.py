@@ -73,6 +73,30 @@ def test_memory_of_parts_is_bounded(monkeypatch):
     assert most < 40
 
 
+def test_frequent_parts_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 40000)
+    encoder = token_files.Encoder(token_files.TOKENIZER)
+    coded, code = [], encoder._code
+    encoder._code = encoder.known.code = lambda word: coded.append(word) or code(word)
+    for k in range(60):
+        encoder.encode(["often used " + " ".join(f"w{k}x{i}" for i in range(10))])
+    assert coded.count("often") == coded.count("used") == 1
+    assert len(encoder.known) + len(encoder.known.older) < 400
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_pieces_have_the_ids_of_whole_parts(plain):
+    encoder = token_files.Encoder(token_files.TOKENIZER, plain)
+    library = Tokenizer.from_file(token_files.TOKENIZER)
+    library.encode_special_tokens = plain
+    marks = [chr(0x338), chr(0x301), chr(0x307), chr(0x3000), chr(0x6F22), chr(0x212A), "<|endoftext|>"]
+    for c in [*map(chr, range(1, 0x250)), *marks]:
+        for text in (c, f"a{c},", f"({c}B", c + c, f"I{c}ll", f"{c}9{c}!"):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want, repr(text)
+    assert encoder.cuts and "a" in encoder.known
+
+
 def test_null_and_repeated_ids(spark, library, tmp_path):
     rows = [(None, "n"), (5, "a b"), (5, "a b"), (5, "c"), (2, None), (None, "m")]
     manifest = token_files.write_tokens(frame(spark, rows), str(tmp_path / "b"))
