@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelltrail.llm.common import staged, table, texts
+from shelltrail.llm.common import give_back, staged, table, texts
 from shelltrail.session import own_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,7 +42,9 @@ END_ID = 1
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 1 << 28
 # Bytes of word parts, their pieces and ids that a worker remembers, about.
-KNOWN_BYTES = 3 << 27
+KNOWN_BYTES = 3 << 25
+# Characters of a long text that are coded at once, about.
+STRETCH_CHARS = 1 << 18
 
 # Fixed values of the zstandard seekable format.
 SEEK_FRAME = 0x184D2A5E
@@ -57,6 +59,7 @@ LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 MARKS = r"!-&(-/:-@\[-`{-~"
 PLAIN = re.compile(f"[{LETTERS}0-9{MARKS}]+")
 PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+")
+ASCII_MARKS = "".join(c for c in map(chr, range(128)) if re.match(f"[{MARKS}]", c))
 
 # The normaliser and the splitting for which this holds.
 STEPS = {
@@ -80,7 +83,11 @@ def has_known_steps(tokenizer) -> bool:
 
 
 class Known(dict):
-    """Ids of words; those that are missing are asked for, and ``size`` counts bytes."""
+    """Ids of words; those that are missing are asked for, and ``size`` counts bytes.
+
+    A word that is put together of others is remembered only if these were known before: otherwise it is
+    a rare one, and what is remembered of it are the others.
+    """
 
     def __init__(self, code, older: dict[str, bytes]):
         super().__init__({"": b""})
@@ -89,12 +96,24 @@ class Known(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
+            before = self.size
             ids = self.code(word)
+            if self.size != before:
+                return ids
         self[word] = ids
         self.size += 200 + 4 * len(word) + len(ids)
         return ids
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A long text, cut at spaces; these are dropped."""
+    start = 0
+    while len(text) - start > STRETCH_CHARS and (end := text.find(" ", start + STRETCH_CHARS)) >= 0:
+        yield text[start:end]
+        start = end + 1
+    yield text[start:] if start else text
+
+
 class Encoder:
     """Ids of texts, as bytes, through the ``tokenizers`` library.
 
@@ -102,9 +121,9 @@ class Encoder:
     break and drop both, so the ids of a text are those of its space-separated parts one
     after another. The splitting cuts a part of plain letters, digits and marks into the runs of
     letters, the digits and the runs of marks, in lower case: each such piece goes to the library's model.
-    Any other part, and each that may hold a special token, goes through the library as a whole. Parts and
-    pieces are coded once and then remembered; of what a worker remembers the half that was not used
-    of late is forgotten when it is too much. Names of special
+    Any other part, and each that may hold a special token, goes through the library as a whole. Pieces and
+    frequent parts are coded once and then remembered; of what a worker remembers the half that was not used
+    of late is forgotten when it is too much, also within a batch or a long text. Names of special
     tokens in a text have the ids of these tokens, as is the library's default; with ``plain`` they
     are ordinary text, so that no text can forge one.
     """
@@ -125,15 +144,21 @@ class Encoder:
         self.known = Known(self._code, {})
 
     def encode(self, items: list[str]) -> list[bytes]:
+        return [b"".join(map(self._stretch, stretches(text))) for text in items]
+
+    def _stretch(self, text: str) -> bytes:
         if self.known.size > KNOWN_BYTES // 2:
             self.known.older = {}
             self.known = Known(self._code, self.known)
-        look = self.known.__getitem__
-        return [b"".join(map(look, t.replace("\n", " ").split(" "))) for t in items]
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _code(self, word: str) -> bytes:
-        if self.cuts and word.isascii() and word.isalpha() and word.islower():
+        if self.cuts and word.isascii() and word.isalpha():
+            if not word.islower():
+                return self.known[word.lower()]
             ids = [t.id for t in self.model.tokenize(word)]  # by far the most frequent kind of piece
+        elif self.cuts and word.isascii() and (start := word.rstrip(ASCII_MARKS)).isalpha():
+            return self.known[start.lower()] + self.known[word[len(start) :]]
         elif self.cuts and PLAIN.fullmatch(word) and "<|" not in word:
             pieces = PIECES.findall(word.lower())
             if len(pieces) > 1 or pieces[0] != word:
@@ -309,6 +334,7 @@ def write_tokens(
                     out = None
         if out is not None:
             finish()
+        give_back()
         columns = list(zip(*done, strict=True)) or [[]] * 5
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(

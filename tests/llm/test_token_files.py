@@ -84,6 +84,32 @@ def test_frequent_parts_outlive_a_full_memory(monkeypatch):
     assert len(encoder.known) + len(encoder.known.older) < 400
 
 
+def test_memory_is_bounded_within_a_batch_and_a_text(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 40000)
+    monkeypatch.setattr(token_files, "STRETCH_CHARS", 500, raising=False)
+    plain = Tokenizer.from_file(token_files.TOKENIZER)
+    letters = [chr(97 + i) for i in range(26)]
+    words = [a + b + c for a in letters for b in letters for c in letters[:4]]
+    texts = ["\n ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    for items in (texts, [" ".join(texts) + " "], ["\n" * 600 + words[0] + "  " * 600]):
+        encoder = token_files.Encoder(token_files.TOKENIZER)
+        for text, ids in zip(items, encoder.encode(items), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) + len(encoder.known.older) < 500 < len(words)
+
+
+def test_rare_parts_of_several_pieces_are_not_remembered():
+    encoder = token_files.Encoder(token_files.TOKENIZER)
+    encoder.encode(["Seldom, "])
+    assert {"seldom", ","} <= encoder.known.keys() and "Seldom," not in encoder.known
+    encoder.encode(["Seldom, "])
+    assert "Seldom," in encoder.known
+    library = Tokenizer.from_file(token_files.TOKENIZER)
+    for text in ("Abc<|", "ABC<|endoftext|>", "abc|>", "It's.", "Abc.'s", "abc.'", "x<|startoftext|>.", "\x7fa.", "a\t."):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want, repr(text)
+
+
 @pytest.mark.parametrize("plain", [False, True])
 def test_pieces_have_the_ids_of_whole_parts(plain):
     encoder = token_files.Encoder(token_files.TOKENIZER, plain)
