@@ -42,7 +42,7 @@ END_ID = 1
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 1 << 28
 # Bytes of word parts, their pieces and ids that a worker remembers, about.
-KNOWN_BYTES = 3 << 25
+KNOWN_BYTES = 1 << 27
 # Characters of a long text that are coded at once, about.
 STRETCH_CHARS = 1 << 18
 
@@ -105,6 +105,13 @@ class Known(dict):
         return ids
 
 
+PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return PACKERS[len(ids)](*ids) if len(ids) < len(PACKERS) else np.array(ids, "<u4").tobytes()
+
+
 def stretches(text: str) -> Iterator[str]:
     """A long text, cut at spaces; these are dropped."""
     start = 0
@@ -166,7 +173,7 @@ class Encoder:
             ids = [t.id for t in self.model.tokenize(word.translate(self.letters))]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return pack_ids(ids)
 
 
 @lru_cache(2)
@@ -342,10 +349,10 @@ def write_tokens(
             names=["piece", "file", "path", "docs", "tokens"],
         )
 
-    manifest = staged(
-        rows.mapInArrow(run, "piece int, file int, path string, docs bigint, tokens bigint"),
-        "token-manifest",
-    )
+    # a table's writer starts a process for each of its local files, at its executor's full size for a moment:
+    # few tasks write the manifest, and none that codes. All rows of a piece come from one attempt at it.
+    files = rows.mapInArrow(run, "piece int, file int, path string, docs bigint, tokens bigint")
+    manifest = staged(files.repartition("piece"), "token-manifest")
     earlier = W.orderBy("piece", "file").rowsBetween(W.unboundedPreceding, -1)
     return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
 
@@ -361,6 +368,9 @@ def read_tokens(manifest: DataFrame, wanted: set[int] | None = None) -> DataFram
     files = manifest.select("path", "first_token").repartition(tasks, "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if encoder.cache_info().currsize:  # a worker that has coded before
+            encoder.cache_clear()
+            give_back()
         for batch in batches:
             for path, first in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 system, name = pafs.FileSystem.from_uri(path)

@@ -140,6 +140,19 @@ def test_empty_table(spark, tmp_path):
     assert token_files.read_tokens(manifest).collect() == []
 
 
+def test_coding_tasks_write_no_table(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(token_files, "staged", staged)
+    token_files.write_tokens(frame(spark, [(1, "a"), (2, "b")]), str(tmp_path / "d"))
+    # the manifest comes out of a shuffle behind the tasks that code
+    assert plans and plans[0].index("Exchange hashpartitioning(piece") < plans[0].index("MapInArrow")
+
+
 class Sink(io.BytesIO):
     def close(self):
         self.kept = self.getvalue()
