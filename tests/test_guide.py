@@ -388,3 +388,30 @@ def test_answers_are_read_once(spark, commands):
         first = guide.steps.orderBy("step_no").first()
         assert (first["title"], first["intent"]) == ("Begin", "To begin")
         assert "All of it." in guide.documents(AT).first()["markdown"]
+
+
+def test_tables_that_grow_with_the_histories_are_not_broadcast(spark):
+    many = ",".join(f'{{"title":"T{i}","why":"W"}}' for i in range(50))
+    rows = [(f"h{n}", "dedup", "ok", '{"groups":[]}') for n in range(5)]
+    rows += [(f"h{n}", "explain", "ok", f'{{"overview":"All.","steps":[{many}]}}') for n in range(5)]
+    answers = spark.createDataFrame(rows, RESPONSES)
+    log = [(f"h{n}", i, None, False, c) for n in range(6) for i, c in enumerate(("git add .", "make all"), 1)]
+    df = spark.createDataFrame(log, COMMANDS)
+
+    def ran(table):
+        found = table.collect()
+        return found, table._jdf.queryExecution().executedPlan().toString()
+
+    with Guide(df, 1, 9, answers) as guide:
+        # the files of the staged tables are small, whatever they hold
+        plans = [
+            ran(annotate.dedup_with_fallback(guide.selected, answers, spans=guide.spans))[1],
+            ran(annotate.apply_explanations(guide._plain_steps, guide.explained))[1],
+            ran(guide.metrics())[1],
+        ]
+        found, plan = ran(guide.documents(AT))
+        for text in [*plans, plan]:
+            assert "SortMergeJoin" in text and "Broadcast" not in text
+        assert len(found) == 6
+        told = {r["history_id"]: r["markdown"].count("**Why:** W\n") for r in found}
+        assert told == {"h0": 2, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 0}
